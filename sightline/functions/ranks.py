@@ -27,7 +27,8 @@ def rank_of(value: Column, order: tuple[str, ...], unknown: int) -> Column:
 
 
 def name_of(rank: Column, order: tuple[str, ...]) -> Column:
-    return F.element_at(F.array(*[F.lit(o) for o in order]), rank.cast("int") + 1)
+    """Name at a rank; null for a null rank."""
+    return F.when(rank.isNotNull(), F.get(F.array(*[F.lit(o) for o in order]), rank.cast("int")))
 
 
 def severity_rank(value: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sightline.functions.binding import let
+
 # The version grammar of PEP 440, appendix B, as one Java expression.
 PEP440 = (
     r"(?i)^\s*v?(?:(\d+)!)?(\d+(?:\.\d+)*)"
@@ -22,29 +24,34 @@ def _digits(value: Column) -> Column:
 
 def version_key(version: Column) -> Column:
     """A text whose byte order is PEP 440 order; null for a version outside the grammar."""
-    part = lambda group: F.regexp_extract(version, PEP440, group)
-    release = F.regexp_replace(part(2), r"(?:\.0+)+$", "")
-    release_key = F.concat(
-        F.array_join(F.transform(F.split(release, r"\."), _digits), "."), F.lit("!")
-    )
-    pre, post, dev, local = F.lower(part(3)), part(5), part(8), F.lower(part(10))
+    names = ("epoch", "release", "pre", "pre_n", "post", "post_a", "post_b", "dev", "dev_n", "local")
+    parts = F.struct(*[F.regexp_extract(version, PEP440, i + 1).alias(n) for i, n in enumerate(names)])
+    return F.when(version.rlike(PEP440), let(parts, _key))
+
+
+def _key(part: Column) -> Column:
+    release = F.regexp_replace(part["release"], r"(?:\.0+)+$", "")
+    release_key = F.concat(F.array_join(F.transform(F.split(release, r"\."), _digits), "."), F.lit("!"))
+    pre, post, dev, local = F.lower(part["pre"]), part["post"], part["dev"], F.lower(part["local"])
     stage = F.when(pre.isin("a", "alpha"), "1").when(pre.isin("b", "beta"), "2").otherwise("3")
     pre_key = (
-        F.when(pre != "", F.concat(stage, _digits(part(4))))
-        .when((post == "") & (dev != ""), "0")
-        .otherwise("9")
+        F.when(pre != "", F.concat(stage, _digits(part["pre_n"]))).when((post == "") & (dev != ""), "0").otherwise("9")
     )
-    post_number = F.when(part(6) != "", part(6)).otherwise(part(7))
+    post_number = F.when(part["post_a"] != "", part["post_a"]).otherwise(part["post_b"])
     post_key = F.when(post == "", "0").otherwise(F.concat(F.lit("1"), _digits(post_number)))
-    dev_key = F.when(dev == "", "9").otherwise(F.concat(F.lit("1"), _digits(part(9))))
-    segment = lambda s: F.when(s.rlike(r"^\d+$"), F.concat(F.lit("N"), _digits(s))).otherwise(
-        F.concat(F.lit("A"), s)
-    )
+    dev_key = F.when(dev == "", "9").otherwise(F.concat(F.lit("1"), _digits(part["dev_n"])))
     local_key = F.when(local == "", "0").otherwise(
-        F.concat(F.lit("1"), F.array_join(F.transform(F.split(local, r"[-_.]"), segment), "."), F.lit("!"))
+        F.concat(F.lit("1"), F.array_join(F.transform(F.split(local, r"[-_.]"), _segment), "."), F.lit("!"))
+    )
+    slash = F.lit("/")
+    return F.concat(
+        _digits(part["epoch"]), slash, release_key, pre_key, slash, post_key, slash, dev_key, slash, local_key
     )
-    key = F.concat(_digits(part(1)), F.lit("/"), release_key, pre_key, F.lit("/"), post_key, F.lit("/"), dev_key, F.lit("/"), local_key)
-    return F.when(version.rlike(PEP440), key)
+
+
+def _segment(segment: Column) -> Column:
+    """Local segment: numbers sort after words."""
+    return F.when(segment.rlike(r"^\d+$"), F.concat(F.lit("N"), _digits(segment))).otherwise(F.concat(F.lit("A"), segment))
 
 
 def numeric_version(value: Column) -> Column:

@@ -141,7 +141,7 @@ def insecure_random(sources: DataFrame) -> DataFrame:
         )
         .withColumn("words", words)
         .withColumn("generator", F.regexp_replace(generator, r"[() ]+$", ""))
-        .where(named & ~F.coalesce(F.element_at("words", -1), F.lit("")).isin(*QUANTITY_WORDS) & (F.col("generator") != ""))
+        .where(named & ~F.coalesce(F.get("words", F.size("words") - 1), F.lit("")).isin(*QUANTITY_WORDS) & (F.col("generator") != ""))
         .select(
             "app_id", "path", F.lit("SOURCE-INSECURE-RANDOM").alias("rule_id"), F.lit("medium").alias("severity"),
             "line", "offset", "variable", "generator",

@@ -302,9 +302,7 @@ def export_rules(findings: DataFrame) -> DataFrame:
         F.when(F.col("rated").isNotNull(), ranks.severity_level(rated))
         .otherwise(ranks.result_level(severity, F.lit("candidate"))).alias("level"),
         ranks.precision(ranks.name_of(F.col("weakest"), ranks.STATUSES)).alias("precision"),
-        F.when(F.col("rated").isNotNull(), F.coalesce(ranks.security_score(rated), F.lit(""))).otherwise("").alias(
-            "security_severity"
-        ),
+        F.coalesce(ranks.security_score(rated), F.lit("")).alias("security_severity"),
         F.col("rated").isNull().alias("candidate_only"),
     )
 

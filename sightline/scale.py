@@ -122,3 +122,13 @@ def with_group_count(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame
     """Rows per key beside each row, through a pre-aggregated join instead of a key-wide window."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
     return df.join(counts, list(keys))
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: str, salts: int = 16) -> DataFrame:
+    """Equi-join on few, hot keys: ``big`` rows are spread over ``salts`` by the hash of a column.
+
+    ``small`` is repeated once per salt, so every task gets a share of each key's pairs.
+    """
+    left = big.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    right = small.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return left.join(right, [*on, "__salt"]).drop("__salt")
