@@ -26,12 +26,19 @@ def version_key(version: Column) -> Column:
     """A text whose byte order is PEP 440 order; null for a version outside the grammar."""
     names = ("epoch", "release", "pre", "pre_n", "post", "post_a", "post_b", "dev", "dev_n", "local")
     parts = F.struct(*[F.regexp_extract(version, PEP440, i + 1).alias(n) for i, n in enumerate(names)])
-    return F.when(version.rlike(PEP440), let(parts, _key))
+    # Plain dotted numbers, by far the most common form, need no grammar groups.
+    plain = F.concat(F.lit("0" * 18 + "/"), _release(version), F.lit("9/0/9/0"))
+    return F.when(version.rlike(r"^\d+(?:\.\d+)*$"), plain).when(version.rlike(PEP440), let(parts, _key))
+
+
+def _release(release: Column) -> Column:
+    """Numbers of a release without trailing zeros, closed by a sign below any digit or dot."""
+    trimmed = F.regexp_replace(release, r"(?:\.0+)+$", "")
+    return F.concat(F.array_join(F.transform(F.split(trimmed, r"\."), _digits), "."), F.lit("!"))
 
 
 def _key(part: Column) -> Column:
-    release = F.regexp_replace(part["release"], r"(?:\.0+)+$", "")
-    release_key = F.concat(F.array_join(F.transform(F.split(release, r"\."), _digits), "."), F.lit("!"))
+    release_key = _release(part["release"])
     pre, post, dev, local = F.lower(part["pre"]), part["post"], part["dev"], F.lower(part["local"])
     stage = F.when(pre.isin("a", "alpha"), "1").when(pre.isin("b", "beta"), "2").otherwise("3")
     pre_key = (

@@ -63,11 +63,11 @@ def keyed_ranges(ranges: Column) -> Column:
 def in_keyed_range(key: Column, keyed: Column) -> Column:
     """True/false when the ranges that hold the version key agree; null when none decides or they conflict."""
 
-    def decide(b: Column) -> Column:
-        below = F.when(b["inclusive"], key <= b["hi"]).otherwise(key < b["hi"])
-        return F.when(F.when(b["single"], key == b["lo"]).otherwise((key >= b["lo"]) & below), b["affected"])
+    def decide(k: Column, b: Column) -> Column:
+        below = F.when(b["inclusive"], k <= b["hi"]).otherwise(k < b["hi"])
+        return F.when(F.when(b["single"], k == b["lo"]).otherwise((k >= b["lo"]) & below), b["affected"])
 
-    found = F.array_distinct(F.array_compact(F.transform(keyed, decide)))
+    found = let(key, lambda k: F.array_distinct(F.array_compact(F.transform(keyed, lambda b: decide(k, b)))))
     return let(found, lambda d: F.when(F.size(d) == 1, F.get(d, F.lit(0))))
 
 

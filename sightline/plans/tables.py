@@ -5,6 +5,7 @@ Every derivation is a row-wise projection or a mergeable aggregate over a whole
 
 from __future__ import annotations
 
+import os
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,6 +112,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+# Text tables and their row keys.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def with_views(names: tuple[str, ...], sql: str) -> str:
     """``sql`` preceded by the derived tables it needs, in dependency order."""
     ordered: list[str] = []
@@ -127,6 +132,8 @@ def with_views(names: tuple[str, ...], sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{name} AS ({VIEWS[name][1]})" for name in ordered)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
@@ -154,7 +161,12 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        table = self.spark.read.parquet(path)
+        if name in TEXT_TABLES and os.path.isfile(path):
+            # One local file with one row group would put all text work into one task; a real table has many files.
+            return table.repartition(self.spark.sparkContext.defaultParallelism, TEXT_TABLES[name])
+        return table
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
