@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.paths import same_or_suffix
+from sightline.scale import exact_median
 
 NO_PREDICTED = "undefined-no-predicted-positive-labels"
 NO_TRUTH = "undefined-no-ground-truth-positive-labels"
@@ -68,8 +69,9 @@ def tool_scores(records: DataFrame, keys: Sequence[str] = ("tool",)) -> DataFram
         count(is_done & ~detected & risky).alias("fn"), count(is_done & ~detected & ~risky).alias("tn"),
         *[count(F.coalesce(state == s, F.lit(False))).alias(s) for s in ("partial", "unmeasured", "unsupported")],
         *[count(F.coalesce(state == s, F.lit(False)) & risky).alias(f"{s}_risky") for s in ("partial", "unmeasured")],
-        count(failed).alias("failed"), count(failed & risky).alias("failed_risky"), F.median("seconds").alias("median_seconds"),
+        count(failed).alias("failed"), count(failed & risky).alias("failed_risky"),
     )
+    per = per.join(exact_median(records, keys, "seconds", "median_seconds"), list(keys), "left")
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return per.select(
         *keys, "cases", "completed", "tp", "fp", "fn", "tn", "partial", "unmeasured", "unsupported", "failed",

@@ -132,3 +132,19 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: str
     left = big.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = small.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return left.join(right, [*on, "__salt"]).drop("__salt")
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    """Exact median per key from distinct value counts, so no key's values meet in one task."""
+    keys = list(keys)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
+    rows = running_total(counts, keys, [value], {"__upto": F.col("__n")})
+    rows = rows.join(totals, keys) if keys else rows.crossJoin(F.broadcast(totals))  # one row without keys
+    low, high = F.floor((F.col("__total") + 1) / 2), F.floor(F.col("__total") / 2) + 1
+    frame = rows.groupBy(*keys) if keys else rows.groupBy()
+    middle = frame.agg(
+        F.min(F.when(F.col("__upto") >= low, F.col(value))).alias("__lo"),
+        F.min(F.when(F.col("__upto") >= high, F.col(value))).alias("__hi"),
+    )
+    return middle.select(*keys, ((F.col("__lo") + F.col("__hi")) / 2).alias(name))
