@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-OPTIONS = {"attributePrefix": "_", "valueTag": "_VALUE"}
+OPTIONS = {"attributePrefix": "_", "valueTag": "_VALUE", "columnNameOfCorruptRecord": "_malformed"}
 _NAMED = "array<struct<`_android:name`:string>>"
 _DATA = (
     "array<struct<`_android:scheme`:string,`_android:host`:string,`_android:port`:string,`_android:path`:string,`_android:pathPrefix`:string,"
@@ -38,7 +38,18 @@ def _attr(value: Column, name: str, default: str = "") -> Column:
 
 def parsed_manifests(files: DataFrame) -> DataFrame:
     """(app_id, path, m) of text manifests; ``m`` is null where the XML is malformed."""
-    return files.select("app_id", "path", F.from_xml(F.trim("text"), MANIFEST, OPTIONS).alias("m"))
+    return _well_formed(files, MANIFEST, "m")
+
+
+def _well_formed(files: DataFrame, schema: str, name: str) -> DataFrame:
+    """Parsed XML as one struct column; null where the text is malformed."""
+    parsed = files.select("app_id", "path", F.from_xml(F.trim("text"), f"{schema}, _malformed string", OPTIONS).alias(name))
+    return parsed.withColumn(name, F.when(F.col(name)["_malformed"].isNull(), F.col(name)))
+
+
+def malformed(parsed: DataFrame, name: str = "m") -> DataFrame:
+    """Files whose XML could not be read."""
+    return parsed.where(F.col(name).isNull()).select("app_id", "path")
 
 
 def manifest_configs(manifests: DataFrame) -> DataFrame:
@@ -133,7 +144,7 @@ def network_configs(files: DataFrame) -> DataFrame:
 
     Debug overrides are not part of the schema, so they never count. Nesting is read three levels deep.
     """
-    parsed = files.select("app_id", "path", F.from_xml(F.trim("text"), NETWORK, OPTIONS).alias("n")).where("n IS NOT NULL")
+    parsed = _well_formed(files, NETWORK, "n").where("n IS NOT NULL")
     strings = F.array().cast("array<string>")
 
     def entry(scope: str, node: Column, inherited: Column | None) -> Column:
