@@ -56,7 +56,7 @@ def relative_path(path: Column) -> Column:
 
 def uri_path(path: Column) -> Column:
     """Percent-encoded path with its slashes kept."""
-    return F.array_join(F.transform(F.split(path, "/"), quote), "/")
+    return F.array_join(F.transform(F.split(path, "/"), lambda part: quote(part)), "/")
 
 
 def quote(text: Column, safe: str = "") -> Column:
