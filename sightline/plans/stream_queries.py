@@ -200,9 +200,9 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "str_07_retry_states",
-    """WITH o AS (SELECT 'CVE-' || user_id AS id, event_type AS revision, count(*) AS attempts, arg_max(k % 3 = 0, event_id) AS ok, arg_max(ts, event_id) AS at, arg_max(k, event_id) AS k FROM events_k GROUP BY ALL)
+    """WITH o AS (SELECT 'CVE-' || user_id AS id, event_type AS revision, count(*) AS attempts, arg_max(k % 3 = 0, event_id) AS ok, arg_max(ts, event_id) AS stamp, arg_max(k, event_id) AS k FROM events_k GROUP BY ALL)
        SELECT id, revision, CASE WHEN ok THEN 'done' ELSE 'pending' END AS state, CAST(attempts AS INTEGER) AS attempts,
-         CASE WHEN ok THEN '' ELSE strftime(at + to_seconds(CAST(least(86400, greatest(60 * CAST(pow(2, least(attempts - 1, 11)) AS BIGINT), CASE WHEN k % 5 = 0 THEN k * 1000 ELSE 0 END)) AS BIGINT)), '%Y-%m-%d %H:%M:%S') END AS next_attempt FROM o""",
+         CASE WHEN ok THEN '' ELSE strftime(stamp + to_seconds(CAST(least(86400, greatest(60 * CAST(pow(2, least(attempts - 1, 11)) AS BIGINT), CASE WHEN k % 5 = 0 THEN k * 1000 ELSE 0 END)) AS BIGINT)), '%Y-%m-%d %H:%M:%S') END AS next_attempt FROM o""",
     ("events_k",),
 )
 def _(t: Tables) -> DataFrame:
