@@ -95,6 +95,9 @@ def admit(
     rounds: a prefix by running totals is admitted, rows larger than the remainder drop out, and the rest goes on.
     Groups measured to be small finish in one pass.
     """
+    if not keys:
+        whole = admit(rows.withColumn("__all", F.lit(0)), ["__all"], order, size, budget, count_limit, small_group)
+        return whole.drop("__all")
     keys, order = list(keys), list(order)
     columns = rows.columns
     room = F.lit(budget).cast("bigint")
@@ -110,7 +113,7 @@ def admit(
         pending = cut_lineage(pending)
         if pending.isEmpty():
             break
-        counts = pending.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if keys else pending.agg(F.count(F.lit(1)).alias("n"))
+        counts = pending.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         largest = counts.agg(F.max("n")).first()[0]
         if largest <= small_group:
             decided.append(_admit_small(pending, columns, keys, order))
@@ -126,7 +129,7 @@ def admit(
             F.max(F.when(F.col("__fits"), F.col("__n"))).alias("__taken"),
             F.min(F.when(~F.col("__fits"), position)).alias("__edge"),
         )
-        joined = sums.join(edge, keys) if keys else sums.crossJoin(F.broadcast(edge))  # one row without keys
+        joined = sums.join(edge, keys)
         decided.append(joined.where("__fits").select(*columns, F.lit(True).alias("admitted")))
         left = joined.where(~F.col("__fits")).withColumn("__room", F.col("__room") - F.coalesce("__used", F.lit(0)))
         left = left.withColumn("__slots", F.col("__slots") - F.coalesce("__taken", F.lit(0)))
@@ -155,8 +158,7 @@ def _admit_small(pending: DataFrame, columns: list[str], keys: list[str], order:
         group["admitted"] = taken
         return group[[*columns, "admitted"]]
 
-    grouped = pending.groupBy(*keys) if keys else pending.groupBy(F.lit(1).alias("__all"))
-    return grouped.applyInPandas(fold, schema)
+    return pending.groupBy(*keys).applyInPandas(fold, schema)
 
 
 def omissions(staged: DataFrame, keys: Sequence[str] = ("app_id",)) -> DataFrame:

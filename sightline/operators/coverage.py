@@ -212,13 +212,16 @@ def checklist_view(
     item_weak = [(i["item_id"], w) for i in fixed for w in i["weaknesses"] or []]
     checks = spark.createDataFrame(item_rules, "item_id string, rule_id string, explicit boolean")
     weak = spark.createDataFrame(item_weak, "item_id string, weakness_id string")
-    listed = spark.createDataFrame([(i["item_id"], len(i["rules"] or [])) for i in fixed], "item_id string, explicit_rules int")
-    grid = reports.crossJoin(F.broadcast(listed))  # reports x at most 500 configured items: the output grid
+    # The output grid: every report with each of the (at most 500) configured items.
+    listed = [F.struct(F.lit(i["item_id"]).alias("item_id"), F.lit(len(i["rules"] or [])).alias("explicit_rules")) for i in fixed]
+    grid = reports.select("report_id", F.explode(F.array(*listed)).alias("i")).select("report_id", "i.*")
     states = rule_states(coverage)
     # Derived checks count when they reported; explicit checks always count.
     derived = states.join(checks, "rule_id").select("report_id", "item_id", "state")
+    asked = [F.struct(F.lit(i).alias("item_id"), F.lit(r).alias("rule_id")) for i, r, own in item_rules if own]
+    none = F.array().cast("array<struct<item_id:string,rule_id:string>>")
     explicit = (
-        reports.crossJoin(F.broadcast(checks.where("explicit")))
+        reports.select("report_id", F.explode(F.array(*asked) if asked else none).alias("c")).select("report_id", "c.*")
         .join(states.select("report_id", "rule_id"), ["report_id", "rule_id"], "left_anti")
         .select("report_id", "item_id", F.lit("not-run").alias("state"))
     )

@@ -41,26 +41,26 @@ def match_identities(current: DataFrame, previous: DataFrame, keys: Sequence[str
     """
     keys = list(keys)
 
-    def side(frame: DataFrame, column: Column, name: str) -> DataFrame:
-        return frame.select(*keys, F.col("id").alias(name), F.explode(column).alias("identity"))
+    def side(frame: DataFrame, name: str) -> DataFrame:
+        tagged = F.transform(F.array_union("own", "every"), lambda i: F.struct(i.alias("identity"), F.array_contains("own", i).alias("mine")))
+        return frame.select(*keys, F.col("id").alias(name), F.explode(tagged).alias("t")).select(
+            *keys, name, "t.identity", F.col("t.mine").alias(f"{name}_own")
+        )
 
-    every = F.array_union("own", "every")
-    now_own, now_all = side(current, F.col("own"), "current_id"), side(current, every, "current_id")
-    old_own, old_all = side(previous, F.col("own"), "previous_id"), side(previous, every, "previous_id")
+    now, old = side(current, "current_id"), side(previous, "previous_id")
     on = [*keys, "identity"]
     pair = [*keys, "current_id", "previous_id"]
-    # One row per reachable pair: exact when any own identity is shared.
+    # At least one side's own identity takes part in every join, so entries that merely share a third alias never meet.
     edges = (
-        now_own.join(old_own, on).select(*pair, F.lit(True).alias("exact"))
-        .unionByName(now_all.join(old_own, on).select(*pair, F.lit(False).alias("exact")))
-        .unionByName(now_own.join(old_all, on).select(*pair, F.lit(False).alias("exact")))
+        now.join(old.where("previous_id_own"), on).select(*pair, F.col("current_id_own").alias("exact"))
+        .unionByName(now.where("current_id_own").join(old.where("NOT previous_id_own"), on).select(*pair, F.lit(False).alias("exact")))
         .groupBy(*pair).agg(F.bool_or("exact").alias("exact"))
     )
-    now = edges.groupBy(*keys, "current_id").agg(
+    options = edges.groupBy(*keys, "current_id").agg(
         F.bool_or("exact").alias("has_exact"), F.sum((~F.col("exact")).cast("int")).alias("aliases")
     )
-    old = edges.groupBy(*keys, "previous_id").agg(F.count(F.lit(1)).alias("reached"))
-    judged = edges.join(now, [*keys, "current_id"]).join(old, [*keys, "previous_id"])
+    claims = edges.groupBy(*keys, "previous_id").agg(F.count(F.lit(1)).alias("reached"))
+    judged = edges.join(options, [*keys, "current_id"]).join(claims, [*keys, "previous_id"])
     accepted = F.col("exact") | (~F.col("has_exact") & (F.col("aliases") == 1) & (F.col("reached") == 1))
     return judged.where(accepted).select(
         *pair, F.when(F.col("exact"), "identity").otherwise("advisory-alias").alias("basis")

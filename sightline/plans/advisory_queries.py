@@ -124,7 +124,7 @@ _SCOPE_NAMES = ("Qualcomm components", "Kernel", "Framework", "MediaTek parts")
 def bulletins(t: Tables) -> DataFrame:
     key = F.col("p_partkey")
     names = F.array(*[F.lit(n) for n in _SCOPE_NAMES])
-    return t.part.where(key % 5 == 0).select(
+    return t.part.select(
         joined("CVE-2024-", text(key + 30000)).alias("id"), F.when(key % 15 == 0, "ios").otherwise("android").alias("platform"),
         F.get(names, (key % 4).cast("int")).alias("component"), F.lit(None).cast("string").alias("vendor_scope"),
         joined("20", text(key % 3 + 23), "-", F.lpad(text(F.col("p_size") % 12 + 1), 2, "0"), "-05").alias("fixed_patch_level"),
@@ -134,7 +134,7 @@ def bulletins(t: Tables) -> DataFrame:
 
 _PATCH_SQL = """b AS (SELECT 'CVE-2024-' || (p_partkey + 30000) AS id, CASE WHEN p_partkey % 15 = 0 THEN 'ios' ELSE 'android' END AS platform,
      ['qualcomm', 'kernel', 'platform', 'mediatek'][1 + p_partkey % 4] AS scope, CAST('20' || (p_partkey % 3 + 23) || '-' || lpad(CAST(p_size % 12 + 1 AS VARCHAR), 2, '0') || '-05' AS DATE) AS fixed
-     FROM part WHERE p_partkey % 5 = 0),
+     FROM part),
    d AS (SELECT *, CASE WHEN soc_manufacturer LIKE 'Qual%' THEN 'qualcomm' WHEN soc_manufacturer = 'MTK' THEN 'mediatek' WHEN soc_manufacturer LIKE 'Sam%' THEN 'samsung' ELSE '' END AS soc,
       TRY_CAST(security_patch AS DATE) AS sp, TRY_CAST(vendor_security_patch AS DATE) AS vp FROM devices),
    j AS (SELECT b.*, d.*, least(d.sp, CASE WHEN b.scope <> 'platform' THEN d.vp END) AS actual FROM b JOIN d ON b.platform = d.platform),
@@ -220,7 +220,7 @@ def _(t: Tables) -> DataFrame:
 @query(
     "jon_11_exact_package_feeds",
     """WITH r AS (SELECT id, 'osv:' || ecosystem || ':' || name || ':' || version AS source, size AS modified FROM advisories),
-         d AS (SELECT DISTINCT 'osv:' || ecosystem || ':' || name || ':' || version AS source FROM deps WHERE app_id = 'app-3')
+         d AS (SELECT DISTINCT 'osv:' || ecosystem || ':' || name || ':' || version AS source FROM deps)
        SELECT id, source FROM r WHERE source IN (SELECT source FROM d) UNION SELECT id, source FROM (SELECT * FROM r ORDER BY modified DESC, id, source LIMIT 40)""",
     ("deps", "advisories"),
 )
@@ -228,7 +228,7 @@ def _(t: Tables) -> DataFrame:
     rows = t.advisories.select(
         "id", F.concat_ws(":", F.lit("osv"), "ecosystem", "name", "version").alias("source"), F.col("size").alias("modified"), F.lit("").alias("branch")
     )
-    return adv.correlation_window(rows, t.deps.where("app_id = 'app-3'"), 40).select("id", "source")
+    return adv.correlation_window(rows, t.deps, 40).select("id", "source")
 
 
 @query(

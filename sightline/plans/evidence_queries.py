@@ -643,7 +643,7 @@ def _(t: Tables) -> DataFrame:
 
 def claims(t: Tables) -> DataFrame:
     k = F.col("k")
-    rows = t.findings_raw.where("event_id % 5 = 0").select(
+    rows = t.findings_raw.select(
         joined("claim-", text(F.col("event_id"))).alias("claim_id"), "report_id",
         F.when(k % 3 != 0, F.col("path")).alias("path"), F.when(k % 3 == 1, F.col("line") + 2).alias("line"),
         F.when(k % 2 == 0, F.col("rule_id")).alias("rule_id"),
@@ -658,7 +658,7 @@ CLAIM_BRIDGE = [("RULE-CLICK", "W-0"), ("RULE-VIEW", "W-1"), ("RULE-ERROR", "W-1
 @query(
     "jon_20_claim_verdicts",
     f"""WITH claims AS (SELECT 'claim-' || event_id AS claim_id, report_id, CASE WHEN k % 3 <> 0 THEN path END AS path, CASE WHEN k % 3 = 1 THEN line + 2 END AS line,
-          CASE WHEN k % 2 = 0 THEN rule_id END AS rule_id, CASE WHEN k % 2 = 1 THEN 'W-' || (k % 4) END AS weakness_id FROM findings_raw WHERE event_id % 5 = 0),
+          CASE WHEN k % 2 = 0 THEN rule_id END AS rule_id, CASE WHEN k % 2 = 1 THEN 'W-' || (k % 4) END AS weakness_id FROM findings_raw),
         bridge AS (SELECT unnest(['RULE-CLICK', 'RULE-VIEW', 'RULE-ERROR', 'RULE-SIGNUP']) AS rule_id, unnest(['W-0', 'W-1', 'W-1', 'W-3']) AS weakness_id),
         checks AS (SELECT claim_id, report_id, rule_id FROM claims WHERE rule_id IS NOT NULL
           UNION ALL SELECT claim_id, report_id, b.rule_id FROM claims c JOIN bridge b ON b.weakness_id = c.weakness_id WHERE c.rule_id IS NULL),
@@ -685,16 +685,14 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "set_02_changed_keys",
-    """WITH b AS (SELECT id, severity || status AS body FROM findings WHERE report_id = 'app-3@2024-01-10'),
-            a AS (SELECT id, severity || status AS body FROM findings WHERE report_id = 'app-3@2024-01-11')
-       SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'removed' ELSE 'changed' END AS change
-       FROM a FULL OUTER JOIN b ON a.id = b.id WHERE a.body IS DISTINCT FROM b.body""",
-    ("findings",),
+    f"""WITH {_SIDES} SELECT coalesce(a.after_id, b.after_id) AS after_id, coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'removed' ELSE 'changed' END AS change
+       FROM a FULL OUTER JOIN b ON a.after_id = b.after_id AND a.id = b.id WHERE a.severity || a.status IS DISTINCT FROM b.severity || b.status""",
+    ("report_pairs", "findings"),
 )
 def _(t: Tables) -> DataFrame:
     rows = t.findings.withColumn("body", F.concat("severity", "status"))
-    old, new = rows.where("report_id = 'app-3@2024-01-10'"), rows.where("report_id = 'app-3@2024-01-11'")
-    return compare.changed_keys(old, new, ["id"])
+    old, new = compare.paired_sides(t.report_pairs, rows)
+    return compare.changed_keys(old, new, ["after_id", "id"])
 
 
 @query(

@@ -271,11 +271,11 @@ _PERMISSIONS = ("android.permission.CAMERA", "android.permission.INTERNET", "and
 
 @query(
     "cfg_12_dangerous_permissions",
-    """WITH p AS (SELECT DISTINCT 'app-' || l_partkey AS app_id, (l_suppkey + l_linenumber) % 5 AS i FROM lineitem WHERE l_linenumber <= 2)
+    """WITH p AS (SELECT DISTINCT 'app-' || l_partkey AS app_id, (l_suppkey + l_linenumber) % 5 AS i FROM lineitem)
        SELECT app_id, CASE WHEN count(*) FILTER (WHERE i IN (0, 2, 4)) > 0 THEN 'info' ELSE 'pass' END AS status, count(*) FILTER (WHERE i IN (0, 2, 4)) AS items FROM p GROUP BY app_id""",
 )
 def _(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_linenumber <= 2").select(
+    rows = t.lineitem.select(
         joined("app-", text(F.col("l_partkey"))).alias("app_id"), pick(_PERMISSIONS, (F.col("l_suppkey") + F.col("l_linenumber")) % 5).alias("permission")
     )
     return posture.permission_lint(rows).select("app_id", "status", "items")

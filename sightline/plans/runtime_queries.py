@@ -41,7 +41,7 @@ _SCENARIO_SQL = """sc AS (SELECT 's' || user_id AS scenario, 'snap' || (k % 4) A
 
 @query(
     "jon_25_canary_assertions",
-    f"""WITH {_SCENARIO_SQL}, a AS (SELECT event_id, 's' || user_id AS scenario, 'snap0' AS b, 'snap' || (1 + k % 3) AS s, 'm' || (event_id % 3) AS marker, event_type AS surface, CASE WHEN k % 4 = 0 THEN 'present' ELSE 'absent' END AS ex FROM events_k WHERE event_id % 3 = 0),
+    f"""WITH {_SCENARIO_SQL}, a AS (SELECT event_id, 's' || user_id AS scenario, 'snap0' AS b, 'snap' || (1 + k % 3) AS s, 'm' || (event_id % 3) AS marker, event_type AS surface, CASE WHEN k % 4 = 0 THEN 'present' ELSE 'absent' END AS ex FROM events_k),
        j AS (SELECT a.*, EXISTS (SELECT 1 FROM tm WHERE tm.scenario = a.scenario AND tm.snapshot = a.b AND tm.surface = a.surface AND tm.marker = a.marker) AS hb,
           EXISTS (SELECT 1 FROM tm WHERE tm.scenario = a.scenario AND tm.snapshot = a.s AND tm.surface = a.surface AND tm.marker = a.marker) AS ha, x.state AS sb, y.state AS sa
          FROM a LEFT JOIN sf x ON x.scenario = a.scenario AND x.snapshot = a.b AND x.surface = a.surface LEFT JOIN sf y ON y.scenario = a.scenario AND y.snapshot = a.s AND y.surface = a.surface)
@@ -53,7 +53,7 @@ _SCENARIO_SQL = """sc AS (SELECT 's' || user_id AS scenario, 'snap' || (k % 4) A
 def _(t: Tables) -> DataFrame:
     k = F.col("k")
     surfaces, matches = scenario_tables(t)
-    assertions = t.events_k.where("event_id % 3 = 0").select(
+    assertions = t.events_k.select(
         joined("s", text(F.col("user_id"))).alias("scenario"), F.col("event_id").alias("assertion_id"), F.lit("snap0").alias("baseline"),
         joined("snap", text(k % 3 + 1)).alias("snapshot"), joined("m", text(F.col("event_id") % 3)).alias("marker"),
         F.col("event_type").alias("surface"), F.when(k % 4 == 0, "present").alias("expect"),
@@ -64,7 +64,7 @@ def _(t: Tables) -> DataFrame:
 @query(
     "jon_26_account_transitions",
     f"""WITH {_SCENARIO_SQL}, e AS (SELECT 's' || user_id AS scenario, event_id AS tid, x.l AS label, CASE x.l WHEN 'baseline-canary' THEN 'snap0' ELSE 'snap' || (1 + k % 3) END AS snapshot, event_type AS surface, 'm' || (event_id % 3) AS marker, x.r AS req, user_id
-         FROM events_k, (SELECT unnest([{{'l': 'baseline-canary', 'r': true}}, {{'l': 'after-login_marker', 'r': true}}, {{'l': 'after-ambiguous-account-state', 'r': false}}]) AS x) WHERE event_id % 4 = 0),
+         FROM events_k, (SELECT unnest([{{'l': 'baseline-canary', 'r': true}}, {{'l': 'after-login_marker', 'r': true}}, {{'l': 'after-ambiguous-account-state', 'r': false}}]) AS x)),
        j AS (SELECT e.*, coalesce(sf.state = 'captured', false) AS cap, mm.marker IS NOT NULL AS seen FROM e LEFT JOIN sf ON sf.scenario = e.scenario AND sf.snapshot = e.snapshot AND sf.surface = e.surface
           LEFT JOIN mt mm ON mm.scenario = e.scenario AND mm.snapshot = e.snapshot AND mm.surface = e.surface AND mm.marker = e.marker),
        m AS (SELECT tid, label, user_id, CASE WHEN req THEN NOT (cap AND seen) ELSE NOT cap OR seen END AS lacking FROM j)
@@ -78,7 +78,7 @@ def _(t: Tables) -> DataFrame:
         *[F.struct(F.lit(n).alias("label"), F.lit(r).alias("required"), F.lit(b).alias("base")) for n, r, b in
           (("baseline-canary", True, True), ("after-login_marker", True, False), ("after-ambiguous-account-state", False, False))]
     )
-    wanted = t.events_k.where("event_id % 4 = 0").select(
+    wanted = t.events_k.select(
         joined("s", text(F.col("user_id"))).alias("scenario"), F.col("event_id").alias("transition_id"), F.col("event_type").alias("surface"),
         joined("m", text(F.col("event_id") % 3)).alias("marker"), "k", F.explode(labels).alias("l"),
     ).select(
@@ -235,17 +235,17 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "agg_27_observation_states",
-    """WITH o AS (SELECT user_id, event_id, CASE WHEN k = 0 THEN true WHEN k = 1 THEN NULL ELSE false END AS inc, CASE WHEN k = 2 THEN 1 ELSE 0 END AS w FROM events_k WHERE event_id % 4 = 0)
+    """WITH o AS (SELECT user_id, event_id, CASE WHEN k = 0 AND event_id % 50 = 0 THEN true WHEN k = 1 AND event_id % 20 = 0 THEN NULL ELSE false END AS inc, CASE WHEN k = 2 AND event_id % 50 = 0 THEN 1 ELSE 0 END AS w FROM events_k)
        SELECT user_id AS case_id, CASE WHEN bool_or(coalesce(inc, false) OR w > 0 OR event_id % 400 = 0) THEN 'partial' WHEN bool_or(inc IS NULL OR event_id % 600 = 4) THEN 'unmeasured' ELSE 'completed' END AS state FROM o GROUP BY user_id""",
     ("events_k",),
 )
 def _(t: Tables) -> DataFrame:
     k, e = F.col("k"), F.col("event_id")
-    rows = t.events_k.where("event_id % 4 = 0").select(
-        F.col("user_id").alias("case_id"), e.alias("observation"), F.when(k == 0, True).when(k == 1, F.lit(None)).otherwise(False).alias("incomplete"),
-        F.when(k == 2, 1).otherwise(0).alias("warnings"), (e % 600 != 4).alias("has_coverage"),
+    rows = t.events_k.select(
+        F.col("user_id").alias("case_id"), e.alias("observation"), F.when((k == 0) & (e % 50 == 0), True).when((k == 1) & (e % 20 == 0), F.lit(None)).otherwise(False).alias("incomplete"),
+        F.when((k == 2) & (e % 50 == 0), 1).otherwise(0).alias("warnings"), (e % 600 != 4).alias("has_coverage"),
     )
-    cov = t.events_k.where("event_id % 4 = 0").select(
+    cov = t.events_k.select(
         F.col("user_id").alias("case_id"), e.alias("observation"), F.when(e % 400 == 0, "limited").otherwise("checked").alias("state")
     )
     return metrics.observation_states(rows, cov)

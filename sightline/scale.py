@@ -27,14 +27,6 @@ def bounded_rows(df: DataFrame, what: str, limit: int = MAX_CONFIG_ROWS) -> list
     return rows
 
 
-def small_side(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """A broadcast hint only when the side is measured to be within ``limit`` rows.
-
-    Beyond the bound the side is returned unhinted, so the join shuffles instead.
-    """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The row with the greatest order per key, through a mergeable ``max_by``."""
     rank = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
@@ -118,12 +110,6 @@ def with_previous(
     return work.join(carried, match).select(*df.columns, F.coalesce(here, F.col("__carry"))["v"].alias(name))
 
 
-def with_group_count(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Rows per key beside each row, through a pre-aggregated join instead of a key-wide window."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    return df.join(counts, list(keys))
-
-
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: str, salts: int = 16) -> DataFrame:
     """Equi-join on few, hot keys: ``big`` rows are spread over ``salts`` by the hash of a column.
 
@@ -136,14 +122,15 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: str
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
     """Exact median per key from distinct value counts, so no key's values meet in one task."""
+    if not keys:
+        return exact_median(df.withColumn("__all", F.lit(0)), ["__all"], value, name).drop("__all")
     keys = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
     rows = running_total(counts, keys, [value], {"__upto": F.col("__n")})
-    rows = rows.join(totals, keys) if keys else rows.crossJoin(F.broadcast(totals))  # one row without keys
+    rows = rows.join(totals, keys)
     low, high = F.floor((F.col("__total") + 1) / 2), F.floor(F.col("__total") / 2) + 1
-    frame = rows.groupBy(*keys) if keys else rows.groupBy()
-    middle = frame.agg(
+    middle = rows.groupBy(*keys).agg(
         F.min(F.when(F.col("__upto") >= low, F.col(value))).alias("__lo"),
         F.min(F.when(F.col("__upto") >= high, F.col(value))).alias("__hi"),
     )

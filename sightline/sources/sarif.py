@@ -40,21 +40,24 @@ def parsed_results(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     parsed = documents.withColumn("d", F.from_json("body", SCHEMA)).drop("body")
     valid = F.coalesce(F.col("d.version") == "2.1.0", F.lit(False))
+    key = ["report_id", "tool", "run"]
     runs = parsed.where(valid).select("report_id", "tool", F.posexplode("d.runs").alias("run", "r"))
-    rules = F.coalesce("r.tool.driver.rules", F.array().cast(f"array<{RULE}>"))
-    rows = runs.select(
-        "report_id", "tool", "run", F.coalesce("r.tool.driver.name", F.lit("")).alias("driver"), rules.alias("rules"), F.posexplode("r.results").alias("position", "res")
-    )
-    by_index = F.when(F.col("res.ruleIndex") >= 0, F.get("rules", F.col("res.ruleIndex")))
+    driver = F.coalesce("r.tool.driver.name", F.lit("")).alias("driver")
+    results = runs.select(*key, driver, F.posexplode("r.results").alias("position", "res"))
+    # Rules are rows of their own: a document's rule list is never repeated per result.
+    rules = runs.select(*key, F.posexplode("r.tool.driver.rules").alias("index", "rule"))
+    by_index = rules.select(*key, F.col("index").alias("__index"), F.col("rule").alias("__at"))
+    by_id = rules.groupBy(*key, F.col("rule.id").alias("__id")).agg(F.min_by("rule", "index").alias("__named"))
     wanted = F.coalesce("res.ruleId", F.lit(""))
-    by_id = F.get(F.filter("rules", lambda x: x["id"] == F.col("res.ruleId")), F.lit(0))
-    clash = (wanted != "") & by_index.isNotNull() & ~F.coalesce(by_index["id"] == wanted, F.lit(False))
-    rows = rows.withColumn("clash", clash).withColumn("rule", F.when(wanted != "", by_id).otherwise(by_index)).withColumn(
+    rows = results.withColumn("__index", F.col("res.ruleIndex")).withColumn("__id", F.nullif(wanted, F.lit("")))
+    rows = rows.join(by_index, [*key, "__index"], "left").join(by_id, [*key, "__id"], "left")
+    clash = (wanted != "") & F.col("__at").isNotNull() & ~F.coalesce(F.col("__at.id") == wanted, F.lit(False))
+    rows = rows.withColumn("clash", clash).withColumn("rule", F.when(wanted != "", F.col("__named")).otherwise(F.col("__at"))).withColumn(
         "rule_name", F.when(wanted != "", wanted).otherwise(F.coalesce("rule.id", F.lit("unknown")))
     )
     bad_documents = parsed.where(~valid).select("report_id", "tool", F.lit("unsupported-version").alias("code"))
     bad_results = rows.where("clash").select("report_id", "tool", F.lit("rule-disagreement").alias("code"))
-    return rows.where("NOT clash").drop("clash", "rules"), bad_documents.unionByName(bad_results)
+    return rows.where("NOT clash").select(*key, "driver", "position", "res", "rule", "rule_name"), bad_documents.unionByName(bad_results)
 
 
 def external_findings(results: DataFrame, root: str = "") -> DataFrame:

@@ -34,11 +34,12 @@ def ingest_delta(table: BatchTable, cursors: BatchTable) -> Callable[[DataFrame,
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist()
-        seen = cursors.read(batch_id).agg(F.max("fetched").alias("cursor"))  # one row
-        due = kept.crossJoin(F.broadcast(seen)).where(F.col("cursor").isNull() | (F.col("fetched") >= F.col("cursor")))
+        # The cursor is one value; it travels as text so that no session zone touches it.
+        cursor = F.lit(cursors.read(batch_id).agg(F.max("fetched").cast("string")).first()[0]).cast("timestamp")
+        due = kept.where(cursor.isNull() | (F.col("fetched") >= cursor))
         enqueue(table, due.select("id", "revision", F.lit(1).alias("priority"), F.col("fetched").alias("queued_at")), batch_id)
-        newest = kept.agg(F.max("fetched").alias("newest")).crossJoin(F.broadcast(seen))
-        cursors.write(newest.select(F.greatest("newest", "cursor").alias("fetched")).where("fetched IS NOT NULL"), batch_id)
+        newest = kept.agg(F.greatest(F.max("fetched"), F.max(cursor)).alias("fetched"))
+        cursors.write(newest.where("fetched IS NOT NULL"), batch_id)
         kept.unpersist()
 
     return handle
