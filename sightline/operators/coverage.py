@@ -149,7 +149,7 @@ def coverage_matrix(
     listed = F.array(
         *[
             F.struct(F.lit(r["weakness_id"]).alias("weakness_id"), F.array(*[F.lit(p) for p in r["platform"] or []]).cast("array<string>").alias("platform"),
-                     F.lit(r["checks"]).alias("checks"))
+                     F.lit(r["checks"]).cast("bigint").alias("checks"))
             for r in fixed
         ]
     )

@@ -92,7 +92,7 @@ def _(t: Tables) -> DataFrame:
         "doc_id", F.concat("text", F.lit("\n"), F.rpad(code, 33, " ")).alias("text"), F.when(doc == 2, ".js").otherwise(".kt").alias("suffix")
     )
     out = txt.without_comments(F.col("text"), F.col("suffix"))
-    return rows.select("doc_id", F.length(out).alias("chars"), F.right(out, F.lit(33)).alias("tail"))
+    return rows.select("doc_id", F.length(out).cast("bigint").alias("chars"), F.right(out, F.lit(33)).alias("tail"))
 
 
 @query(
@@ -102,19 +102,19 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     rows = t.pages.select("page_id", F.concat(F.lit("<a/><!-- <b secret> \nmore-->"), "html").alias("text"), F.lit(".xml").alias("suffix"))
     out = txt.without_comments(F.col("text"), F.col("suffix"))
-    return rows.select("page_id", F.length(out).alias("chars"), F.substr(out, F.lit(1), F.lit(28)).alias("head"))
+    return rows.select("page_id", F.length(out).cast("bigint").alias("chars"), F.substr(out, F.lit(1), F.lit(28)).alias("head"))
 
 
 @query("fn_09_line_of_offset", "SELECT doc_id, length(substr(text, 1, length(text) // 2)) - length(replace(substr(text, 1, length(text) // 2), chr(10), '')) + 1 AS line FROM documents")
 def _(t: Tables) -> DataFrame:
     half = F.floor(F.length("text") / 2).cast("int")
-    return t.documents.select("doc_id", txt.line_of(F.col("text"), half).alias("line"))
+    return t.documents.select("doc_id", txt.line_of(F.col("text"), half).cast("bigint").alias("line"))
 
 
 @query("fn_10_byte_offset", "SELECT doc_id, strlen(substr(text, 1, length(text) // 3)) AS bytes FROM documents")
 def _(t: Tables) -> DataFrame:
     third = F.floor(F.length("text") / 3).cast("int")
-    return t.documents.select("doc_id", txt.byte_offset(F.col("text"), third).alias("bytes"))
+    return t.documents.select("doc_id", txt.byte_offset(F.col("text"), third).cast("bigint").alias("bytes"))
 
 
 @query("fn_11_path_suffix", "SELECT app_id, suffix, count(*) AS files FROM documents_src GROUP BY ALL", ("documents_src",))

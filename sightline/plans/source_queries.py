@@ -37,7 +37,7 @@ def _(t: Tables) -> DataFrame:
     folder = F.when(doc % 7 == 0, "/node_modules/").otherwise("/src/")
     path = F.concat(F.lit("file:/data/apps/"), "source", folder, F.lit("f"), text(doc), pick((".kt", ".java", ".xml", ".png", ".md"), doc % 5))
     files = t.documents.select(path.alias("path"), F.encode("text", "UTF-8").alias("content"))
-    return corpus.corpus_rows(files, "/data/apps").select("app_id", "path", F.length("text").alias("chars"))
+    return corpus.corpus_rows(files, "/data/apps").select("app_id", "path", F.length("text").cast("bigint").alias("chars"))
 
 
 @query(
