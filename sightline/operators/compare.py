@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from sightline.functions import ranks
 from sightline.functions.paths import base_name, path_agrees
 from sightline.operators.coverage import aggregate_state, rule_states, state_mask
 from sightline.operators.identity import match_identities
+from sightline.scale import with_next_value
 
 PAIR = ("before_id", "after_id")
 
@@ -212,19 +212,18 @@ def timeline(findings: DataFrame, reports: DataFrame, coverage: DataFrame) -> Da
         reports.where("complete").select("report_id", "target", "created", "signature"), "report_id"
     )
     # Forward as-of join on one row per point in time: the next capable report after each last sighting.
-    points = entries.groupBy("target", "rule_id", "signature", "last").agg(F.lit(1).alias("x")).select(
-        "target", "rule_id", "signature", F.col("last").alias("at"), F.lit(None).cast("string").alias("capable")
-    )
-    marks = able.select("target", "rule_id", "signature", when.alias("at"), F.col("report_id").alias("capable"))
-    order = W.partitionBy("target", "rule_id", "signature").orderBy("at").rowsBetween(1, W.unboundedFollowing)
-    # Both inputs hold at most one row per report of the target, so this window never holds finding rows.
-    nexts = (
-        points.unionByName(marks).groupBy("target", "rule_id", "signature", "at")
-        .agg(F.max("capable").alias("capable"), F.bool_or(F.col("capable").isNull()).alias("asked"))
-        .withColumn("resolved_in", F.first("capable", ignorenulls=True).over(order))
-        .where("asked").select("target", "rule_id", "signature", F.col("at").alias("last"), "resolved_in")
-    )
-    rows = entries.join(nexts, ["target", "rule_id", "signature", "last"], "left").join(newest, "target", "left")
+    key = ["target", "rule_id", "signature"]
+    points = entries.select(
+        *key, F.col("last.created").alias("created"), F.col("last.report_id").alias("report_id"), F.lit(None).cast("string").alias("capable")
+    ).distinct()
+    marks = able.select(*key, "created", "report_id", F.col("report_id").alias("capable"))
+    moments = points.unionByName(marks).groupBy(*key, "created", "report_id").agg(
+        F.max("capable").alias("capable"), F.bool_or(F.col("capable").isNull()).alias("asked")
+    )
+    nexts = with_next_value(moments, key, ["created", "report_id"], "capable", "resolved_in").where("asked").select(
+        *key, F.struct("created", "report_id").alias("last"), "resolved_in"
+    )
+    rows = entries.join(nexts, [*key, "last"], "left").join(newest, "target", "left")
     absent = F.col("newest") > F.col("last")
     return rows.select(
         "target", "id", "rule_id", F.col("first.created").alias("first_seen"), F.col("first.report_id").alias("first_report"),

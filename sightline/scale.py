@@ -110,6 +110,28 @@ def with_previous(
     return work.join(carried, match).select(*df.columns, F.coalesce(here, F.col("__carry"))["v"].alias(name))
 
 
+def with_next_value(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str, parts: int | None = None
+) -> DataFrame:
+    """The nearest later non-null value per key (an as-of lookup), carried back by one row per (key, slice)."""
+    work = sliced(df, [*keys, *order], parts)
+    held = F.when(F.col(column).isNotNull(), F.struct(*order))
+    firsts = work.groupBy(*keys, SLICE).agg(F.min_by(F.col(column), held).alias("__f"))
+    later = W.partitionBy(*[F.col(k) for k in keys]).orderBy(F.col(SLICE).desc()).rowsBetween(W.unboundedPreceding, -1)
+    carried = firsts.select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys],
+        F.col(SLICE).alias("__k_slice"),
+        F.last("__f", ignorenulls=True).over(later).alias("__carry"),
+    )
+    match = F.col(SLICE) == F.col("__k_slice")
+    for key in keys:
+        match = match & F.col(key).eqNullSafe(F.col(f"__k_{key}"))
+    inside = W.partitionBy(*[F.col(k) for k in keys], F.col(SLICE)).orderBy(*[F.col(o).desc() for o in order])
+    inside = inside.rowsBetween(W.unboundedPreceding, -1)
+    here = F.last(column, ignorenulls=True).over(inside)
+    return work.join(carried, match).select(*df.columns, F.coalesce(here, F.col("__carry")).alias(name))
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: str, salts: int = 16) -> DataFrame:
     """Equi-join on few, hot keys: ``big`` rows are spread over ``salts`` by the hash of a column.
 

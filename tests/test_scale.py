@@ -50,6 +50,17 @@ def test_previous_value_crosses_slices(rows):
             previous = h
 
 
+def test_next_value_looks_past_nulls_and_slices(rows):
+    data, df = rows
+    marked = df.withColumn("mark", F.when(F.col("size") == 0, F.col("n")))
+    got = {(r["key"], r["n"]): r["after"] for r in scale.with_next_value(marked, ["key"], ["n"], "mark", "after", parts=9).collect()}
+    for key, group in grouped(data).items():
+        upcoming = None
+        for _, n, size, _ in reversed(group):
+            assert got[(key, n)] == upcoming
+            upcoming = n if size == 0 else upcoming
+
+
 def test_exact_median(rows):
     data, df = rows
     got = {r["key"]: r["median"] for r in scale.exact_median(df, ["key"], "size").collect()}
