@@ -22,8 +22,8 @@ def reachable(edges: DataFrame, roots: DataFrame, keys: Sequence[str] = (), max_
     """(keys, root, module): everything each root reaches over ``edges`` (keys, src, dst), the root included."""
     keys = list(keys)
     steps = cut_lineage(edges.select(*keys, "src", "dst").distinct())
-    seen = cut_lineage(roots.select(*keys, F.col("module").alias("root"), "module").distinct())
-    frontier = seen
+    frontier = cut_lineage(roots.select(*keys, F.col("module").alias("root"), "module").distinct())
+    seen = frontier  # grows by one written part per round; earlier parts are not written again
     for _ in range(max_rounds):
         found = frontier.join(steps.withColumnRenamed("src", "module"), [*keys, "module"]).select(
             *keys, "root", F.col("dst").alias("module")
@@ -31,7 +31,7 @@ def reachable(edges: DataFrame, roots: DataFrame, keys: Sequence[str] = (), max_
         frontier = cut_lineage(found.join(seen, [*keys, "root", "module"], "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = cut_lineage(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
     raise ValueError(f"reachability did not settle within {max_rounds} rounds")
 
 
@@ -85,8 +85,8 @@ def flow_paths(
         steps = steps.join(stop.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_anti")
         starts = starts.join(stop, [*keys, "node"], "left_anti")
     steps = cut_lineage(steps)
-    seen = cut_lineage(starts)
-    frontier = seen
+    frontier = cut_lineage(starts)
+    seen = frontier
     pair = [*keys, "node", "origin"]
     for _ in range(depth):
         moved = frontier.join(steps.withColumnRenamed("src", "node"), [*keys, "node"]).select(
@@ -97,7 +97,7 @@ def flow_paths(
         frontier = cut_lineage(best.join(seen.select(*pair), pair, "left_anti"))
         if frontier.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
     findings = seen.join(sinks.select(*keys, "node", "rule_id").distinct(), [*keys, "node"]).select(
         *keys, "rule_id", "origin", F.col("node").alias("sink"), (F.size("path") - 1).alias("steps"), "path"
     )
