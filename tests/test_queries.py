@@ -10,10 +10,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from sightline.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = sorted(entry.queries())
+NAMES = sorted(catalog.queries())
 CHOSEN = NAMES if os.environ.get("SIGHTLINE_ALL_QUERIES") else NAMES[::9]
 
 
@@ -38,7 +39,7 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(catalog.oracles()) == set(catalog.queries())
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not mounted")
