@@ -62,7 +62,7 @@ def mix(docs: DataFrame, ceiling: int = CEILING, seed: str = "mix") -> DataFrame
 def mixed_documents(docs: DataFrame, ceiling: int = CEILING, seed: str = "mix") -> DataFrame:
     """The mixed corpus: rows of ``docs`` as often as the mix takes them, the last one of a source cut after its words.
 
-    Documents without words carry nothing to mix and stay once. Columns are those of ``docs``.
+    Documents without words carry nothing to mix and stay once; rows alike share their words evenly, rounded down. Columns are those of ``docs``.
     """
     part = ["__doc", "__crc"]
     plan = mix(docs, ceiling, seed).select(F.col("doc_id").alias("__doc"), F.col("text_crc32").alias("__crc"), "source", "size", "taken")

@@ -23,7 +23,8 @@ from tokenizers import Tokenizer
 
 CAPACITY = 2048
 END_ID = 1
-SENTENCE_PENALTY, FORCED_PENALTY, FORCED_STEP = 8, 48, 128
+SENTENCE_PENALTY, FORCED_PENALTY = 8, 48
+FORCED_PARTS = 16  # forced cuts lie a sixteenth of the capacity apart
 CACHE_ENTRIES = 300_000
 
 
@@ -74,7 +75,7 @@ class Packer:
     """The dynamic programme over one stream; finished windows leave as soon as all live paths agree on them."""
 
     def __init__(self, capacity: int = CAPACITY):
-        self.capacity = capacity
+        self.capacity, self.step = capacity, max(1, capacity // FORCED_PARTS)
         self.places, self.costs, self.parents = [0], [0], [-1]
         self.queue: deque[int] = deque([0])
         self.docs: deque[tuple] = deque()  # (first place, ids, doc_id)
@@ -87,8 +88,8 @@ class Packer:
         cuts.append(count)
         before, last = 0, len(cuts) - 1
         for k, cut in enumerate(cuts):
-            while cut - before > FORCED_STEP:
-                before += FORCED_STEP
+            while cut - before > self.step:
+                before += self.step
                 self._cut(base + before, FORCED_PENALTY)
             if cut > before:
                 self._cut(base + cut, 0 if k == last else SENTENCE_PENALTY)

@@ -57,8 +57,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     q AS (SELECT *, cap / weight AS ratio, (SELECT sum(source_size) FROM w) AS total, (SELECT sum(weight) FROM w) AS weights FROM w),
     l AS (SELECT *, (total - (sum(cap) OVER o - cap)) / (weights - sum(weight) OVER o + weight) AS level FROM q
           WINDOW o AS (ORDER BY ratio, rank ROWS UNBOUNDED PRECEDING)),
-    a AS (SELECT arg_min(level, rank_all) AS at FROM (SELECT *, row_number() OVER (ORDER BY ratio, rank) AS rank_all FROM l) z WHERE cap > level * weight),
-    t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce(at * weight, CAST(cap AS DOUBLE))) AS target FROM l, a),
+    a AS (SELECT arg_min(level, rank_all) AS free_level FROM (SELECT *, row_number() OVER (ORDER BY ratio, rank) AS rank_all FROM l) z WHERE cap > level * weight),
+    t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce(free_level * weight, CAST(cap AS DOUBLE))) AS target FROM l, a),
     b AS (SELECT *, CAST(round(target) AS BIGINT) AS budget FROM t),
     e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM b)
     SELECT p.doc_id, p.size, CAST(e.source_size AS BIGINT) AS source_size, e.target AS target,
