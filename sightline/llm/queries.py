@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import mixing, packing, sharding, warc
+from sightline.llm import cotraining, crf_secrets, ctw, mixing, ngram_join, nn_descent, packing, projection_dedup, sharding, warc
 from sightline.llm.common import table
 
 QUERIES: dict = {}
@@ -32,17 +32,37 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op2_context_tree")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return ctw.score(table(spark, folder, "documents"))
+
+
 @query("op3_warc_dictionary")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive(table(spark, folder, "pages"))
 
 
+@query("op4_cotraining")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return cotraining.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op5_window_packing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     return packing.pack(table(spark, folder, "documents"), *files, public_tokenizers.PATTERN, with_ids=False)
 
 
+@query("op6_projection_passes")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return projection_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op7_random_field")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return crf_secrets.scan(table(spark, folder, "documents"))
+
+
 @query(
     "op8_source_mixing",
     r"""
@@ -68,3 +88,13 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op9_ngram_minhash")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(table(spark, folder, "documents"))
+
+
+@query("op10_nn_descent")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return nn_descent.search(table(spark, folder, "embeddings"))
