@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import mixed_bits
+from sightline.llm.common import mixed_bits, saved
 
 # The patterns of the base spans, in the order of their kinds.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -25,11 +25,14 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "model")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST = {"assign": 8, "access": 16, "hex": 32, "model": 8}
-LIKELY = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8}|(?-i:AKIA[A-Z0-9]{12}|[0-9a-f]{32})"
+LIKELY = {
+    KEYWORDS: r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8}",
+    ("akia",): r"AKIA[A-Z0-9]{12}",
+}
 
 SAMPLE_DOCUMENTS = 400
-SAMPLE_CHUNKS, CHUNK_TOKENS = 4000, 64
-ROUNDS = 80
+SAMPLE_CHUNKS, CHUNK_TOKENS = 1500, 48
+ROUNDS = 60
 MARGIN = 2.0
 TAGS = 3  # outside, begin, inside
 
@@ -53,8 +56,10 @@ SHAPES = 128 * 8 * 4
 GAPS = 16 * 16
 WORDS = 1024
 FILES = 8 * 4
-OFFSETS = np.cumsum([0, SHAPES, GAPS, WORDS, WORDS])
-FEATURES = int(OFFSETS[-1]) + FILES
+MIXTURES, SIZES = 16 * 2, 8 * 4
+OFFSETS = np.cumsum([0, SHAPES, GAPS, WORDS, WORDS, FILES, MIXTURES])
+GROUPS = len(OFFSETS)
+FEATURES = int(OFFSETS[-1]) + SIZES
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -81,7 +86,7 @@ class Tokens:
         inside = (kind & TOKEN_BITS) > 0
         if not len(code) or not inside.any():
             self.starts = self.ends = np.zeros(0, np.int64)
-            self.features, self.firsts = np.zeros((0, 5), np.int64), np.zeros(len(texts) + 1, np.int64)
+            self.features, self.firsts = np.zeros((0, GROUPS), np.int64), np.zeros(len(texts) + 1, np.int64)
             return
         change = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         edges = np.concatenate([[0] if inside[0] else [], change, [len(code)] if inside[-1] else []]).astype(np.int64)
@@ -119,7 +124,10 @@ class Tokens:
         share = np.bincount(owner, weights=digits, minlength=len(texts)) / np.maximum(lengths, 1)
         assigns = np.bincount(owner, weights=(gap & 1), minlength=len(texts))
         of_file = np.searchsorted([0.0001, 0.001, 0.005, 0.02, 0.05, 0.1, 0.3], share, "right") * 4 + np.searchsorted([1, 3, 10], assigns, "right")
-        self.features = np.stack([shape, OFFSETS[1] + before_gap * 16 + second_gap, OFFSETS[2] + before_word, OFFSETS[3] + after_word, OFFSETS[4] + of_file[owner]], axis=1)
+        lower, upper = (bits & (HEX_LOWER | LOWER)) > 0, (bits & (HEX_UPPER | UPPER)) > 0
+        mixture = lower + 2 * upper + 4 * ((bits & DIGIT) > 0) + 8 * ((bits & OTHER_LETTER) > 0) + 16 * ((bits & JOINER) > 0)
+        columns = [shape, before_gap * 16 + second_gap, before_word, after_word, of_file[owner], mixture, length * 4 + variety]
+        self.features = np.stack([c + offset for c, offset in zip(columns, OFFSETS)], axis=1)
 
 
 class Field:
@@ -137,7 +145,7 @@ class Field:
         return out
 
     @staticmethod
-    def train(features: np.ndarray, tags: np.ndarray, mask: np.ndarray, rounds: int = ROUNDS, l2: float = 1e-3) -> Field:
+    def train(features: np.ndarray, tags: np.ndarray, mask: np.ndarray, rounds: int = ROUNDS, l2: float = 1e-5) -> Field:
         """Maximum conditional likelihood of chunks (chunk, token) by Adam; gradients by forward and backward sums."""
         chunks, steps, groups = features.shape
         emit, move, begin = np.zeros((FEATURES, TAGS)), np.zeros((TAGS, TAGS)), np.zeros(TAGS)
@@ -193,16 +201,20 @@ class Field:
     def decode(self, features: np.ndarray, firsts: np.ndarray, margin: float = MARGIN) -> list[tuple[int, int]]:
         """(first, last) tokens of the spans on the best path of each text.
 
-        A token whose best secret tag trails the outside tag by more than any change of neighbouring tags can win back
-        is outside on every best path, so only the runs of other tokens go through Viterbi. A span that beats being
-        outside by less than ``margin`` is left out.
+        A run of secret tokens gains, against all of them being outside, at most the sum of its tokens' ``gain`` and one
+        more move. A token in no run for which this is positive is outside on every best path, so only the other tokens
+        go through Viterbi. A run that beats being outside by less than ``margin`` is left out.
         """
         if not len(features):
             return []
         e = self.emissions(features)
-        legal = np.append(self.move[self.move > self.FORBIDDEN / 2], self.begin[self.begin > self.FORBIDDEN / 2])
-        swing = 3 * (legal.max() - legal.min()) + max(0.0, float((e[:, 2] - e[:, 1]).max()))
-        maybe = np.flatnonzero(np.maximum(e[:, 1], e[:, 2]) - e[:, 0] >= -swing)
+        moves = np.append(self.move.reshape(-1)[1:], self.begin[1:] - self.begin[0] + self.move[0, 0]) - self.move[0, 0]
+        most = max(0.0, float(moves.max()))
+        gain = np.maximum(e[:, 1], e[:, 2]) - e[:, 0] + most
+        sums = np.concatenate([[0.0], np.cumsum(gain)])
+        before = sums[:-1] - np.minimum.accumulate(sums[:-1])
+        after = np.maximum.accumulate(sums[::-1])[::-1][1:] - sums[1:]
+        maybe = np.flatnonzero(before + gain + after + most > 0)
         if not len(maybe):
             return []
         starting = set(firsts.tolist())
@@ -246,16 +258,25 @@ class Field:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Field | None:
-    """The field, trained on ``sample`` documents with base spans and as many without, drawn by a hash of their id.
+    """The field, trained on ``sample`` documents likely to hold base spans and as many others, drawn by a hash of their id.
 
     None if no document has a base span: then there is nothing to learn from.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("likely", F.col("text").rlike(LIKELY)).withColumn("draw", F.xxhash64(F.lit("crf"), F.col("doc_id")))
-    small = rows.where(F.length("text") < 100_000)  # a sample of bounded size; scanning takes texts of any length
-    texts = []
-    for likely in (True, False):
-        texts += [r.text for r in small.where(F.col("likely") == likely).orderBy("draw", "doc_id").limit(sample).select("text").collect()]
+    rows = rows.where(F.length("text") < 100_000)  # a sample of bounded size; scanning takes texts of any length
+    lowered, likely = F.lower("text"), F.lit(False)
+    for words, pattern in LIKELY.items():
+        some = F.lit(False)
+        for word in words:
+            some = some | F.contains(lowered, F.lit(word))
+        likely = likely | (some & F.col("text").rlike(pattern))  # the pattern is tried on texts with its words only
+    drawn = saved(rows.select("doc_id", likely.alias("likely"), F.xxhash64(F.lit("crf"), F.col("doc_id")).alias("draw")), "draw")
+    chosen = None
+    for kind in (True, False):
+        part = drawn.where(F.col("likely") == kind).orderBy("draw", "doc_id").limit(sample).select(F.col("doc_id").alias("chosen_id"))
+        chosen = part if chosen is None else chosen.unionByName(part)
+    chosen = F.broadcast(chosen.distinct())  # twice the sample at most
+    texts = sorted(r.text for r in rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id"))).limit(3 * sample).select("text").collect())
     tokens = Tokens(texts)
     tags = np.zeros(len(tokens.starts), dtype=np.int64)
     for k, text in enumerate(texts):
