@@ -164,7 +164,8 @@ def read_archives(files: DataFrame, folder: str, with_payload: bool = False) ->
                 columns = list(zip(*parsed))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
-    return files.select("path").repartition(F.col("path")).mapInArrow(run, schema)
+    # a stated number of partitions: a row is a whole archive, so tasks are not to be merged by the rows' size
+    return files.select("path").repartition(max(1, files.count()), F.col("path")).mapInArrow(run, schema)
 
 
 def archive(pages: DataFrame, folder: str | None = None, **options: int) -> DataFrame:
