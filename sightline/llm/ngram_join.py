@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sightline.llm.common import block_pairs, byte_slices, components, grouped_in_arrow, local_roots, mixed_bits, saved, word_hashes
 
 WORDS, THRESHOLD = 5, 0.8
-RECALL, MOST_HASHES = 0.9995, 256
+RECALL, MOST_HASHES = 0.9999, 288
 CHUNK = 1024
 COLUMNS_AT_ONCE = 4096
 
