@@ -26,7 +26,7 @@ ROUNDS, CONFIDENT, EACH_ROUND = 3, 0.98, 600
 TRIGRAMS, LANGS, SOURCES = 512, 16, 64
 KEEP_SHARE = 0.999  # of good documents kept aside, the least share that has to stay
 SURE = 0.3  # a document goes only if its chance of being good is below this
-L2 = 1e-2
+L2 = 0.05
 #: Kinds of bytes: lower, upper, digit, space, line end, common punctuation, brackets and rules, other ASCII, beyond ASCII.
 KINDS = 9
 _KIND = np.full(256, 7, dtype=np.uint8)
@@ -84,21 +84,35 @@ def features(langs: list, sources: list, lengths: list, texts: pa.Array) -> Iter
 
 
 class Logistic:
-    """L2-regularised logistic regression by Newton steps."""
+    """L2-regularised logistic regression by Newton steps, each shortened until the penalised loss falls."""
 
     def __init__(self, l2: float = L2):
         self.l2, self.weights = l2, None
 
-    def fit(self, x: np.ndarray, y: np.ndarray, importance: np.ndarray | None = None, steps: int = 6) -> Logistic:
+    def fit(self, x: np.ndarray, y: np.ndarray, importance: np.ndarray | None = None, steps: int = 8) -> Logistic:
         x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)]).astype(np.float64)
         importance = np.ones(len(x)) if importance is None else importance
         w = np.zeros(x.shape[1]) if self.weights is None else self.weights
-        ridge = np.full(x.shape[1], self.l2 * len(x) / 100)
+        ridge = np.full(x.shape[1], self.l2)
         ridge[-1] = 1e-6
+
+        def loss(w: np.ndarray) -> float:
+            z = x @ w
+            return float((importance * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (ridge * w * w).sum())
+
+        now = loss(w)
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            curve = np.maximum(p * (1 - p), 1e-4) * importance
-            w = w - np.linalg.solve((x * curve[:, None]).T @ x + np.diag(ridge), x.T @ ((p - y) * importance) + ridge * w)
+            curve = np.maximum(p * (1 - p), 1e-6) * importance
+            step = np.linalg.solve((x * curve[:, None]).T @ x + np.diag(ridge), x.T @ ((p - y) * importance) + ridge * w)
+            size = 1.0
+            while (after := loss(w - size * step)) > now and size > 1e-4:
+                size /= 2
+            if after > now:
+                break
+            w, gained, now = w - size * step, now - after, after
+            if gained < 1e-6 * len(x):
+                break
         self.weights = w
         return self
 
@@ -131,11 +145,11 @@ class CoTrained:
                 self.exchanged[k] = int(some.sum())
                 both_x = np.vstack([x[train, cut[k]], pool[some, cut[k]]])
                 both_y = np.concatenate([y[train], given[k][some] > 0])
-                self.views[k].fit(both_x, both_y, np.concatenate([np.ones(train.sum()), np.full(some.sum(), 0.5)]), steps=3)
+                self.views[k].fit(both_x, both_y, np.concatenate([np.ones(train.sum()), np.full(some.sum(), 0.5)]), steps=4)
         self.cut = cut
         z = self._view_logits(x[aside])
-        self.scales = [Logistic(1e-3).fit(z[:, [k]], y[aside]) for k in (0, 1)]
-        self.joint = Logistic(1e-3).fit(self._calibrated(z), y[aside])
+        self.scales = [Logistic(0.1).fit(z[:, [k]], y[aside]) for k in (0, 1)]
+        self.joint = Logistic(0.1).fit(self._calibrated(z), y[aside])
         good = np.sort(self.scores(x[aside])[y[aside] > 0.5])
         self.threshold = min(SURE, float(good[int((1 - KEEP_SHARE) * len(good))])) if len(good) else SURE
 
