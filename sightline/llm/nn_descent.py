@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -160,31 +161,47 @@ def neighbour_graph(directions: DataFrame, neighbours: int = NEIGHBOURS, sample:
 
 
 def _products() -> object:
+    """Inner products of queries and nodes: without the further component, which only nodes have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = (_floats(batch.column(2)) * _floats(batch.column(3))).sum(axis=1) if batch.num_rows else np.zeros(0, np.float32)
+            if not batch.num_rows:
+                continue
+            dims = pc.binary_length(batch.column(2)).to_numpy()
+            s = np.zeros(batch.num_rows, dtype=np.float32)
+            for dim in np.unique(dims).tolist():
+                here = pa.array(np.flatnonzero(dims == dim))
+                asked, met = (_floats(batch.column(k).take(here)) for k in (2, 3))
+                s[here.to_numpy()] = (asked[:, :-1] * met[:, :-1]).sum(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s.astype(np.float32))], names=["q", "v", "s"])
 
     return run
 
 
-def walk(graph: DataFrame, directions: DataFrame, queries: DataFrame, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
+def walk(graph: DataFrame, directions: DataFrame, queries: DataFrame, entries: list[int], beam: int = BEAM, steps: int = STEPS) -> DataFrame:
     """q, v, s: the ``beam`` nearest nodes that a greedy walk from each query's own node finds.
 
-    In each step every node of the beam that was not expanded yet offers its list; the walk ends when no new node
-    enters any beam.
+    In each step every node of the beam that was not expanded yet offers its neighbours, forward and reverse; the walk
+    ends when no new node enters any beam. Where norms differ, walks also start from the ``beam`` nodes of largest norm.
     """
     nearest = [F.col("s").desc(), F.col("v")]
-    links = graph.select(F.col("u").alias("from"), F.col("v").alias("to"))
+    back = _top(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "s"), "u", nearest, NEIGHBOURS)
+    links = saved(graph.select("u", "v").unionByName(back.select("u", "v")).distinct().select(F.col("u").alias("from"), F.col("v").alias("to")), "links")
     asked = directions.join(queries.select(F.col("q").alias("node")), "node").select(F.col("node").alias("q"), F.col("direction").alias("asked"))
-    beams = graph.join(queries, F.col("u") == F.col("q")).where(F.col("rank") <= beam).select("q", "v", "s", F.lit(False).alias("done"))
-    beams = saved(beams, "beams")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(asked, "q").join(directions.select(F.col("node").alias("v"), "direction"), "v").where("length(asked) = length(direction)")
+        both = both.select("q", "v", "asked", "direction")
+        return both.mapInArrow(_products(), "q long, v long, s float").withColumn("done", F.lit(False))
+
+    starts = graph.join(queries, F.col("u") == F.col("q")).where(F.col("rank") <= beam).select("q", "v")
+    if entries:
+        starts = starts.unionByName(queries.select("q", F.explode(F.array(*map(F.lit, entries))).alias("v")).where("q != v")).distinct()
+    beams = saved(_top(scored(starts), "q", nearest, beam).select("q", "v", "s", "done"), "beams")
     for _ in range(steps):
         offered = beams.where("not done").join(links, F.col("v") == F.col("from")).select("q", F.col("to").alias("v")).where("q != v").distinct()
         new = offered.join(beams.select("q", "v"), ["q", "v"], "left_anti")
-        pairs = new.join(asked, "q").join(directions.select(F.col("node").alias("v"), "direction"), "v").select("q", "v", "asked", "direction")
-        scored = pairs.mapInArrow(_products(), "q long, v long, s float").withColumn("done", F.lit(False))
-        beams = saved(_top(beams.select("q", "v", "s", F.lit(True).alias("done")).unionByName(scored), "q", nearest, beam).select("q", "v", "s", "done"), "beams")
+        beams = saved(_top(beams.select("q", "v", "s", F.lit(True).alias("done")).unionByName(scored(new)), "q", nearest, beam).select("q", "v", "s", "done"), "beams")
         if not beams.where("not done").limit(1).count():
             break
     return beams.select("q", "v", "s")
@@ -218,12 +235,17 @@ def search(embeddings: DataFrame, every: int = 20, count: int = 20, **options: i
     least = rows.withColumn("rank", F.dense_rank().over(W.partitionBy("embedding").orderBy("vec_id"))).where(F.col("rank") <= count + 1)
     nodes = least.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.sort_array(F.collect_set("vec_id")).alias("ids"))
     nodes = saved(nodes.withColumn("dim", F.size("embedding")), "nodes")
-    norm = nodes.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x, lambda a: F.sqrt(a)))).first()[0] or 1.0
+    length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x, lambda a: F.sqrt(a))
+    norms = nodes.agg(F.max(length).alias("most"), F.min(length).alias("least")).first()
+    norm = norms["most"] or 1.0
+    entries = []
+    if norms["most"] and norms["least"] < 0.99 * norm:
+        entries = [r.node for r in nodes.orderBy(length.desc(), "node").limit(BEAM).select("node").collect()]
     directions = saved(_directions(nodes, norm), "directions")
     graph = neighbour_graph(directions, **options)
     asking = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     asking = saved(asking.join(nodes.select("embedding", F.col("node").alias("q")), F.col("vector") == F.col("embedding")).select("query_id", "q"), "queries")
-    found = walk(graph, directions, asking.select("q").distinct())
+    found = walk(graph, directions, asking.select("q").distinct(), entries)
     found = found.select("q", "v").unionByName(asking.select("q", F.col("q").alias("v")).distinct())
     left = nodes.select(F.col("node").alias("q"), F.col("embedding").alias("a"))
     right = nodes.select(F.col("node").alias("v"), F.col("embedding").alias("b"))
