@@ -26,8 +26,23 @@ V2 = {
     "A": {"N": 0.0, "P": 0.275, "C": 0.66},
 }
 DECLARED_SCORE = {"critical": 10, "high": 8, "medium": 5, "low": 2, "info": 0}
-V3_SHAPE = r"^CVSS:3\.[01]/AV:[NALP]/AC:[LH]/PR:[NLH]/UI:[NR]/S:[UC]/C:[HLN]/I:[HLN]/A:[HLN](?:/[A-Z]{1,3}:[A-Z])*$"
-V2_SHAPE = r"^AV:[LAN]/AC:[HML]/Au:[MSN]/C:[NPC]/I:[NPC]/A:[NPC](?:/[A-Z]{1,3}:[A-Z]{1,3})*$"
+V3_VALUES = {"AV": "NALP", "AC": "LH", "PR": "NLH", "UI": "NR", "S": "UC", "C": "HLN", "I": "HLN", "A": "HLN"}
+V2_VALUES = {name: "".join(table) for name, table in V2.items()}
+V3_HEAD = r"^CVSS:3\.[01]/"
+
+
+def _named(name: str):
+    return lambda part: part.startswith(f"{name}:")
+
+
+def _well_formed(vector: Column, values: dict[str, str]) -> Column:
+    """Metrics in any order: every part is a metric, and each base metric occurs once, with one of its values."""
+    parts = F.split(vector, "/")
+    ok = F.forall(parts, lambda p: p.rlike(r"^[A-Z][A-Za-z]{0,2}:[A-Z]{1,3}$"))
+    for name, letters in values.items():
+        mine = F.filter(parts, _named(name))
+        ok = ok & (F.size(mine) == 1) & F.get(mine, F.lit(0)).rlike(f"^{name}:[{letters}]$")
+    return ok
 
 
 def _metric(vector: Column, name: str) -> Column:
@@ -70,7 +85,7 @@ def v3_base(vector: Column) -> Column:
         return F.when(scaled % 10000 == 0, scaled / 100000).otherwise((F.floor(scaled / 10000) + 1) / 10)
 
     names = ("AV", "AC", "PR", "UI", "S", "C", "I", "A")
-    return F.when(vector.rlike(V3_SHAPE), let(_letters(vector, names), scored))
+    return F.when(vector.rlike(V3_HEAD) & _well_formed(F.regexp_replace(vector, V3_HEAD, ""), V3_VALUES), let(_letters(vector, names), scored))
 
 
 def v2_base(vector: Column) -> Column:
@@ -87,7 +102,7 @@ def v2_base(vector: Column) -> Column:
             ),
         )
 
-    return F.when(vector.rlike(V2_SHAPE), let(_letters(vector, tuple(V2)), scored))
+    return F.when(_well_formed(vector, V2_VALUES), let(_letters(vector, tuple(V2)), scored))
 
 
 def score_label(score: Column) -> Column:

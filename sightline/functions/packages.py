@@ -19,7 +19,6 @@ PURL_TYPES = {
 CVE_ID = r"^CVE-\d{4}-\d{4,}$"
 # Fixed value: the public record repository.
 CVE_RECORDS = "https://raw.githubusercontent.com/CVEProject/cvelistV5/main/cves/"
-MAX_ADVISORY_IDS = 32
 MAX_ADVISORY_ID_LENGTH = 200
 
 
@@ -90,12 +89,13 @@ def valid_advisory_id(value: Column) -> Column:
     return value.isNotNull() & (value != "") & (F.length(value) <= MAX_ADVISORY_ID_LENGTH) & ~value.rlike(r"\s")
 
 
-def bounded_advisory_ids(display: Column, identifiers: Column, cap: int = MAX_ADVISORY_IDS) -> Column:
-    """Sorted valid ids; the display id always keeps its place under the cap."""
+def bounded_advisory_ids(display: Column, identifiers: Column, cap: int | None = None) -> Column:
+    """Sorted valid ids, all unless a ``cap`` is asked for; the display id always keeps its place under the cap."""
     valid = F.array_sort(F.array_distinct(F.filter(identifiers, valid_advisory_id)))
     others = F.array_remove(valid, display)
     own = F.when(valid_advisory_id(display), F.array(display)).otherwise(F.array().cast("array<string>"))
-    return F.array_sort(F.slice(F.concat(own, others), 1, cap))
+    both = F.concat(own, others)
+    return F.array_sort(both if cap is None else F.slice(both, 1, cap))
 
 
 def display_id(upstream: Column, aliases: Column) -> Column:

@@ -18,8 +18,9 @@ PEP440 = (
 
 
 def _digits(value: Column) -> Column:
-    """Eighteen digits, so text order is numeric order."""
-    return F.lpad(F.regexp_replace(F.when(value == "", "0").otherwise(value), r"^0+(?=\d)", ""), 18, "0")
+    """A number behind its count of digits, so text order is numeric order at any length."""
+    number = F.regexp_replace(F.when(value == "", "0").otherwise(value), r"^0+(?=\d)", "")
+    return F.concat(F.lpad(F.length(number).cast("string"), 6, "0"), number)
 
 
 def version_key(version: Column) -> Column:
@@ -27,7 +28,7 @@ def version_key(version: Column) -> Column:
     names = ("epoch", "release", "pre", "pre_n", "post", "post_a", "post_b", "dev", "dev_n", "local")
     parts = F.struct(*[F.regexp_extract(version, PEP440, i + 1).alias(n) for i, n in enumerate(names)])
     # Plain dotted numbers, by far the most common form, need no grammar groups.
-    plain = F.concat(F.lit("0" * 18 + "/"), _release(version), F.lit("9/0/9/0"))
+    plain = F.concat(_digits(F.lit("0")), F.lit("/"), _release(version), F.lit("9/0/9/0"))
     return F.when(version.rlike(r"^\d+(?:\.\d+)*$"), plain).when(version.rlike(PEP440), let(parts, _key))
 
 

@@ -214,7 +214,7 @@ def without_rejected(records: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def equivalent_ids(display: Column, member_ids: Column, aliases: Column, rejected: Column) -> Column:
-    """Display id, active member ids and aliases, minus rejected ones, bounded."""
+    """Display id, active member ids and aliases, minus rejected ones."""
     from sightline.functions.packages import bounded_advisory_ids
 
     merged = F.array_union(F.array_union(F.array(display), member_ids), aliases)
@@ -253,10 +253,8 @@ def correlate(deps: DataFrame, advisories: DataFrame) -> DataFrame:
 def merge_dependency_findings(matches: DataFrame, keys: Sequence[str] = ("app_id", "finding_id")) -> DataFrame:
     """One finding per identity: strongest severity, confirmed if any match is, exact counts of versions.
 
-    The matched versions stay rows of ``matches``; alias ids are merged and bounded.
+    The matched versions are rows of :func:`finding_versions`; alias ids are merged.
     """
-    from sightline.functions.packages import MAX_ADVISORY_IDS
-
     merged = matches.groupBy(*keys, "rule_id", "ecosystem", "name", "path").agg(
         F.max(ranks.severity_rank(F.col("severity"))).alias("__rank"),
         F.bool_or(F.col("status") == "version-affected").alias("__affected"),
@@ -266,9 +264,7 @@ def merge_dependency_findings(matches: DataFrame, keys: Sequence[str] = ("app_id
     alias_rows = matches.select(*keys, F.explode("advisory_ids").alias("a")).distinct()
     display = matches.select(*keys, F.col("rule_id").alias("a")).distinct()
     others = alias_rows.join(display, [*keys, "a"], "left_anti")
-    kept = top_k(others, keys, [F.col("a")], MAX_ADVISORY_IDS - 1, "__n").groupBy(*keys).agg(
-        F.collect_list("a").alias("__ids")
-    )
+    kept = others.groupBy(*keys).agg(F.collect_list("a").alias("__ids"))  # the aliases of one advisory
     rows = merged.join(kept, list(keys), "left")
     ids = F.array_sort(F.array_union(F.array("rule_id"), F.coalesce("__ids", F.array().cast("array<string>"))))
     return rows.select(
@@ -278,6 +274,11 @@ def merge_dependency_findings(matches: DataFrame, keys: Sequence[str] = ("app_id
     )
 
 
+def finding_versions(matches: DataFrame, keys: Sequence[str] = ("app_id", "finding_id")) -> DataFrame:
+    """The distinct matched versions of each merged finding, as rows."""
+    return matches.select(*keys, "version").distinct()
+
+
 BRANCH = ("id", "state", "platform", "component", "fixed_release", "fixed_patch_level", "updated_versions", "snapshot_hash")
 
 

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from sightline.functions.paths import base_name, path_suffix, source_module
@@ -39,8 +37,6 @@ TEST_SOURCES = (
     r"|[A-Z][a-z0-9]+(?:[-_][A-Z][a-z0-9]+)+Tests|__tests__)/"
     r"|\.(?:test|spec)\.[jt]s$|_test\.dart$|(?:^|/)integration_test/"
 )
-SMALL_GROUP = 50_000
-
 
 def staging_rank(path: Column) -> Column:
     """Struct (tier, rank) of a path: configuration, own code, headers, locks, vendored code; then text, locales, tests."""
@@ -81,86 +77,59 @@ def round_robin(files: DataFrame, keys: Sequence[str] = ("app_id",)) -> DataFram
 
 
 def admit(
-    rows: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    size: str,
-    budget: int,
-    count_limit: int | None = None,
-    small_group: int = SMALL_GROUP,
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], size: str, budget: int, count_limit: int | None = None
 ) -> DataFrame:
     """Adds ``admitted``: in order, every row that still fits the byte (and row) budget; others are passed over.
 
-    A row is passed over when it exceeds what is left; later, smaller rows can still fit. Large groups are settled by
-    rounds: a prefix by running totals is admitted, rows larger than the remainder drop out, and the rest goes on.
-    Groups measured to be small finish in one pass.
+    A row is passed over when it exceeds what is left; later, smaller rows can still fit. A round looks at the rows of at
+    most half the room: all of them fit until half the room is used, and running totals tell which larger row, of which
+    at most one can be admitted meanwhile, fits first. So each round at least halves the room of a key, whatever the sizes,
+    and no key's rows meet in one task. Null order values come first, as Spark sorts them.
     """
     if not keys:
-        whole = admit(rows.withColumn("__all", F.lit(0)), ["__all"], order, size, budget, count_limit, small_group)
-        return whole.drop("__all")
+        return admit(rows.withColumn("__all", F.lit(0)), ["__all"], order, size, budget, count_limit).drop("__all")
     keys, order = list(keys), list(order)
     columns = rows.columns
-    room = F.lit(budget).cast("bigint")
     slots = F.lit(count_limit if count_limit is not None else 2**62).cast("bigint")
-    pending = cut_lineage(
-        rows.withColumn("__size", F.col(size).cast("bigint")).withColumn("__room", room).withColumn("__slots", slots)
-    )
+    pending = rows.withColumn("__size", F.col(size).cast("bigint")).withColumn("__room", F.lit(budget).cast("bigint")).withColumn("__slots", slots)
     decided: list[DataFrame] = []
-    too_large = pending.where((F.col("__size") > F.col("__room")) | (F.col("__slots") <= 0))
-    decided.append(too_large.select(*columns, F.lit(False).alias("admitted")))
-    pending = pending.where((F.col("__size") <= F.col("__room")) & (F.col("__slots") > 0))
     while True:
         pending = cut_lineage(pending)
+        open_ = F.coalesce((F.col("__size") <= F.col("__room")) & (F.col("__slots") > 0), F.lit(False))
+        decided.append(pending.where(~open_).select(*columns, F.lit(False).alias("admitted")))
+        pending = pending.where(open_)
         if pending.isEmpty():
             break
-        counts = pending.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        largest = counts.agg(F.max("n")).first()[0]
-        if largest <= small_group:
-            decided.append(_admit_small(pending, columns, keys, order))
-            break
+        small = F.col("__size") * 2 <= F.col("__room")
         sums = running_total(
-            pending, keys, order, {"__sum": F.col("__size"), "__n": F.lit(1).cast("bigint")}
+            pending, keys, order,
+            {"__place": F.lit(1).cast("bigint"), "__sum": F.when(small, F.col("__size")).otherwise(0), "__n": F.when(small, F.lit(1)).otherwise(0).cast("bigint")},
+        )
+        fits = ~small & (F.col("__sum") + F.col("__size") <= F.col("__room")) & (F.col("__n") < F.col("__slots"))
+        halved = small & ((F.col("__sum") * 2 > F.col("__room")) | (F.col("__n") >= F.col("__slots")))
+        sums = cut_lineage(sums.withColumn("__small", small).withColumn("__stop", fits | halved))
+        first = F.min_by(
+            F.struct(F.col("__place").alias("at"), (F.col("__sum") + F.when(F.col("__small"), 0).otherwise(F.col("__size"))).alias("used"),
+                     (F.col("__n") + F.when(F.col("__small"), 0).otherwise(1)).alias("taken")),
+            F.col("__place"),
         )
-        position = F.struct(*order)
-        fits = (F.col("__sum") <= F.col("__room")) & (F.col("__n") <= F.col("__slots"))
-        sums = cut_lineage(sums.withColumn("__fits", fits))
-        edge = sums.groupBy(*keys).agg(
-            F.max(F.when(F.col("__fits"), F.col("__sum"))).alias("__used"),
-            F.max(F.when(F.col("__fits"), F.col("__n"))).alias("__taken"),
-            F.min(F.when(~F.col("__fits"), position)).alias("__edge"),
+        stops = sums.where("__stop").groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(first.alias("__first"))
+        same = F.lit(True)
+        for key in keys:
+            same = same & F.col(key).eqNullSafe(F.col(f"__k_{key}"))
+        joined = sums.join(stops, same, "left")
+        at = F.col("__first.at")
+        reached = at.isNull() | (F.col("__place") <= at)
+        decided.append(joined.where(reached).select(*columns, (F.col("__small") | F.coalesce(F.col("__place") == at, F.lit(False))).alias("admitted")))
+        pending = joined.where(~reached).select(
+            *columns, "__size", (F.col("__room") - F.col("__first.used")).alias("__room"), (F.col("__slots") - F.col("__first.taken")).alias("__slots")
         )
-        joined = sums.join(edge, keys)
-        decided.append(joined.where("__fits").select(*columns, F.lit(True).alias("admitted")))
-        left = joined.where(~F.col("__fits")).withColumn("__room", F.col("__room") - F.coalesce("__used", F.lit(0)))
-        left = left.withColumn("__slots", F.col("__slots") - F.coalesce("__taken", F.lit(0)))
-        left = cut_lineage(left.select(*columns, "__size", "__room", "__slots"))
-        gone = (F.col("__size") > F.col("__room")) | (F.col("__slots") <= 0)
-        decided.append(left.where(gone).select(*columns, F.lit(False).alias("admitted")))
-        pending = left.where(~gone)
     out = decided[0]
     for part in decided[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _admit_small(pending: DataFrame, columns: list[str], keys: list[str], order: list[str]) -> DataFrame:
-    schema = T.StructType([*[pending.schema[c] for c in columns], T.StructField("admitted", T.BooleanType())])
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        room, slots = int(group["__room"].iloc[0]), int(group["__slots"].iloc[0])
-        taken = []
-        for size in group["__size"]:
-            ok = size <= room and slots > 0
-            if ok:
-                room, slots = room - size, slots - 1
-            taken.append(ok)
-        group["admitted"] = taken
-        return group[[*columns, "admitted"]]
-
-    return pending.groupBy(*keys).applyInPandas(fold, schema)
-
-
 def omissions(staged: DataFrame, keys: Sequence[str] = ("app_id",)) -> DataFrame:
     """Files and bytes left out per kind and module."""
     kind = F.get(F.array(*[F.lit(t) for t in TIERS]), F.col("tier"))
@@ -201,8 +170,8 @@ def page(
     passed; after the first row shown the page ends at the first one that does not fit. A page never looks at more
     than ``limit`` rows per key.
     """
-    if not 1 <= limit <= 100 or cursor < 0:
-        raise ValueError("limit must be 1-100 and cursor not negative")
+    if limit < 1 or cursor < 0:
+        raise ValueError("limit must be at least 1 and cursor not negative")
     by = [F.col(o) for o in order]
     ranked = top_k(rows, keys, by, cursor + limit, "__rank").where(F.col("__rank") > cursor)
     window = W.partitionBy(*keys).orderBy("__rank")  # at most `limit` rows per key

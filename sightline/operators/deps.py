@@ -33,30 +33,11 @@ def lockfile_module(path):
 
 
 def resolve_catalog_usage(catalog: DataFrame, references: DataFrame, roles: DataFrame, keep: int = 20) -> DataFrame:
-    """Usage state, reference count and first references of every catalogue entry.
+    """Usage state, reference count, all declaring modules and a sample of ``keep`` references of every catalogue entry.
 
-    ``catalog``: app_id, entry_id, catalog, alias, bundles ARRAY, root, confidence. ``references``: app_id, catalog, kind
-    (library or bundle), accessor, path, line, module (null for shared scripts), state. ``roles``: app_id, module, role.
-    Entries meet references on (app, catalog, kind, normalized key); the root prefix is checked after.
+    The references themselves are rows of :func:`catalog_references`.
     """
-    unshipped = roles.where(F.col("role").isin("build-tooling", "non-shipping-module"))
-    refs = references.join(unshipped, ["app_id", "module"], "left").select(
-        "app_id", "catalog", "kind", alias_key(F.col("accessor")).alias("__key"), "path", "line", "module",
-        F.when((F.col("state") == "declared") & F.col("role").isNotNull(), F.col("role")).otherwise(F.col("state")).alias("ref_state"),
-    )
-    wanted = F.concat(
-        F.array(F.struct(F.lit("library").alias("kind"), alias_key(F.col("alias")).alias("k"))),
-        F.transform(
-            F.coalesce("bundles", F.array().cast("array<string>")),
-            lambda b: F.struct(F.lit("bundle").alias("kind"), alias_key(b).alias("k")),
-        ),
-    )
-    keyed = catalog.select("app_id", "entry_id", "catalog", "root", F.explode(F.array_distinct(wanted)).alias("w")).select(
-        "app_id", "entry_id", "catalog", "root", F.col("w.kind").alias("kind"), F.col("w.k").alias("__key")
-    )
-    matched = keyed.join(refs, ["app_id", "catalog", "kind", "__key"]).where(
-        (F.col("root") == ".") | F.col("path").startswith(F.concat("root", F.lit("/")))
-    )
+    matched = catalog_references(catalog, references, roles)
     declared = F.col("ref_state") == "declared"
     folded = matched.groupBy("app_id", "entry_id").agg(
         F.max(ranks.rank_of(F.col("ref_state"), tuple(reversed(USAGE_ORDER)), -1)).alias("__state"),
@@ -65,9 +46,7 @@ def resolve_catalog_usage(catalog: DataFrame, references: DataFrame, roles: Data
         F.bool_or(declared & F.col("module").isNull()).alias("__shared"),
     )
     modules = matched.where(declared & F.col("module").isNotNull()).select("app_id", "entry_id", "module").distinct()
-    declaring = top_k(modules, ["app_id", "entry_id"], [F.col("module")], 32, "__n").groupBy("app_id", "entry_id").agg(
-        F.array_sort(F.collect_list("module")).alias("declaring_modules")
-    )
+    declaring = modules.groupBy("app_id", "entry_id").agg(F.array_sort(F.collect_list("module")).alias("declaring_modules"))  # modules of one app
     listed = top_k(
         matched, ["app_id", "entry_id"], [(~declared).cast("int"), F.col("path"), F.col("line")], keep, "__n"
     ).groupBy("app_id", "entry_id").agg(
@@ -90,6 +69,34 @@ def resolve_catalog_usage(catalog: DataFrame, references: DataFrame, roles: Data
     )
 
 
+def catalog_references(catalog: DataFrame, references: DataFrame, roles: DataFrame) -> DataFrame:
+    """Every reference of every catalogue entry, as rows: app_id, entry_id, path, line, module, ref_state.
+
+    ``catalog``: app_id, entry_id, catalog, alias, bundles ARRAY, root, confidence. ``references``: app_id, catalog, kind
+    (library or bundle), accessor, path, line, module (null for shared scripts), state. ``roles``: app_id, module, role.
+    Entries meet references on (app, catalog, kind, normalized key); the root prefix is checked after.
+    """
+    unshipped = roles.where(F.col("role").isin("build-tooling", "non-shipping-module"))
+    refs = references.join(unshipped, ["app_id", "module"], "left").select(
+        "app_id", "catalog", "kind", alias_key(F.col("accessor")).alias("__key"), "path", "line", "module",
+        F.when((F.col("state") == "declared") & F.col("role").isNotNull(), F.col("role")).otherwise(F.col("state")).alias("ref_state"),
+    )
+    wanted = F.concat(
+        F.array(F.struct(F.lit("library").alias("kind"), alias_key(F.col("alias")).alias("k"))),
+        F.transform(
+            F.coalesce("bundles", F.array().cast("array<string>")),
+            lambda b: F.struct(F.lit("bundle").alias("kind"), alias_key(b).alias("k")),
+        ),
+    )
+    keyed = catalog.select("app_id", "entry_id", "catalog", "root", F.explode(F.array_distinct(wanted)).alias("w")).select(
+        "app_id", "entry_id", "catalog", "root", F.col("w.kind").alias("kind"), F.col("w.k").alias("__key")
+    )
+    matched = keyed.join(refs, ["app_id", "catalog", "kind", "__key"]).where(
+        (F.col("root") == ".") | F.col("path").startswith(F.concat("root", F.lit("/")))
+    )
+    return matched.select("app_id", "entry_id", "path", "line", "module", "ref_state")
+
+
 def supersede(deps: DataFrame, roles: DataFrame, reach: DataFrame, keys: Sequence[str] = ("app_id",)) -> DataFrame:
     """Resolution state of declared Maven rows covered by the lockfiles of every application that ships them.
 

@@ -97,15 +97,25 @@ def _applies(rule: Rule, suffix: Column, platforms: Column | None) -> Column:
     if rule.platform and platforms is not None:
         wanted = F.array_contains(platforms, rule.platform)
         if rule.rule_id in APPLE_SYMBOL_RULES:
-            wanted = wanted | suffix.isin(*APPLE_SUFFIXES)
+            wanted = wanted | F.col("__apple")
         ok = ok & wanted
     if rule.rule_id and ".xml" in rule.suffixes:
         ok = ok & ((suffix != ".xml") | F.col("text").rlike(r"^[﻿ \t\r\n]*<"))
     return ok
 
 
+def _with_apple(sources: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Adds ``__apple``, whether the app has an Apple source, where a rule asks for it: headers beside such a source count."""
+    if "platforms" not in sources.columns or not any(r.platform and r.rule_id in APPLE_SYMBOL_RULES for r in rules):
+        return sources.withColumn("__apple", F.lit(False))
+    apps = sources.where(F.col("suffix").isin(*APPLE_SUFFIXES)).select(F.col("app_id").alias("__apple_app")).distinct()
+    joined = sources.join(apps, F.col("app_id") == F.col("__apple_app"), "left")
+    return joined.withColumn("__apple", F.col("__apple_app").isNotNull()).drop("__apple_app")
+
+
 def cleaned_corpus(sources: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Files some rule applies to, with ``cleaned`` text; only files that hold comments visit Python."""
+    sources = _with_apple(sources, rules)
     text, suffix = clean_mark(F.col("text")), F.col("suffix")
     platforms = F.col("platforms") if "platforms" in sources.columns else None
     wanted = F.lit(False)
@@ -168,9 +178,14 @@ def scan(sources: DataFrame, rules: Sequence[Rule], match_cap: int | None = None
 def scan_coverage(sources: DataFrame, rules: Sequence[Rule], findings: DataFrame | None = None) -> DataFrame:
     """State of every rule for every app: not-applicable, not-run, checked or partial (a capped file)."""
     has_platforms = "platforms" in sources.columns
-    by_suffix = sources.groupBy("app_id", "suffix").agg(
-        *([F.max("platforms").alias("platforms")] if has_platforms else []), F.count(F.lit(1)).alias("files")
-    )
+    sources = _with_apple(sources, rules)
+    kinds = sorted({r.platform for r in rules if r.platform})
+    # The union of the platforms of an app's files of one suffix, over the platforms that some rule names.
+    listed = [F.bool_or(F.coalesce(F.array_contains("platforms", k), F.lit(False))).alias(f"__on_{n}") for n, k in enumerate(kinds)] if has_platforms else []
+    by_suffix = sources.groupBy("app_id", "suffix", "__apple").agg(F.count(F.lit(1)).alias("files"), *listed)
+    if has_platforms:
+        named = F.array_compact(F.array(*[F.when(F.col(f"__on_{n}"), F.lit(k)) for n, k in enumerate(kinds)])) if kinds else F.array().cast("array<string>")
+        by_suffix = by_suffix.withColumn("platforms", named)
     suffix = F.col("suffix")
     platforms = F.col("platforms") if has_platforms else None
     items = []
@@ -180,7 +195,7 @@ def scan_coverage(sources: DataFrame, rules: Sequence[Rule], findings: DataFrame
         if rule.platform and platforms is not None:
             platform_ok = F.array_contains(platforms, rule.platform)
             if rule.rule_id in APPLE_SYMBOL_RULES:
-                platform_ok = platform_ok | suffix.isin(*APPLE_SUFFIXES)
+                platform_ok = platform_ok | F.col("__apple")
         items.append(
             F.struct(
                 F.lit(rule.rule_id).alias("rule_id"),

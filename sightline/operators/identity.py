@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.canonical import dependency_identity
-from sightline.functions.packages import MAX_ADVISORY_IDS, valid_advisory_id
+from sightline.functions.packages import valid_advisory_id
 
 
 def is_dependency_advisory(evidence: Column, scope: Column | None = None) -> Column:
@@ -20,9 +20,8 @@ def is_dependency_advisory(evidence: Column, scope: Column | None = None) -> Col
 
 
 def advisory_ids(ids: Column) -> Column:
-    """Valid, sorted, bounded equivalent advisory ids of a finding."""
-    bounded = F.slice(ids, 1, MAX_ADVISORY_IDS * 4)
-    return F.slice(F.array_sort(F.array_distinct(F.filter(bounded, valid_advisory_id))), 1, MAX_ADVISORY_IDS)
+    """Valid, sorted equivalent advisory ids of a finding; all of them take part in matching."""
+    return F.array_sort(F.array_distinct(F.filter(ids, valid_advisory_id)))
 
 
 def with_dependency_identities(findings: DataFrame) -> DataFrame:

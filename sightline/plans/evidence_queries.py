@@ -697,14 +697,14 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "set_03_expected_observed",
-    """WITH e AS (SELECT DISTINCT report_id, rule_id FROM findings WHERE k % 2 = 0), o AS (SELECT DISTINCT report_id, rule_id FROM findings WHERE k % 3 = 0)
+    """WITH e AS (SELECT DISTINCT report_id, rule_id FROM findings WHERE k % 3 < 2), o AS (SELECT DISTINCT report_id, rule_id FROM findings WHERE k % 3 > 0)
        SELECT coalesce(e.report_id, o.report_id) AS report_id, coalesce(e.rule_id, o.rule_id) AS rule_id,
          CASE WHEN o.report_id IS NULL THEN 'missing' WHEN e.report_id IS NULL THEN 'unexpected' ELSE 'matched' END AS label
        FROM e FULL OUTER JOIN o ON e.report_id = o.report_id AND e.rule_id = o.rule_id""",
     ("findings",),
 )
 def _(t: Tables) -> DataFrame:
-    return compare.expected_observed(t.findings.where("k % 2 = 0"), t.findings.where("k % 3 = 0"), ["report_id", "rule_id"])
+    return compare.expected_observed(t.findings.where("k % 3 < 2"), t.findings.where("k % 3 > 0"), ["report_id", "rule_id"])
 
 
 @query(
@@ -1053,17 +1053,14 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "srt_01_findings_by_severity",
-    f"""SELECT report_id, id, CAST(row_number() OVER (ORDER BY {RANK_SQL} DESC, report_id, id) AS INTEGER) AS place FROM findings
-        QUALIFY row_number() OVER (ORDER BY {RANK_SQL} DESC, report_id, id) <= 100""",
+    f"""SELECT report_id, id, CAST(row_number() OVER (ORDER BY {RANK_SQL} DESC, report_id, id) AS BIGINT) AS place FROM findings""",
     ("findings",),
 )
 def _(t: Tables) -> DataFrame:
-    # A top-100 report: the sort keeps one hundred rows per partition, the numbering sees only those.
-    from pyspark.sql.window import Window as W
+    from sightline.scale import numbered
 
-    order = [ranks.severity_rank(F.col("severity")).desc(), F.col("report_id"), F.col("id")]
-    top = t.findings.orderBy(*order).limit(100)
-    return top.withColumn("place", F.row_number().over(W.orderBy(*order))).select("report_id", "id", "place")
+    rows = t.findings.select("report_id", "id", (-ranks.severity_rank(F.col("severity"))).alias("weight"))
+    return numbered(rows, [], ["weight", "report_id", "id"], "place").select("report_id", "id", "place")
 
 
 @query(

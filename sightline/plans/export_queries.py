@@ -236,8 +236,11 @@ def _(t: Tables) -> DataFrame:
 @query(
     "srt_02_lint_order",
     f"""WITH {_LINT_SQL}, o AS (SELECT *, CASE status WHEN 'info' THEN 1 WHEN 'na' THEN 2 WHEN 'pass' THEN 3 ELSE 0 END AS b, CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 ELSE 3 END AS s FROM ln)
-       SELECT event_id, status, severity, check_id FROM o ORDER BY b, s, check_id, event_id LIMIT 60""",
+       SELECT event_id, status, severity, check_id, row_number() OVER (ORDER BY b, s, check_id, event_id) AS place FROM o""",
     ("events_k",),
 )
 def _(t: Tables) -> DataFrame:
-    return lint_rows(t).orderBy(*documents.lint_order(), "event_id").limit(60).select("event_id", "status", "severity", "check_id")
+    from sightline.scale import numbered
+
+    rows = lint_rows(t).select("event_id", "status", "severity", "check_id", *[c.alias(f"by_{k}") for k, c in enumerate(documents.lint_order())])
+    return numbered(rows, [], ["by_0", "by_1", "by_2", "event_id"], "place").select("event_id", "status", "severity", "check_id", "place")

@@ -78,7 +78,7 @@ def _(t: Tables) -> DataFrame:
 @query(
     "fn_07_comment_blanking",
     """SELECT doc_id, length(text) + 1 + 33 AS chars, CASE doc_id % 3 WHEN 0 THEN 'val u = "http://x" ' || repeat(' ', 14) WHEN 1 THEN 'val a = 1 ' || repeat(' ', 11) || ' val b = 22 ' ELSE 'val c = `${d ' || repeat(' ', 7) || '}`' || repeat(' ', 11) END AS tail
-       FROM documents WHERE NOT contains(text, '/*') AND NOT contains(text, '`')""",
+       FROM documents""",
 )
 def _(t: Tables) -> DataFrame:
     lines = (
@@ -88,7 +88,7 @@ def _(t: Tables) -> DataFrame:
     )
     doc = F.col("doc_id") % 3
     code = F.when(doc == 0, lines[0]).when(doc == 1, lines[1]).otherwise(lines[2])
-    rows = t.documents.where(~F.contains("text", F.lit("/*")) & ~F.contains("text", F.lit("`"))).select(
+    rows = t.documents.select(
         "doc_id", F.concat("text", F.lit("\n"), F.rpad(code, 33, " ")).alias("text"), F.when(doc == 2, ".js").otherwise(".kt").alias("suffix")
     )
     out = txt.without_comments(F.col("text"), F.col("suffix"))
@@ -236,11 +236,11 @@ def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", ranks.imported_severity(score, level, F.lit("warning")).alias("severity"))
 
 
-@query("fn_23_cwe_tags", "SELECT p_partkey, concat_ws(',', 'CWE-' || p_size, CASE WHEN p_size <> 79 THEN 'CWE-79' END) AS cwe FROM (SELECT p_partkey, p_size FROM part WHERE p_size < 70)")
+@query("fn_23_cwe_tags", "SELECT p_partkey, concat_ws(',', 'CWE-' || p_size, CASE WHEN p_size <> 79 THEN 'CWE-79' END) AS cwe FROM part")
 def _(t: Tables) -> DataFrame:
     tags = F.array(joined("external/cwe/cwe-00", text(F.col("p_size"))), F.lit("CWE79"), F.lit("security"), F.lit("cwe/079"))
     ordered = F.array_sort(txt.cwe_ids(tags), lambda a, b: F.substr(a, F.lit(5)).cast("int") - F.substr(b, F.lit(5)).cast("int"))
-    return t.part.where("p_size < 70").select("p_partkey", F.array_join(ordered, ",").alias("cwe"))
+    return t.part.select("p_partkey", F.array_join(ordered, ",").alias("cwe"))
 
 
 @query("fn_24_slugs", "SELECT p_partkey, left('Brand-' || replace(p_name, ' ', '-') || '-' || p_partkey, 20) AS slug FROM part")

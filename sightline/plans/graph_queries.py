@@ -114,7 +114,7 @@ def _(t: Tables) -> DataFrame:
     "jon_17_catalog_usage",
     """WITH e AS (SELECT 'app-' || (p_partkey % 10) AS app_id, p_partkey, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE 'libs' END AS catalog, CASE WHEN p_partkey % 6 = 0 THEN 'mod1' ELSE '.' END AS root FROM part),
          r AS (SELECT 'app-' || (l_partkey % 10) AS app_id, l_partkey, 'mod' || (l_orderkey % 5) AS module, CASE WHEN l_linenumber = 7 THEN 'platform-only' WHEN l_returnflag = 'R' THEN 'non-shipping-configuration'
-             WHEN l_orderkey % 5 = 4 THEN 'build-tooling' ELSE 'declared' END AS state FROM lineitem WHERE l_partkey % 4 <> 3),
+             WHEN l_orderkey % 5 = 4 THEN 'build-tooling' ELSE 'declared' END AS state FROM lineitem),
          m AS (SELECT e.p_partkey, r.* FROM e JOIN r ON r.app_id = e.app_id AND r.l_partkey = e.p_partkey AND e.catalog = 'libs' AND (e.root = '.' OR r.module = 'mod1')),
          g AS (SELECT p_partkey, count(*) AS n, max(CASE state WHEN 'declared' THEN 5 WHEN 'platform-only' THEN 4 WHEN 'non-shipping-configuration' THEN 3 WHEN 'build-tooling' THEN 1 END) AS best,
             string_agg(DISTINCT module, ',' ORDER BY module) FILTER (WHERE state = 'declared') AS mods FROM m GROUP BY p_partkey)
@@ -131,7 +131,7 @@ def _(t: Tables) -> DataFrame:
         F.when(key % 6 == 0, "mod1").otherwise(".").alias("root"), F.lit("unknown").alias("confidence"),
     )
     module = joined("mod", text(F.col("l_orderkey") % 5))
-    refs = t.lineitem.where(line % 4 != 3).select(
+    refs = t.lineitem.select(
         joined("app-", text(line % 10)).alias("app_id"), F.lit("libs").alias("catalog"),
         F.when(F.col("l_linenumber") % 2 == 0, "bundle").otherwise("library").alias("kind"),
         F.when(F.col("l_linenumber") % 2 == 0, joined("bundle.", text(line))).otherwise(joined("my.lib.", text(line))).alias("accessor"),
@@ -457,7 +457,7 @@ _ADMIT_SQL = f"""WITH RECURSIVE {_FILES_SQL}, o AS (SELECT *, row_number() OVER
 def _(t: Tables) -> DataFrame:
     turns = budgets.round_robin(staged_files(t))
     # A small group bound forces the distributed rounds first; the last rows finish in one pass.
-    out = budgets.admit(turns, ["app_id"], ["tier", "rank", "turn", "module"], "bytes", 200_000, small_group=100)
+    out = budgets.admit(turns, ["app_id"], ["tier", "rank", "turn", "module"], "bytes", 200_000)
     return out.select("doc_id", "admitted")
 
 
@@ -496,16 +496,16 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "win_07_unused_quota",
-    """WITH due AS (SELECT event_id, k % 2 AS pr, ts FROM events_k WHERE k % 5 <> 0 AND (k % 3 <> 0 OR ts + INTERVAL 10 DAYS <= TIMESTAMP '2024-01-20') AND (k % 2 = 1 OR event_id % 2000 = 0)),
+    """WITH due AS (SELECT event_id, CASE WHEN event_id % 2000 = 0 THEN 0 ELSE 1 END AS pr, ts FROM events_k WHERE k % 5 <> 0 AND (k % 3 <> 0 OR ts + INTERVAL 10 DAYS <= TIMESTAMP '2024-01-20')),
          a AS (SELECT event_id, ts, 'priority' AS lane FROM due WHERE pr = 0 ORDER BY ts LIMIT 20), b AS (SELECT event_id, ts, 'bulk' AS lane FROM due WHERE pr = 1 ORDER BY ts LIMIT 20),
          s AS (SELECT * FROM a UNION ALL SELECT * FROM b), f AS (SELECT event_id, ts, 'fill' AS lane FROM due WHERE event_id NOT IN (SELECT event_id FROM s) ORDER BY ts LIMIT (SELECT 40 - count(*) FROM s))
        SELECT 'CVE-' || event_id AS id, lane FROM (SELECT * FROM s UNION ALL SELECT * FROM f)""",
     ("events_k",),
 )
 def _(t: Tables) -> DataFrame:
-    few = t.events_k.where("k % 2 = 1 OR event_id % 2000 = 0")
-    t.__dict__["events_k"] = few
-    return budgets.two_lane_queue(work_queue(t), 40, QUEUE_AT).select("id", "lane")
+    number = F.substr("id", F.lit(5)).cast("bigint")
+    queue = work_queue(t).withColumn("priority", F.when(number % 2000 == 0, 0).otherwise(1))
+    return budgets.two_lane_queue(queue, 40, QUEUE_AT).select("id", "lane")
 
 
 _PAGE_SQL = """r AS (SELECT report_id, id, strlen(path) + line * 20 AS size, row_number() OVER (PARTITION BY report_id ORDER BY id) - 1 AS position, count(*) OVER (PARTITION BY report_id) AS total FROM findings),

@@ -389,7 +389,7 @@ CHECKS = ("app-debuggable", "app-exported", "app-cert")
 
 def lint_results(t: Tables) -> DataFrame:
     k = F.col("k")
-    return t.events_k.where("event_type <> 'purchase'").select(
+    return t.events_k.select(
         joined("app-", text(F.col("user_id"))).alias("app_id"),
         F.when(F.col("event_type").isin("click", "view"), "app-debuggable").when(F.col("event_type") == "signup", "app-exported").otherwise("app-extra").alias("check_id"),
         pick(("fail", "warn", "info", "pass"), k % 4).alias("status"), pick(("HIGH", "MEDIUM", "LOW"), k % 3).alias("severity"), joined("title ", text(k)).alias("title"), "k",
@@ -397,7 +397,7 @@ def lint_results(t: Tables) -> DataFrame:
 
 
 _LINT_SQL = """r AS (SELECT 'app-' || user_id AS app_id, CASE WHEN event_type IN ('click', 'view') THEN 'app-debuggable' WHEN event_type = 'signup' THEN 'app-exported' ELSE 'app-extra' END AS check_id,
-     CASE WHEN k = 0 THEN 'error' WHEN k % 50 = 1 THEN 'na' ELSE ['fail', 'warn', 'info', 'pass'][1 + k % 4] END AS status, ['high', 'medium', 'low'][1 + k % 3] AS severity, 'title ' || k AS title, 3 - k % 3 AS rk FROM events_k WHERE event_type <> 'purchase'),
+     CASE WHEN k = 0 THEN 'error' WHEN k % 50 = 1 THEN 'na' ELSE ['fail', 'warn', 'info', 'pass'][1 + k % 4] END AS status, ['high', 'medium', 'low'][1 + k % 3] AS severity, 'title ' || k AS title, 3 - k % 3 AS rk FROM events_k),
    g AS (SELECT app_id, check_id, bool_or(status = 'error') AS err, bool_or(status = 'na') AS na, bool_or(status <> 'na') AS decided, bool_and(status IN ('fail', 'warn', 'info', 'pass')) AS clean,
      arg_max(severity, (rk, title)) FILTER (WHERE status IN ('fail', 'warn', 'info')) AS severity, arg_max(title, (rk, title)) FILTER (WHERE status IN ('fail', 'warn', 'info')) AS title FROM r GROUP BY ALL)"""
 

@@ -125,27 +125,27 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "jon_28_backend_invalidation",
-    """WITH p AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN CASE WHEN conv_id % 5 = 0 THEN 'rejected' ELSE 'accepted' END WHEN conv_id % 2 = 0 THEN 'rejected' ELSE 'accepted' END AS outcome FROM conversations WHERE turn IN (0, 1))
-       SELECT CAST(b.conv_id AS VARCHAR) AS scenario, CASE WHEN b.outcome = 'accepted' AND b.conv_id % 3 <> 0 AND b.conv_id % 4 <> 1 AND b.conv_id % 11 <> 0 THEN CASE WHEN a.outcome = 'rejected' THEN 'passed' ELSE 'failed' END ELSE 'inconclusive' END AS state
-       FROM p b JOIN p a ON a.conv_id = b.conv_id AND a.turn = 1 WHERE b.turn = 0""",
+    """WITH p AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN CASE WHEN conv_id % 5 = 0 THEN 'rejected' ELSE 'accepted' END WHEN conv_id % 2 = 0 THEN 'rejected' ELSE 'accepted' END AS outcome FROM conversations)
+       SELECT CAST(b.conv_id AS VARCHAR) AS scenario, 'p' || a.turn AS snapshot, CASE WHEN b.outcome = 'accepted' AND b.conv_id % 3 <> 0 AND b.conv_id % 4 <> 1 AND b.conv_id % 11 <> 0 THEN CASE WHEN a.outcome = 'rejected' THEN 'passed' ELSE 'failed' END ELSE 'inconclusive' END AS state
+       FROM p b JOIN p a ON a.conv_id = b.conv_id AND a.turn > 0 WHERE b.turn = 0""",
 )
 def _(t: Tables) -> DataFrame:
     conv, turn = F.col("conv_id"), F.col("turn")
-    rows = t.conversations.where("turn IN (0, 1)")
+    rows = t.conversations
     scenario = text(conv).alias("scenario")
     probes = rows.select(
         scenario, joined("p", text(turn)).alias("snapshot"),
         F.when(turn == 0, F.when(conv % 5 == 0, "rejected").otherwise("accepted")).when(conv % 2 == 0, "rejected").otherwise("accepted").alias("outcome"),
-        F.when((conv % 3 == 0) & (turn == 1), "other").otherwise("host").alias("authority"), F.lit("cred").alias("credential"), F.lit(_HEX).alias("request"),
-        F.when((conv % 4 == 1) & (turn == 1), F.sha2(F.lit("x"), 256)).otherwise(F.lit(_HEX)).alias("session"), F.sha2(text(turn), 256).alias("capture"),
+        F.when((conv % 3 == 0) & (turn > 0), "other").otherwise("host").alias("authority"), F.lit("cred").alias("credential"), F.lit(_HEX).alias("request"),
+        F.when((conv % 4 == 1) & (turn > 0), F.sha2(F.lit("x"), 256)).otherwise(F.lit(_HEX)).alias("session"), F.sha2(text(turn), 256).alias("capture"),
         F.lit("target-observed").alias("delivery"), F.lit(True).alias("bound"), F.lit(_HEX).alias("binding"),
     )
     bindings = rows.select(scenario, F.lit(_HEX).alias("identity"), (conv % 11 != 0).alias("bound")).distinct()
     surfaces = rows.select(
         scenario, joined("p", text(turn)).alias("snapshot"), F.lit("network").alias("surface"), F.lit("captured").alias("state"), F.lit("adapter-acquired").alias("acquisition")
     )
-    pairs = rows.where("turn = 1").select(scenario, F.lit("p0").alias("baseline"), F.lit("p1").alias("snapshot"))
-    return runtime.invalidation_evidence(pairs, probes, bindings, surfaces).select("scenario", "state")
+    pairs = rows.where("turn > 0").select(scenario, F.lit("p0").alias("baseline"), joined("p", text(turn)).alias("snapshot"))
+    return runtime.invalidation_evidence(pairs, probes, bindings, surfaces).select("scenario", "snapshot", "state")
 
 
 @query(
@@ -367,14 +367,14 @@ def _(t: Tables) -> DataFrame:
     return metrics.lockfile_scores(t.lineitem.where("l_returnflag <> 'A'").select(*pair), t.lineitem.where("l_returnflag <> 'N'").select(*pair))
 
 
-_STATES_SQL = """o AS (SELECT user_id, string_agg(DISTINCT s, ',' ORDER BY s) AS observed, bool_and(s IN ('affected', 'unknown')) AS sub FROM (SELECT user_id, ['affected', 'unknown', 'outside'][1 + (k // 50 + user_id % 2) % 3] AS s FROM events_k WHERE k % 50 < 8) GROUP BY user_id),
+_STATES_SQL = """o AS (SELECT user_id, string_agg(DISTINCT s, ',' ORDER BY s) AS observed, bool_and(s IN ('affected', 'unknown')) AS sub FROM (SELECT user_id, ['affected', 'unknown', 'outside'][CASE WHEN user_id % 4 = 0 THEN 1 + k % 2 ELSE 1 + (k // 50 + user_id % 2) % 3 END] AS s FROM events_k) GROUP BY user_id),
    c AS (SELECT DISTINCT user_id FROM events_k)"""
 
 
 def state_cases(t: Tables) -> tuple[DataFrame, DataFrame]:
     cases = t.events_k.select(F.col("user_id").alias("case_id"), F.array(F.lit("unknown"), F.lit("affected")).alias("expected")).distinct()
-    seen = t.events_k.where("k % 50 < 8").select(
-        F.col("user_id").alias("case_id"), pick(("affected", "unknown", "outside"), (F.floor(F.col("k") / 50) + F.col("user_id") % 2) % 3).alias("state")
+    seen = t.events_k.select(
+        F.col("user_id").alias("case_id"), pick(("affected", "unknown", "outside"), F.when(F.col("user_id") % 4 == 0, F.col("k") % 2).otherwise((F.floor(F.col("k") / 50) + F.col("user_id") % 2) % 3)).alias("state")
     )
     return cases, seen
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +24,25 @@ def build_session(app: str = "sightline", master: str | None = None, **conf: str
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_code(spark)
+    return spark
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, so that it need not be installed on them."""
+    if getattr(spark.sparkContext, "_sightline_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="sightline-code-"), "sightline.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if not name.endswith(".pyc"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(archive)
+    spark.sparkContext._sightline_shipped = True
 
 
 def checkpoint_root(spark: SparkSession) -> str:

@@ -37,7 +37,7 @@ def lockfile_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     part = lambda i: F.regexp_extract("line", LOCK_LINE, i)
     names = F.when(F.col("legacy") != "", F.array("legacy")).otherwise(F.split(part(4), ","))
     shipped = F.array_sort(F.filter(names, lambda c: (c != "") & shipped_configuration(c)))
-    rows = good.withColumn("x_configurations", F.slice(shipped, 1, 16)).where(F.size("x_configurations") > 0)
+    rows = good.withColumn("x_configurations", shipped).where(F.size("x_configurations") > 0)
     return (
         _rows(rows, "Maven", F.concat(part(1), F.lit(":"), part(2)), part(3), "exact", "gradle-lockfile-resolved"),
         lines.where(~F.col("line").rlike(LOCK_LINE)).select("app_id", "path", "line"),
@@ -102,7 +102,7 @@ def catalog_rows(files: DataFrame) -> DataFrame:
     entries = catalog_entries(files)
     versions = entries.where("kind = 'version'").select("app_id", "path", F.col("alias").alias("ref"), F.col("version").alias("__looked_up"))
     bundles = entries.where("kind = 'bundle'").groupBy("app_id", "path", F.col("member").alias("alias")).agg(
-        F.slice(F.array_sort(F.collect_set("alias")), 1, 16).alias("x_bundles")  # bundles of one file that list one alias
+        F.array_sort(F.collect_set("alias")).alias("x_bundles")  # bundles of one file that list one alias
     )
     rows = entries.where("kind = 'library'").drop("member").join(versions, ["app_id", "path", "ref"], "left")
     rows = rows.withColumn("resolved", F.coalesce("__looked_up", "version")).where(F.coalesce("resolved", F.lit("")) != "")

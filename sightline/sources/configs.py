@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import plistlib
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -131,49 +132,44 @@ def manifest_permissions(manifests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return asked, own
 
 
-_ANCHORS_IN = "`trust-anchors`:struct<certificates:array<struct<_src:string>>>"
-_DOMAIN = "domain:array<struct<_VALUE:string,_includeSubdomains:string>>"
-_LEAF = f"struct<_cleartextTrafficPermitted:string,{_DOMAIN},{_ANCHORS_IN}>"
-_MIDDLE = f"struct<_cleartextTrafficPermitted:string,{_DOMAIN},{_ANCHORS_IN},`domain-config`:array<{_LEAF}>>"
-_TOP = f"struct<_cleartextTrafficPermitted:string,{_DOMAIN},{_ANCHORS_IN},`domain-config`:array<{_MIDDLE}>>"
-NETWORK = f"`base-config` struct<_cleartextTrafficPermitted:string,{_ANCHORS_IN}>, `domain-config` array<{_TOP}>"
+NETWORK_SCHEMA = "app_id string, path string, base_anchors boolean, scope string, cleartext_permitted boolean, domains array<string>, user_ca boolean"
+
+
+def _network_rows(app: str, path: str, text: str) -> list[tuple]:
+    """Entries of one configuration, nested domain entries at any depth after the entry that holds them."""
+    try:
+        root = ElementTree.fromstring(text.lstrip("\ufeff \t\r\n"))
+    except (ElementTree.ParseError, ValueError):
+        return []
+    anchored = any(base.find("trust-anchors") is not None for base in root.findall("base-config"))
+    rows = []
+    # A stack instead of recursion: nesting is bounded by the document alone.
+    pending = [(node, None) for node in reversed([*root.findall("base-config")[:1], *root.findall("domain-config")])]
+    while pending:
+        node, inherited = pending.pop()
+        effective = node.get("cleartextTrafficPermitted", inherited)
+        named = node.tag == "domain-config"
+        domains = [(d.text or "").strip(" ") for d in node.findall("domain")] if named else []
+        user = any(c.get("src") == "user" for anchors in node.findall("trust-anchors")[:1] for c in anchors.findall("certificates"))
+        rows.append((app, path, anchored, node.tag, effective == "true", domains, user))
+        if named:
+            pending += [(child, effective) for child in reversed(node.findall("domain-config"))]
+    return rows
 
 
 def network_configs(files: DataFrame) -> DataFrame:
     """Base and domain entries of text network configurations; nested entries inherit an undeclared cleartext value.
 
-    Debug overrides are not part of the schema, so they never count. Nesting is read three levels deep.
+    Debug overrides never count. Nesting is read at any depth, so the tree is walked in Arrow batches.
     """
-    parsed = _well_formed(files, NETWORK, "n").where("n IS NOT NULL")
-    strings = F.array().cast("array<string>")
-
-    def entry(scope: str, node: Column, inherited: Column | None) -> Column:
-        declared = node["_cleartextTrafficPermitted"]
-        own = F.coalesce(declared, inherited) if inherited is not None else declared
-        anchors = F.coalesce(node["trust-anchors"]["certificates"], F.array().cast("array<struct<_src:string>>"))
-        domains = F.coalesce(F.transform(node["domain"], lambda d: F.trim(d["_VALUE"])), strings) if scope == "domain-config" else strings
-        return F.struct(
-            F.lit(scope).alias("scope"), F.coalesce(own == "true", F.lit(False)).alias("cleartext_permitted"), domains.alias("domains"),
-            F.exists(anchors, lambda a: F.coalesce(a["_src"] == "user", F.lit(False))).alias("user_ca"), own.alias("effective"),
-        )
 
-    def with_children(node: Column, inherited: Column | None, depth: int) -> Column:
-        here = F.array(entry("domain-config", node, inherited))
-        if depth == 0:
-            return here
-        declared = node["_cleartextTrafficPermitted"]
-        value = F.coalesce(declared, inherited) if inherited is not None else declared
-        kind = _MIDDLE if depth == 2 else _LEAF
-        children = F.coalesce(node["domain-config"], F.array().cast(f"array<{kind}>"))
-        return F.concat(here, F.flatten(F.transform(children, lambda c: with_children(c, value, depth - 1))))
-
-    base = F.when(F.col("n.base-config").isNotNull(), F.array(entry("base-config", F.col("n.base-config"), None)))
-    tops = F.coalesce(F.col("n.domain-config"), F.array().cast(f"array<{_TOP}>"))
-    nested = F.flatten(F.transform(tops, lambda c: with_children(c, None, 2)))
-    empty = F.slice(nested, 1, 0)
-    anchored = F.coalesce(F.col("n.base-config.trust-anchors").isNotNull(), F.lit(False))
-    rows = parsed.select("app_id", "path", anchored.alias("base_anchors"), F.explode(F.concat(F.coalesce(base, empty), nested)).alias("e"))
-    return rows.select("app_id", "path", "base_anchors", "e.scope", "e.cleartext_permitted", "e.domains", "e.user_ca")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in NETWORK_SCHEMA.split(", ")]
+        for batch in batches:
+            rows = [row for app, path, text in zip(batch["app_id"], batch["path"], batch["text"]) if text is not None for row in _network_rows(app, path, text)]
+            yield pd.DataFrame(rows, columns=columns)
+
+    return files.select("app_id", "path", "text").mapInPandas(run, NETWORK_SCHEMA)
 
 
 @F.pandas_udf(T.StringType())

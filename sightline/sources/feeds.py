@@ -108,7 +108,7 @@ def osv_records(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     rated = advisory_severity(F.col("v.severity"), F.col("v.database_specific.severity"))
     records = rows.where(ok).select(
         shown.alias("id"), F.concat_ws(":", F.lit("osv"), "ecosystem", "name", "version").alias("source"), F.coalesce("v.summary", shown).alias("title"),
-        F.left(_text(F.col("v.details")), F.lit(8000)).alias("description"), _text(F.col("v.modified")).alias("modified"), F.col("v.withdrawn").alias("withdrawn"),
+        _text(F.col("v.details")).alias("description"), _text(F.col("v.modified")).alias("modified"), F.col("v.withdrawn").alias("withdrawn"),
         F.array_compact(F.transform(F.coalesce("v.references", F.array().cast("array<struct<url:string>>")), lambda r: r["url"])).alias("references"),
         "ecosystem", "name", "version", F.col("v.id").alias("osv_id"), aliases.alias("aliases"), rated["severity"].alias("severity"),
         rated["severity_basis"].alias("severity_basis"),
@@ -116,14 +116,15 @@ def osv_records(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records, rows.where(~ok).select("ecosystem", "name", "version", _text(F.col("v.id")).alias("id"))
 
 
-def backfill_months(spark: SparkSession, since: str, until: str, bulletins: DataFrame, limit: int = 240) -> DataFrame:
-    """Every month of a range as fetched, failed or missing. ``bulletins``: month (YYYY-MM), ok."""
+def backfill_months(spark: SparkSession, since: str, until: str, bulletins: DataFrame, limit: int | None = None) -> DataFrame:
+    """Every month of a range as fetched, failed or missing. ``bulletins``: month (YYYY-MM), ok. ``limit`` refuses longer ranges."""
     months = spark.range(1).select(
         F.explode(F.sequence(F.to_date(F.lit(since + "-01")), F.to_date(F.lit(until + "-01")), F.expr("INTERVAL 1 MONTH"))).alias("day")
     ).select(F.date_format("day", "yyyy-MM").alias("month"))
     if since > until or since < "2015-08":
         raise ValueError("the range must be ordered and start no earlier than 2015-08")
-    if months.limit(limit + 1).count() > limit:
+    count = (int(until[:4]) - int(since[:4])) * 12 + int(until[5:7]) - int(since[5:7]) + 1
+    if limit is not None and count > limit:
         raise ValueError(f"a backfill covers at most {limit} months")
     seen = bulletins.groupBy("month").agg(F.bool_or("ok").alias("ok"), F.count(F.lit(1)).alias("documents"))
     return months.join(seen, "month", "left").select(

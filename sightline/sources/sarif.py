@@ -27,10 +27,11 @@ CREDENTIAL = r"(?i)(?<![\w.-])(?=[\w.-]*?(?:token|secret|password|passwd|pwd|api
 LITERAL = r"""(["'`])(?:\\.|(?!\1)[^\\\n])*(?:\1|\\\1)"""
 
 
-def safe_text(value, limit: int = 300):
-    """Imported text on one line, without literal contents or credentials."""
-    plain = F.regexp_replace(F.left(F.coalesce(value, F.lit("")), F.lit(limit * 8)), LITERAL, '"…"')
-    return F.left(F.replace(redact(F.regexp_replace(plain, CREDENTIAL, "$1[REDACTED]")), F.lit("\n"), F.lit(" ")), F.lit(limit))
+def safe_text(value, limit: int | None = None):
+    """Imported text on one line, without literal contents or credentials; cut only where a ``limit`` is asked for."""
+    plain = F.regexp_replace(F.coalesce(value, F.lit("")), LITERAL, '"…"')
+    line = F.replace(redact(F.regexp_replace(plain, CREDENTIAL, "$1[REDACTED]")), F.lit("\n"), F.lit(" "))
+    return line if limit is None else F.left(line, F.lit(limit))
 
 
 def parsed_results(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -73,7 +74,7 @@ def external_findings(results: DataFrame, root: str = "") -> DataFrame:
     evidence = F.array(F.struct(F.col("place.line").alias("line"), F.col("place.path").alias("path")))
     tags = F.coalesce("rule.properties.tags", F.array().cast("array<string>"))
     return rows.select(
-        "report_id", "tool", "run", finding_identity(F.col("rule_id"), evidence, ("line", "path")).alias("id"), "rule_id", safe_text(F.col("rule_name"), 120).alias("external_rule"),
+        "report_id", "tool", "run", finding_identity(F.col("rule_id"), evidence, ("line", "path")).alias("id"), "rule_id", safe_text(F.col("rule_name")).alias("external_rule"),
         imported_severity(
             F.col("rule.properties.security-severity"), F.coalesce("res.level", F.lit("")), F.coalesce("rule.defaultConfiguration.level", F.lit(""))
         ).alias("severity"),

@@ -21,12 +21,12 @@ def latest_reports(reports: DataFrame) -> DataFrame:
     return latest(reports, ["target"], ["created", "report_id"])
 
 
-def target_reports(reports: DataFrame, target: str, until=None, limit: int = 200) -> DataFrame:
-    """Newest reports of one target, not after ``until``."""
+def target_reports(reports: DataFrame, target: str, until=None, limit: int | None = None) -> DataFrame:
+    """Reports of one target, not after ``until``; with a ``limit``, the newest ones."""
     rows = reports.where(F.col("target") == target)
     if until is not None:
         rows = rows.where(F.col("created") <= F.lit(until))
-    return rows.orderBy(F.col("created").desc(), F.col("report_id").desc()).limit(limit)
+    return rows if limit is None else rows.orderBy(F.col("created").desc(), F.col("report_id").desc()).limit(limit)
 
 
 # Vocabularies of labelled cases.

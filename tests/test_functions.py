@@ -68,7 +68,7 @@ def test_cvss_v2_score_and_declared_rating(spark):
 def test_comment_blanking_keeps_offsets_and_literals():
     for source, expected in (
         ('a("//x") // y\nb', 'a("//x")     \nb'), ("a /* b\nc */ d", "a     \n     d"), ("x = 'it\\'s // no' // z", "x = 'it\\'s // no'     "),
-        ("/* open", "       "), ('"""// raw""" // c', '"""// raw"""     '),
+        ("/* open", "/* open"), ('"""// raw""" // c', '"""// raw"""     '),
     ):
         assert txt.blank_comments(source) == expected
     assert txt.blank_comments("`${a /* c */}` // d", True) == "`${a        }`     "
@@ -103,3 +103,40 @@ def test_null_rank_has_no_name(spark):
 def test_markdown_is_inert(spark):
     assert one(spark, txt.markdown_text(F.lit("# <b>*x*</b>\n1. y"))) == "\\# &lt;b&gt;\\*x\\*&lt;/b&gt; 1. y"
     assert one(spark, txt.markdown_code(F.lit("a`b"))) == "``a`b``"
+
+
+def test_long_version_numbers_stay_apart(spark):
+    from sightline.functions import versions
+
+    key = lambda v: one(spark, versions.version_key(F.lit(v)))
+    assert key("1.1234567890123456779") < key("1.1234567890123456780") < key("1.12345678901234567800")
+    assert key("1.2") == key("1.2.0") and key("2") > key("1.99") and key("1.0rc1") < key("1.0") < key("1.0.post1")
+
+
+def test_severity_metrics_in_any_order(spark):
+    from sightline.functions import cvss
+
+    ordered = "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"
+    mixed = "CVSS:3.1/AC:L/AV:N/A:H/PR:N/UI:N/I:H/S:U/C:H/E:P"
+    assert one(spark, cvss.v3_base(F.lit(ordered))) == one(spark, cvss.v3_base(F.lit(mixed))) == 9.8
+    assert one(spark, cvss.v3_base(F.lit(ordered + "/AV:L"))) is None
+    assert one(spark, cvss.v3_base(F.lit(ordered.replace("/A:H", "")))) is None
+    assert one(spark, cvss.v2_base(F.lit("AC:L/AV:N/Au:N/C:P/I:P/A:P"))) == 7.5
+
+
+def test_unclosed_comments_and_regular_expressions_stay(spark):
+    from sightline.functions.text import blank_comments
+
+    assert blank_comments("a = x /* b\nhandler.proceed()") == "a = x /* b\nhandler.proceed()"
+    assert blank_comments("a /* b */ c /* d") == "a         c /* d"
+    assert blank_comments("x = /a\\/*b/; y() // z", True) == "x = /a\\/*b/; y()     "
+    assert blank_comments("q = a / b; // c / d", True) == "q = a / b;         "
+
+
+def test_network_configurations_nest_at_any_depth(spark):
+    from sightline.sources import configs
+
+    deep = "".join(f"<domain-config{' cleartextTrafficPermitted=\"true\"' if k == 4 else ''}><domain>d{k}</domain>" for k in range(6)) + "</domain-config>" * 6
+    rows = spark.createDataFrame([("a", "p", f"<network-security-config>{deep}</network-security-config>"), ("a", "bad", "<x"), ("a", "none", None)], "app_id string, path string, text string")
+    got = {tuple(r.domains): r.cleartext_permitted for r in configs.network_configs(rows).collect()}
+    assert got == {(f"d{k}",): k >= 4 for k in range(6)}
