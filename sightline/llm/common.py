@@ -41,9 +41,10 @@ def utf8(text: str | Column) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a long, b long): rows (node, root), root the smallest node reachable.
 
-    Alternates the large-star and small-star steps until the links no longer change. Minima are pre-aggregated
-    and joined back, so no neighbour list is ever gathered in one place; the number of rounds grows with the
-    logarithm of the longest chain. Self links and repeated links are harmless; no links give no rows.
+    Alternates the large-star and small-star steps until the links no longer change. Minima are pre-aggregated,
+    written and joined back, so no neighbour list is ever gathered in one place and Spark can split the rows of a hub in
+    both joins; the number of rounds grows with the logarithm of the longest chain. Self links and repeated links are
+    harmless; no links give no rows.
     """
     links = saved(
         edges.where(F.col("a") != F.col("b"))
@@ -54,10 +55,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where(F.col("u") != F.col("v")).distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = large.where(F.col("u") != F.col("v"))
+        large = saved(large.distinct(), "large")
+        smallest = saved(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(smallest, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = saved(smallest.select("u", F.col("m").alias("v")).unionByName(small).distinct(), "links")
         now = links.agg(
