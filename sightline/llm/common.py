@@ -32,6 +32,17 @@ def saved(df: DataFrame, kind: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def drawn(rows: DataFrame, key: str, seed: str, most: int) -> DataFrame:
+    """A repeatable sample of ``most`` rows at most: those with the smallest hashes of ``key``.
+
+    Rows beyond twice the share that is wanted drop out where they are read, so few rows meet to be sorted.
+    """
+    count = rows.count()
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 1) / F.lit(float(1 << 63))
+    share = min(1.0, 2.0 * most / max(1, count) + 1e-12) if count > 4 * most else 1.0
+    return rows.withColumn("__place", place).where(F.col("__place") <= share).orderBy("__place", key).limit(most).drop("__place")
+
+
 def utf8(text: str | Column) -> Column:
     """UTF-8 bytes of a text; a null text has none."""
     column = F.col(text) if isinstance(text, str) else text

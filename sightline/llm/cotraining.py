@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import byte_slices, mixed_bits, word_hashes
+from sightline.llm.common import byte_slices, drawn, mixed_bits, word_hashes
 
 LABELLED, POOL = 6000, 6000
 ROUNDS, CONFIDENT, EACH_ROUND = 3, 0.98, 600
@@ -179,9 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    draw = F.xxhash64(F.lit("quality"), F.col("doc_id"))
-    chosen = known.join(ids, "doc_id").orderBy(draw, "doc_id").limit(labelled).withColumn("aside", F.pmod(F.xxhash64(F.lit("aside"), F.col("doc_id")), F.lit(3)) == 0)
-    free = ids.join(known, "doc_id", "left_anti").orderBy(draw, "doc_id").limit(pool)
+    chosen = drawn(known.join(ids, "doc_id"), "doc_id", "quality", labelled).withColumn("aside", F.pmod(F.xxhash64(F.lit("aside"), F.col("doc_id")), F.lit(3)) == 0)
+    free = drawn(ids.join(known, "doc_id", "left_anti"), "doc_id", "quality", pool)
     sample = chosen.unionByName(free.withColumn("quality", F.lit(-1)).withColumn("aside", F.lit(False)))
     sample = sample.select(F.col("doc_id").alias("chosen_id"), "quality", "aside")
     rows = _columns(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("chosen_id"))  # at most labelled + pool rows

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import mixed_bits, saved
+from sightline.llm.common import drawn, mixed_bits, saved
 
 # The patterns of the base spans, in the order of their kinds.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -33,7 +33,7 @@ LIKELY = {
 SAMPLE_DOCUMENTS = 400
 SAMPLE_CHUNKS, CHUNK_TOKENS = 1500, 48
 ROUNDS = 60
-MARGIN = 2.0
+MARGIN = 1.0
 TAGS = 3  # outside, begin, inside
 
 # Bits of a character: what kind of token character it is, or what it says in a gap between tokens.
@@ -270,10 +270,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Field | None:
         for word in words:
             some = some | F.contains(lowered, F.lit(word))
         likely = likely | (some & F.col("text").rlike(pattern))  # the pattern is tried on texts with its words only
-    drawn = saved(rows.select("doc_id", likely.alias("likely"), F.xxhash64(F.lit("crf"), F.col("doc_id")).alias("draw")), "draw")
+    known = saved(rows.select("doc_id", likely.alias("likely")), "likely")
     chosen = None
     for kind in (True, False):
-        part = drawn.where(F.col("likely") == kind).orderBy("draw", "doc_id").limit(sample).select(F.col("doc_id").alias("chosen_id"))
+        part = drawn(known.where(F.col("likely") == kind), "doc_id", "crf", sample).select(F.col("doc_id").alias("chosen_id"))
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = F.broadcast(chosen.distinct())  # twice the sample at most
     texts = sorted(r.text for r in rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id"))).limit(3 * sample).select("text").collect())

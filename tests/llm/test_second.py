@@ -341,7 +341,7 @@ def test_field_learns_more_than_the_patterns(spark):
         text.append(f"call 555-{rng.integers(100, 999)} in {rng.integers(1900, 2030)}")
         rows.append((k, " ".join(text)))
     field = crf_secrets.fit(documents(spark, rows))
-    found = crf_secrets.find([f"the words {key(30)} here", "plain words in 1984 call 555-123 here"], field)
+    found = crf_secrets.find([f'the token => "{key(30)}" here', "plain words in 1984 call 555-123 here"], field)
     assert [(s[1], s[2] - s[0]) for s in found[0]] == [(3, 30)] and found[1] == []
     clean = crf_secrets.redacted(documents(spark, rows)).collect()
     for r, (_, t) in zip(sorted(clean), rows):
