@@ -291,6 +291,11 @@ def dedup_branches(entries: DataFrame, keys: Sequence[str] = BRANCH) -> tuple[Da
     return branches.withColumn("reference_count", F.coalesce("reference_count", F.lit(0))), refs
 
 
+def os_finding_rows(findings: DataFrame, keys: Sequence[str] = ("finding_id",)) -> DataFrame:
+    """The branches of each merged environment finding with the union of their references, as rows."""
+    return findings.select(*keys, "branch", F.explode_outer("references").alias("reference")).distinct()
+
+
 def merge_os_findings(findings: DataFrame, keys: Sequence[str] = ("finding_id",)) -> DataFrame:
     """One environment finding per identity with exact counts of its branches and references.
 

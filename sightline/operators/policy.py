@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import ranks
 from sightline.operators.coverage import LIMITED, PARTIAL, state_mask
+from sightline.operators.identity import match_identities
 
 # Default budgets (-1 = no budget) and gate exit codes.
 DEFAULT_THRESHOLDS = {"critical": 0, "high": 0, "medium": -1, "low": -1, "info": -1}
@@ -40,21 +41,48 @@ class Policy:
         object.__setattr__(self, "thresholds", {**DEFAULT_THRESHOLDS, **self.thresholds})
 
 
-def waiver_state(findings: DataFrame, waivers: DataFrame, as_of: dt.date, id_column: str = "id") -> DataFrame:
+def _has_identities(frame: DataFrame) -> bool:
+    return {"own", "every"} <= set(frame.columns)
+
+
+def by_identity(findings: DataFrame, entries: DataFrame, entry_id: str, keys: tuple[str, ...]) -> DataFrame:
+    """``entries`` under ``keys`` and the ``id`` of the findings they match through an identity.
+
+    ``findings``: keys, id, ``own`` and ``every`` identities. An entry names one identity: a finding's own one matches,
+    an alias only where it is the single option of both.
+    """
+    named = findings.select(*keys, F.explode(F.array_union("own", "every")).alias("id")).join(
+        entries.select(F.col(entry_id).alias("id")).distinct(), "id"
+    ).distinct()
+    previous = named.withColumn("own", F.array("id")).withColumn("every", F.array("id"))
+    pairs = match_identities(findings.select(*keys, "id", "own", "every").distinct(), previous, keys)
+    return pairs.select(*keys, F.col("current_id").alias("id"), F.col("previous_id").alias(entry_id)).join(entries, entry_id)
+
+
+def waiver_state(
+    findings: DataFrame, waivers: DataFrame, as_of: dt.date, id_column: str = "id", keys: tuple[str, ...] = ("report_id",)
+) -> DataFrame:
     """Adds ``waived``, ``reopened`` and ``suppressed`` to findings.
 
+    Findings with ``own`` and ``every`` identities meet waivers through them within ``keys``, others by id.
+
     ``waivers``: finding_id, expires and, when recorded, severity and known_exploited. They are folded to one row
     per finding id first, so the join adds no rows. Expiry is inclusive; an escalated waiver reopens its finding
     even when another active one matches.
     """
     active = waivers.where(F.col("expires") >= F.lit(as_of))
     recorded = F.col("severity").isNotNull()
-    folded = active.groupBy(F.col("finding_id").alias(id_column)).agg(
+    on = [id_column]
+    if _has_identities(findings):
+        active, on = by_identity(findings, active, "finding_id", keys).withColumnRenamed("id", id_column), [*keys, id_column]
+    else:
+        active = active.withColumn(id_column, F.col("finding_id"))
+    folded = active.groupBy(*on).agg(
         F.lit(True).alias("waived"),
         F.min(F.when(recorded, ranks.severity_rank(F.col("severity")))).alias("__rank"),
         F.bool_or(recorded & ~F.coalesce("known_exploited", F.lit(False))).alias("__unexploited"),
     )
-    rows = findings.join(folded, id_column, "left")
+    rows = findings.join(folded, on, "left")
     exploited = F.coalesce("known_exploited", F.lit(False)) if "known_exploited" in findings.columns else F.lit(False)
     reopened = F.coalesce(ranks.severity_rank(F.col("severity")) > F.col("__rank"), F.lit(False)) | (
         exploited & F.coalesce("__unexploited", F.lit(False))
@@ -104,8 +132,15 @@ def waiver_report(findings: DataFrame, waivers: DataFrame, as_of: dt.date) -> Da
 def baseline_state(findings: DataFrame, baseline: DataFrame, keys: tuple[str, ...] = ("report_id", "id")) -> DataFrame:
     """Adds ``baseline``: existing (covered in severity and status), escalated, or new.
 
-    ``baseline`` holds the prior rows under the keys of the report they are the baseline of.
+    ``baseline`` holds the prior rows under the keys of the report they are the baseline of. Where both sides have
+    ``own`` and ``every`` identities, findings are matched through them, so a renamed advisory stays covered.
     """
+    if _has_identities(findings) and _has_identities(baseline):
+        *scope, name = keys
+        side = lambda frame: frame.select(*scope, F.col(name).alias("id"), "own", "every").distinct()
+        pairs = match_identities(side(findings), side(baseline), scope)
+        pairs = pairs.select(*scope, F.col("current_id").alias("__current"), F.col("previous_id").alias(name))
+        baseline = baseline.join(pairs, list(keys)).withColumn(name, F.col("__current"))
     prior = baseline.groupBy(*keys).agg(
         F.collect_set(
             F.struct(ranks.severity_rank(F.col("severity")).alias("s"), ranks.status_rank(F.col("status")).alias("t"))

@@ -231,6 +231,16 @@ def _(t: Tables) -> DataFrame:
     return adv.correlation_window(rows, t.deps, 40).select("id", "source")
 
 
+@query(
+    "agg_12_os_finding_references",
+    """SELECT DISTINCT 'OS-' || (partkey % 40) AS finding_id, brand AS branch, reference FROM advisories""",
+    ("advisories",),
+)
+def _(t: Tables) -> DataFrame:
+    rows = t.advisories.select(joined("OS-", text(F.col("partkey") % 40)).alias("finding_id"), F.col("brand").alias("branch"), F.array("reference").alias("references"))
+    return adv.os_finding_rows(rows)
+
+
 @query(
     "agg_12_os_finding_merge",
     """SELECT 'OS-' || (partkey % 40) AS finding_id, count(DISTINCT brand) AS branches, count(DISTINCT reference) AS "references" FROM advisories GROUP BY 1""",

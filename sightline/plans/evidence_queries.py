@@ -936,6 +936,45 @@ def _(t: Tables) -> DataFrame:
     return policy.waiver_state(t.findings, waivers(t), AS_OF.date()).select("report_id", "id", "waived", "reopened", "suppressed")
 
 
+_RENAMED_SQL = """f AS (SELECT p_partkey AS k, 'r' || (p_partkey % 5) AS report_id FROM part), s AS (SELECT report_id, k // 30 AS g, count(*) AS n FROM f WHERE k % 3 = 1 GROUP BY ALL)"""
+
+
+def renamed_findings(t: Tables) -> DataFrame:
+    """Findings with a location identity, and an alias of their own (k % 3 = 0) or one shared by thirty keys (k % 3 = 1)."""
+    k = F.col("p_partkey")
+    alias = F.when(k % 3 == 0, joined("A-", text(k))).when(k % 3 == 1, joined("S-", text(F.floor(k / 30))))
+    own = F.array(joined("F-", text(k)), joined("L-", text(k)))
+    return t.part.select(
+        "p_partkey", joined("r", text(k % 5)).alias("report_id"), joined("F-", text(k)).alias("id"), F.lit("high").alias("severity"), F.lit("version-affected").alias("status"),
+        F.lit(False).alias("known_exploited"), own.alias("own"), F.array_union(own, F.array_compact(F.array(alias))).alias("every"),
+    )
+
+
+@query(
+    "jon_12_waivers_of_identities",
+    f"""WITH {_RENAMED_SQL} SELECT f.report_id, 'F-' || k AS id, k % 4 = 0 OR (k % 3 = 1 AND coalesce(s.n, 0) = 1) AS waived FROM f LEFT JOIN s ON s.report_id = f.report_id AND s.g = f.k // 30""",
+)
+def _(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    named = F.when(k % 12 == 0, joined("A-", text(k))).otherwise(joined("L-", text(k)))
+    rows = t.part.where(k % 4 == 0).select(named.alias("finding_id")).unionByName(t.part.select(joined("S-", text(F.floor(k / 30))).alias("finding_id")).distinct())
+    waived = rows.select("finding_id", F.lit(AS_OF.date()).alias("expires"), F.lit("high").alias("severity"), F.lit(False).alias("known_exploited"))
+    return policy.waiver_state(renamed_findings(t), waived, AS_OF.date()).select("report_id", "id", "waived")
+
+
+@query(
+    "jon_13_baseline_of_renamed",
+    """SELECT 'r' || (p_partkey % 5) AS report_id, 'F-' || p_partkey AS id, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 = 0 THEN 'existing' ELSE 'new' END AS baseline FROM part""",
+)
+def _(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    own = F.array(joined("P-", text(k)), joined("A-", text(k)))
+    prior = t.part.where(k % 2 == 0).select(
+        joined("r", text(k % 5)).alias("report_id"), joined("P-", text(k)).alias("id"), F.lit("high").alias("severity"), F.lit("version-affected").alias("status"), own.alias("own"), own.alias("every")
+    )
+    return policy.baseline_state(renamed_findings(t), prior).select("report_id", "id", "baseline")
+
+
 @query(
     "jon_12_waiver_report",
     f"""WITH {_WAIVERS_SQL}, m AS (SELECT w.finding_id, count(f.id) AS matched,
