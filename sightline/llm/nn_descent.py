@@ -25,10 +25,10 @@ from sightline.scale import SLICE, sliced
 
 NEIGHBOURS = 32
 SAMPLE = 16
-ORDERS = 6
-SLICE_ROWS = 2048
+ORDERS = 12
+SLICE_ROWS, BLOCK_ROWS = 4096, 1024
 ROUNDS, ENOUGH = 8, 0.02
-BEAM = 32
+BEAM = 48
 STEPS = 12
 
 
@@ -95,8 +95,8 @@ def _slice_neighbours(count: int):
             if len(here) < 2:
                 continue
             x = _floats(group.column("direction").take(pa.array(here)))
-            for start in range(0, len(here), SLICE_ROWS):
-                similar = x[start : start + SLICE_ROWS] @ x.T
+            for start in range(0, len(here), BLOCK_ROWS):
+                similar = x[start : start + BLOCK_ROWS] @ x.T
                 similar[np.arange(len(similar)), start + np.arange(len(similar))] = -np.inf
                 row, column = _best(similar, count)
                 found.append((node[here[start + row]], node[here[column]], similar[row, column]))
@@ -141,7 +141,7 @@ def neighbour_graph(directions: DataFrame, neighbours: int = NEIGHBOURS, sample:
     count = directions.count()
     cut = sliced(_orders(directions, orders), ["dim", "turn", "key", "node"], max(1, math.ceil(count * orders / SLICE_ROWS)))
     placed = cut.select(F.col(SLICE).cast("long").alias("slice"), "node").join(directions, "node")
-    first = grouped_in_arrow(placed, ["slice"], [], _slice_neighbours(neighbours), "u long, v long, s float")
+    first = grouped_in_arrow(placed, ["slice"], [], _slice_neighbours(neighbours // 2), "u long, v long, s float")
     nearest = [F.col("s").desc(), F.col("v")]
     graph = saved(_top(first.groupBy("u", "v").agg(F.max("s").alias("s")), "u", nearest, neighbours).withColumn("fresh", F.lit(True)), "graph")
     for _ in range(rounds):
