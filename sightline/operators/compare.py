@@ -233,13 +233,13 @@ def timeline(findings: DataFrame, reports: DataFrame, coverage: DataFrame) -> Da
     )
 
 
-def first_observed(findings: DataFrame, reports: DataFrame, limit: int = 200) -> DataFrame:
-    """Earliest report time per target and finding, and whether the target's whole history was within ``limit`` reports."""
+def first_observed(findings: DataFrame, reports: DataFrame, limit: int | None = None) -> DataFrame:
+    """Earliest report time per target and finding, and whether the target's whole history was within ``limit`` reports, if there is one."""
     window = reports.groupBy("target").agg(F.count(F.lit(1)).alias("reports"))
     return (
         findings.join(reports.select("report_id", "target", "created"), "report_id")
         .groupBy("target", "id").agg(F.min("created").alias("first_observed"))
-        .join(window, "target").withColumn("complete", F.col("reports") <= limit)
+        .join(window, "target").withColumn("complete", F.lit(True) if limit is None else F.col("reports") <= limit)
     )
 
 

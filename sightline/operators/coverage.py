@@ -21,7 +21,6 @@ ADVISORY_PREFIXES = ("CVE-", "GHSA-", "OSV-")
 ADVISORY_RULE = "DEPENDENCY-CVE"
 # Fixed value: a coverage entry reported under another rule's name.
 ROW_FINDINGS = 50
-NOTIFICATION_LIMIT = 200
 
 
 def weaknesses(spark: SparkSession) -> DataFrame:
@@ -310,8 +309,8 @@ def export_rules(findings: DataFrame) -> DataFrame:
     )
 
 
-def coverage_notifications(coverage: DataFrame, limit: int = NOTIFICATION_LIMIT) -> DataFrame:
-    """Groups of shortfalls per report in (rule, state) order; ``omitted`` counts those past the limit."""
+def coverage_notifications(coverage: DataFrame, limit: int | None = None) -> DataFrame:
+    """Groups of shortfalls per report in (rule, state) order; ``omitted`` counts those past a limit."""
     short = coverage.where(F.col("state").isin("partial", "limited", "not-run"))
     note = F.col("note") if "note" in coverage.columns else F.lit("")
     grouped = short.groupBy("report_id", "rule_id", "state").agg(
@@ -322,7 +321,7 @@ def coverage_notifications(coverage: DataFrame, limit: int = NOTIFICATION_LIMIT)
     return first.join(totals, "report_id").select(
         "report_id", "position", "rule_id", "state", "entries", F.coalesce("note", F.lit("")).alias("note"),
         F.when(F.col("state") == "partial", "warning").otherwise("note").alias("level"),
-        F.greatest(F.col("groups") - limit, F.lit(0)).alias("omitted"),
+        (F.lit(0).cast("bigint") if limit is None else F.greatest(F.col("groups") - limit, F.lit(0))).alias("omitted"),
     )
 
 

@@ -222,8 +222,8 @@ def query_order(deps: DataFrame, fresh: DataFrame, cap: int) -> DataFrame:
     ).withColumn("fresh", F.coalesce("fresh", F.lit(False)))
     order = [F.col("fresh"), (~F.col("direct")).cast("int"), -F.col("c"), F.col("ecosystem"), F.col("name"), F.col("version")]
     first = rows.orderBy(*order).limit(cap).withColumn("confidence", ranks.name_of(F.col("c"), ranks.CONFIDENCES))
-    remaining = max(0, ready.count() - cap)
-    return first.select("ecosystem", "name", "version", "fresh", "direct", "confidence", F.lit(remaining).cast("bigint").alias("remaining"))
+    remaining = ready.agg(F.greatest(F.count(F.lit(1)) - cap, F.lit(0)).cast("bigint").alias("remaining"))
+    return first.join(F.broadcast(remaining)).select("ecosystem", "name", "version", "fresh", "direct", "confidence", "remaining")  # one row
 
 
 def bom_components(deps: DataFrame, keys: Sequence[str] = ("app_id",)) -> DataFrame:

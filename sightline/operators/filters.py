@@ -206,8 +206,8 @@ def under_roots(reports: DataFrame, roots: Sequence[str]) -> DataFrame:
     return reports.where(ok)
 
 
-def link_candidates(links: DataFrame, cap: int = 20, length: int = 4096) -> DataFrame:
-    """Deep-link addresses worth a runtime step, at most ``cap`` per app in declaration order (a plan feature)."""
+def link_candidates(links: DataFrame, cap: int | None = None, length: int | None = None) -> DataFrame:
+    """Deep-link addresses worth a runtime step in declaration order; ``cap`` per app and ``length`` limit them where asked for."""
     from sightline.scale import top_k
 
     usable = (
@@ -218,6 +218,8 @@ def link_candidates(links: DataFrame, cap: int = 20, length: int = 4096) -> Data
     port = F.when(F.coalesce("port", F.lit("")) != "", F.concat(F.lit(":"), "port")).otherwise("")
     pick = lambda c, default: F.when(F.coalesce(c, F.lit("")) == "", default).otherwise(F.col(c))
     url = F.concat("scheme", F.lit("://"), pick("host", "test"), port, pick("path", "/"))
-    rows = links.where(usable).withColumn("url", url).where(F.length("url") <= length)
+    rows = links.where(usable).withColumn("url", url)
+    if length is not None:
+        rows = rows.where(F.length("url") <= length)
     return top_k(rows, ["app_id"], [F.col("position")], cap).select("app_id", "rank", "url")
 

@@ -334,8 +334,7 @@ def _(t: Tables) -> DataFrame:
           CASE WHEN o_orderkey % 5 = 0 THEN '8443' ELSE '' END AS port, o_orderkey % 11 = 0 AS embedded FROM orders),
         usable AS (SELECT app_id, position, scheme || '://' || CASE WHEN host = '' THEN 'test' ELSE host END || CASE WHEN port <> '' THEN ':' || port ELSE '' END || '/' AS url
           FROM links WHERE NOT embedded AND NOT contains(host, '*'))
-        SELECT app_id, CAST(row_number() OVER (PARTITION BY app_id ORDER BY position) AS INTEGER) AS rank, url FROM usable
-        QUALIFY row_number() OVER (PARTITION BY app_id ORDER BY position) <= 20""",
+        SELECT app_id, CAST(row_number() OVER (PARTITION BY app_id ORDER BY position) AS INTEGER) AS rank, url FROM usable""",
 )
 def _(t: Tables) -> DataFrame:
     key, cust = F.col("o_orderkey"), F.col("o_custkey")

@@ -34,8 +34,12 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) ->
     return df.groupBy(*keys).agg(F.max_by(value, rank).alias("__row")).select("__row.*")
 
 
-def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
-    """First ``k`` rows per key; the rank filter is applied before and after the shuffle."""
+def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None, rank: str = "rank") -> DataFrame:
+    """First ``k`` rows per key; the rank filter is applied before and after the shuffle. Without ``k`` all rows are
+    ranked, slice by slice; the order must then be unique per key."""
+    if k is None:
+        names = [f"__by_{n}" for n in range(len(order))]
+        return numbered(df.withColumns(dict(zip(names, order))), keys, names, rank).drop(*names).withColumn(rank, F.col(rank).cast("int"))
     window = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
