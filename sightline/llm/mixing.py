@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import WORD
+from sightline.llm.common import WORD, saved
 from sightline.scale import numbered, running_total
 
 CEILING = 3
@@ -48,6 +48,7 @@ def mix(docs: DataFrame, ceiling: int = CEILING, seed: str = "mix") -> DataFrame
         F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
     ).withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
+    sized = saved(sized, "sizes")  # words are counted once; the numbers are read several times
     prefixed = running_total(sized, ["source"], ["key", "doc_id", "size", "text_crc32"], {"upto": F.col("size")})
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), ceiling)
     targets = targets.withColumnRenamed("source", "target_source")
