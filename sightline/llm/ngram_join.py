@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +107,8 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
 
 def _verifier(threshold: float):
     """Judges one pair of chunks: for each node the copies it is linked to, and a link to the least node it reaches."""
+    exact = Fraction(str(threshold)).limit_denominator(1_000_000)
+    p, q = exact.numerator, exact.denominator
 
     def judge(group: pa.Table) -> pa.RecordBatch | None:
         first = group.column("first").to_numpy()
@@ -126,7 +129,7 @@ def _verifier(threshold: float):
         row, column = row[keep], number[column[keep]]
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        common = np.zeros((len(left), len(right)), dtype=np.float32)
+        common = np.zeros((len(left), len(right)))  # whole numbers, exact to 2^53
         place = np.empty(len(sets), dtype=np.int64)
         for start in range(0, int(shared.sum()), COLUMNS_AT_ONCE):
             a, b = np.searchsorted(column, [start, start + COLUMNS_AT_ONCE])
@@ -135,8 +138,8 @@ def _verifier(threshold: float):
             common += present[left] @ present[right].T
         del place
         total = sizes[left][:, None] + sizes[right][None, :]
-        # inter / (total - inter) >= t, without a division
-        linked = common * (1 + threshold) >= threshold * total - 1e-6
+        # inter / (total - inter) >= p / q in whole numbers, so a pair at the threshold itself is linked
+        linked = common * (p + q) >= p * total
         if same:
             np.fill_diagonal(linked, False)
         links = np.zeros(len(sets), dtype=np.int64)

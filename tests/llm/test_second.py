@@ -394,6 +394,15 @@ def test_join_equals_brute_force(spark, chunk):
     assert ngram_join.join(documents(spark, [])).count() == 0
 
 
+def test_pairs_at_the_threshold_itself_are_linked(spark):
+    rows, expected = [], {}
+    for k, (shared, union) in enumerate([(12, 15), (24, 30), (28, 35), (4004, 5005), (23, 30), (4003, 5005)]):
+        words = [f"w{k}x{n}" for n in range(union + 4)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words[: shared + 4]))]
+        expected[10 * k] = expected[10 * k + 1] = int(shared * 5 >= 4 * union)
+    assert {r.doc_id: r.n_links for r in ngram_join.join(documents(spark, rows)).collect()} == expected
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.choose_bands(0.8, 0.99, 256)
     assert bands * rows <= 256 and 1 - (1 - 0.8**rows) ** bands >= 0.99
