@@ -2,8 +2,12 @@
 
 Each pass orders the vectors lexicographically by the concatenated signs of random projections and compares every vector
 with its next neighbours in that order. The links verified in all passes are united into components. Inside each
-component, all pairs are then counted exactly, block by block. The number of passes follows from the number of vectors,
-the window and a target recall at the threshold.
+component, all pairs are then counted exactly, block by block.
+
+The first passes follow from the number of vectors, the window and a target recall at the threshold, as if directions
+were spread evenly. How crowded a vector's surroundings are is then measured in every pass, by the signs it shares with
+the rows at its window's ends. Vectors that this leaves below the target recall go on to further passes, as many as there
+were before, until none is left or a round ties no two components that were apart.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from sightline.scale import SLICE, sliced
 
 THRESHOLD, WINDOW, RECALL = 0.9, 32, 0.98
 BITS = 62
+PASSES_AT_ONCE = 16
 SLICE_ROWS = 4096
 CHUNK = 2048
 
@@ -48,41 +53,66 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def choose_passes(count: int, threshold: float, window: int, recall: float) -> int:
-    """Passes after which a pair at the threshold has met with the target recall: two vectors are near in a pass if
-    the first log2(count / window) signs agree, each with probability 1 - angle / pi."""
-    agree = (1 - math.acos(threshold) / math.pi) ** max(0.0, math.log2(max(1, count) / window))
+    """Passes after which a pair at the threshold has met with the target recall if directions are spread evenly: two
+    vectors are near in a pass if the first log2(count / window) signs agree, each with probability 1 - angle / pi."""
+    agree = _agreement(threshold) ** max(0.0, math.log2(max(1, count) / window))
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(agree, 0.999))))
 
 
-def _keys(vectors: DataFrame, passes: int) -> DataFrame:
-    """pass, key, node of ``vectors`` (node, dim, embedding)."""
+def _agreement(threshold: float) -> float:
+    """The chance that the sign of a random projection is the same for two vectors at the threshold."""
+    return 1 - math.acos(threshold) / math.pi
+
+
+def _keys(vectors: DataFrame, start: int, passes: int) -> DataFrame:
+    """pass, key, node of ``vectors`` (node, dim, embedding) in the passes from ``start`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
         weights = (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))[:, None]
         for batch in batches:
             dims = batch.column(1).to_numpy()
             for dim in np.unique(dims).tolist():
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([29, dim]).standard_normal((dim, passes * BITS))
                 rows = batch.filter(pa.array(dims == dim))
-                signs = unit(matrix(rows.column(2))) @ planes[dim] > 0
-                keys = (signs.reshape(len(rows), passes, BITS) @ weights).reshape(-1)
-                node = np.repeat(rows.column(0).to_numpy(), passes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), dim, dtype=np.int32)), pa.array(np.tile(np.arange(passes, dtype=np.int32), len(rows))), pa.array(keys), pa.array(node)],
-                    names=["dim", "pass", "key", "node"],
-                )
+                vectors = unit(matrix(rows.column(2)))
+                for first in range(start, start + passes, PASSES_AT_ONCE):
+                    turns = np.arange(first, min(first + PASSES_AT_ONCE, start + passes), dtype=np.int32)
+                    if (dim, first) not in planes:
+                        planes[dim, first] = np.hstack([np.random.default_rng([29, dim, t]).standard_normal((dim, BITS)) for t in turns.tolist()])
+                    signs = vectors @ planes[dim, first] > 0
+                    keys = (signs.reshape(len(rows), len(turns), BITS) @ weights).reshape(-1)
+                    node = np.repeat(rows.column(0).to_numpy(), len(turns))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(keys), dim, dtype=np.int32)), pa.array(np.tile(turns, len(rows))), pa.array(keys), pa.array(node)],
+                        names=["dim", "pass", "key", "node"],
+                    )
 
     return vectors.select("node", "dim", "embedding").mapInArrow(run, "dim int, pass int, key long, node long")
 
 
+def _shared_signs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of leading signs that keys have in common."""
+    return BITS - np.frexp((a ^ b).astype(np.float64))[1]
+
+
 def _windows(threshold: float, window: int):
-    """Judges one slice of the order: links each vector to the least one it reaches inside the slice."""
+    """Judges one slice of the order: links each vector to the least one it reaches inside the slice (a, b), and gives
+    for the slice's own rows of each vector (a, dim) the logarithm of the chance that they all miss a pair at the threshold.
+
+    A row compares with all rows that share more signs with it than the rows ``window`` places before and after do.
+    """
+    agree = _agreement(threshold)
 
     def judge(group: pa.Table) -> pa.RecordBatch | None:
         order = np.lexsort([group.column(c).to_numpy() for c in ("node", "key", "pass", "dim")])
-        node, turn, dims = (group.column(c).to_numpy()[order] for c in ("node", "pass", "dim"))
+        node, turn, dims, key = (group.column(c).to_numpy()[order] for c in ("node", "pass", "dim", "key"))
+        own = group.column("own").to_numpy(zero_copy_only=False)[order]
+        needed = np.zeros(len(node), dtype=np.int64)  # signs that have to agree; none where the order ends before the window
+        together = (turn[:-window] == turn[window:]) & (dims[:-window] == dims[window:])
+        at = np.flatnonzero(together)
+        signs = np.minimum(BITS, _shared_signs(key[at], key[at + window]) + 1)
+        needed[at] = signs
+        needed[at + window] = np.maximum(needed[at + window], signs)
         a, b = [], []
         for dim in np.unique(dims).tolist():
             here = np.flatnonzero(dims == dim)
@@ -92,17 +122,63 @@ def _windows(threshold: float, window: int):
                 found = np.flatnonzero(near)
                 a.append(here[found])
                 b.append(here[found + step])
-        if not a or not sum(map(len, a)):
-            return None
-        a, b = np.concatenate(a), np.concatenate(b)
+        a, b = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (a, b))
         distinct, number = np.unique(node, return_inverse=True)
         root = distinct[local_roots(len(distinct), number[a], number[b])]
         some = root != distinct
-        return pa.RecordBatch.from_arrays([pa.array(distinct[some]), pa.array(root[some])], names=["a", "b"])
+        missed = np.log1p(-np.minimum(agree ** needed[own], 0.999))
+        pairs, place = np.unique(np.stack([node[own], dims[own].astype(np.int64)]), axis=1, return_inverse=True)
+        missed = np.bincount(place.reshape(-1), weights=missed, minlength=pairs.shape[1])
+        ties, rows = int(some.sum()), pairs.shape[1]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([distinct[some], pairs[0]])), pa.concat_arrays([pa.array(root[some]), pa.nulls(rows, pa.int64())]),
+                pa.concat_arrays([pa.nulls(ties, pa.int32()), pa.array(pairs[1].astype(np.int32))]), pa.concat_arrays([pa.nulls(ties, pa.float64()), pa.array(missed)]),
+            ],
+            names=["a", "b", "dim", "missed"],
+        )
 
     return judge
 
 
+def _round(vectors: DataFrame, count: int, start: int, passes: int, threshold: float, window: int) -> DataFrame:
+    """Ties (a, b) and chances of a miss (a, dim, missed) of ``vectors`` from the passes ``start`` to ``start + passes``."""
+    keys = _keys(vectors, start, passes)
+    parts = max(1, math.ceil(count * passes / SLICE_ROWS))
+    cut = sliced(keys, ["dim", "pass", "key", "node"], parts)
+    rank = F.row_number().over(W.partitionBy(SLICE).orderBy("dim", "pass", "key", "node"))
+    halo = cut.withColumn("rank", rank).withColumn(
+        "slice", F.explode(F.when((F.col("rank") <= window) & (F.col(SLICE) > 0), F.array(F.col(SLICE), F.col(SLICE) - 1)).otherwise(F.array(F.col(SLICE))))
+    )
+    halo = halo.select("slice", "dim", "pass", "key", "node", (F.col("slice") == F.col(SLICE)).alias("own"))
+    placed = halo.join(vectors.select("node", "embedding", F.col("dim").alias("d")), "node").where("dim = d").drop("d")
+    return saved(grouped_in_arrow(placed, ["slice"], [], _windows(threshold, window), "a long, b long, dim int, missed double"), "ties")
+
+
+def _candidates(classes: DataFrame, threshold: float, window: int, recall: float) -> DataFrame:
+    """node, root: the connected sets of the links that the passes over ``classes`` (node, dim, embedding) find."""
+    todo, left, start = classes.select("node", "dim", "embedding"), classes.count(), 0
+    passes = choose_passes(left, threshold, window, recall)
+    found, missed = None, None
+    while True:
+        out = _round(todo, left, start, passes, threshold, window)
+        ties = out.where("b is not null").select("a", "b")
+        if found is not None:
+            ties = ties.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        # each merge of two components takes one root away, each new node of a component adds one to the nodes
+        before = found.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("root").alias("r")).first() if found is not None else None
+        found = saved(components(ties), "components")
+        after = found.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("root").alias("r")).first()
+        chances = out.where("b is null").select(F.col("a").alias("node"), "dim", "missed")
+        chances = chances if missed is None else chances.unionByName(missed)
+        missed = saved(chances.groupBy("node", "dim").agg(F.sum("missed").alias("missed")).where(F.col("missed") > math.log(1 - recall)), "missed")
+        left = missed.count()
+        start, passes = start + passes, start + passes
+        if left < 2 or before == after:
+            return found
+        todo = saved(classes.select("node", "dim", "embedding").join(missed.select("node", "dim"), ["node", "dim"], "left_semi"), "todo")
+
+
 def _counter(threshold: float):
     """Judges one pair of chunks of a component: the copies each node is linked to, and the least node it reaches."""
 
@@ -149,18 +225,7 @@ def near_duplicates(
     classes = saved(
         rows.where("usable").groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("embedding")), "vectors"
     )
-    count = classes.count()
-    passes = choose_passes(count, threshold, window, recall)
-    keys = _keys(classes, passes)
-    parts = max(1, math.ceil(count * passes / SLICE_ROWS))
-    cut = sliced(keys, ["dim", "pass", "key", "node"], parts)
-    rank = F.row_number().over(W.partitionBy(SLICE).orderBy("dim", "pass", "key", "node"))
-    halo = cut.withColumn("rank", rank).withColumn(
-        "slice", F.explode(F.when((F.col("rank") <= window) & (F.col(SLICE) > 0), F.array(F.col(SLICE), F.col(SLICE) - 1)).otherwise(F.array(F.col(SLICE))))
-    )
-    placed = halo.select("slice", "dim", "pass", "key", "node").join(classes.select("node", "embedding", F.col("dim").alias("d")), "node").where("dim = d").drop("d")
-    ties = grouped_in_arrow(placed, ["slice"], [], _windows(threshold, window), "a long, b long")
-    found = saved(components(ties).select("node", F.col("root").alias("cluster")), "components")
+    found = _candidates(classes, threshold, window, recall).select("node", F.col("root").alias("cluster"))
     sized = found.join(found.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")), "cluster")
     # vectors of several lengths can meet in a component only through a repeated vec_id
     members = sized.join(classes, "node").select((F.col("cluster") * 1).alias("cluster"), F.col("dim").cast("long").alias("dim"), "members", "node", "copies", "embedding")

@@ -235,6 +235,21 @@ def test_links_equal_brute_force(spark, chunk):
     assert projection_dedup.near_duplicates(table.where("false")).count() == 0
 
 
+def test_pairs_inside_a_hot_topic_are_found(spark):
+    rng = np.random.default_rng(5)
+    units = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    middle = units(rng.standard_normal(64))
+    away = lambda n: units((x := rng.standard_normal((n, 64))) - np.outer(x @ middle, middle))
+    topic = math.sqrt(0.75) * middle + 0.5 * away(3000)  # a third of the rows, mutual cosine 0.75
+    side = rng.standard_normal((100, 64))
+    side = units(side - (side * topic[:100]).sum(axis=1, keepdims=True) * topic[:100])
+    pairs = 0.91 * topic[:100] + math.sqrt(1 - 0.91**2) * side
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(np.vstack([topic, units(rng.standard_normal((6000, 64)))]))]
+    rows += [(10_000 + k, v.tolist(), 0) for k, v in enumerate(pairs)]
+    got = {r.vec_id: r.n_links for r in projection_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert sum(got[10_000 + k] > 0 for k in range(100)) >= 95
+
+
 # --- neighbour graph --------------------------------------------------------------------------------------------
 
 
