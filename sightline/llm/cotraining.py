@@ -24,8 +24,7 @@ from sightline.llm.common import byte_slices, drawn, mixed_bits, word_hashes
 LABELLED, POOL = 6000, 6000
 ROUNDS, CONFIDENT, EACH_ROUND = 3, 0.98, 600
 TRIGRAMS, LANGS, SOURCES = 512, 16, 64
-KEEP_SHARE = 0.999  # of good documents kept aside, the least share that has to stay
-SURE = 0.3  # a document goes only if its chance of being good is below this
+SURE = 0.5  # a document goes only if its chance of being good is below this
 L2 = 0.05
 #: Kinds of bytes: lower, upper, digit, space, line end, common punctuation, brackets and rules, other ASCII, beyond ASCII.
 KINDS = 9
@@ -124,6 +123,21 @@ def _chance(logits: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-logits))
 
 
+def _cut(scores: np.ndarray, y: np.ndarray) -> float:
+    """The threshold that errs least often on ``scores`` with labels ``y``, ``SURE`` at most: the middle, in logits, of the
+    first gap between scores at which this is so. A few wrong labels among many right ones do not move it."""
+    order = np.argsort(scores, kind="stable")
+    scores, gains = scores[order], np.cumsum(1 - 2 * y[order])  # bad documents less good ones among those rejected
+    ends = np.flatnonzero(np.r_[scores[1:] > scores[:-1], True])  # equal scores go together
+    if not len(ends) or gains[ends].max() <= 0:
+        return 0.0
+    end = ends[np.argmax(gains[ends])]
+    if end + 1 == len(scores):
+        return SURE
+    a, b = np.log(scores[end : end + 2] / (1 - scores[end : end + 2]))
+    return min(SURE, float(_chance((a + b) / 2)))
+
+
 class CoTrained:
     """Two views that label for each other, and their calibrated combination."""
 
@@ -150,8 +164,7 @@ class CoTrained:
         z = self._view_logits(x[aside])
         self.scales = [Logistic(0.1).fit(z[:, [k]], y[aside]) for k in (0, 1)]
         self.joint = Logistic(0.1).fit(self._calibrated(z), y[aside])
-        good = np.sort(self.scores(x[aside])[y[aside] > 0.5])
-        self.threshold = min(SURE, float(good[int((1 - KEEP_SHARE) * len(good))])) if len(good) else SURE
+        self.threshold = _cut(self.scores(x[aside]), y[aside])
 
     def _view_logits(self, x: np.ndarray) -> np.ndarray:
         return np.stack([v.logits(x[:, c]) for v, c in zip(self.views, self.cut)], axis=1)
@@ -213,8 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
 def score(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
     """One row per document: doc_id, content_score, layout_score, score, keep.
 
-    Scores are probabilities of good quality; ``keep`` is score >= the classifier's threshold, which rejects at most one
-    in a thousand of the good documents kept aside and none whose chance of being good is ``SURE`` or more. Null texts are empty
+    Scores are probabilities of good quality; ``keep`` is score >= the classifier's threshold, which errs least often
+    on the documents kept aside and rejects none whose chance of being good is ``SURE`` or more. Null texts are empty
     texts and null metadata a value of its own. Without enough labels every score is 1 and every document is kept.
     """
     model = fit(docs, labels, labelled, pool)

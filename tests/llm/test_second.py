@@ -177,6 +177,22 @@ def test_views_teach_each_other():
     assert ((model.scores(x[300:]) > 0.5) == (y[300:] > 0.5)).mean() > 0.97
 
 
+@pytest.mark.parametrize("flipped", [0, 2, 30])
+def test_a_few_wrong_labels_do_not_move_the_threshold(flipped):
+    rng = np.random.default_rng(13)
+    y = (np.arange(3000) % 6 > 0).astype(float)
+    x = rng.standard_normal((3000, cotraining.CONTENT + cotraining.LAYOUT)).astype(np.float32) * 0.1
+    x[:, 0] += 3 * y
+    x[:, cotraining.CONTENT] += 3 * y
+    aside = rng.random(3000) < 1 / 3
+    stated = y.copy()
+    chosen = np.flatnonzero(aside & (y == 0))[:2] if flipped == 2 else rng.permutation(3000)[:flipped]
+    stated[chosen] = 1 - y[chosen]
+    model = cotraining.CoTrained(x, stated, aside, x[:0])
+    keep = model.scores(x) >= model.threshold
+    assert keep[y > 0.5].mean() > 0.99 and keep[y < 0.5].mean() < 0.05
+
+
 def test_odd_documents_are_scored(spark):
     rows = given(spark) + [(9001, None), (9002, ""), (None, "no id"), (9003, "x " * 40000)] + [(9004, "same")] * 3
     docs = documents(spark, rows).withColumn("score", F.lit("own")).withColumn("keep", F.lit(2))
