@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import cotraining, crf_secrets, ctw, mixing, ngram_join, nn_descent, packing, projection_dedup, sharding, warc
+from sightline.llm import cotraining, crf_secrets, ctw, fill_middle, mixing, ngram_join, nn_descent, packing, periodic_runs
+from sightline.llm import projection_dedup, sharding, warc
 from sightline.llm.common import table
 
 QUERIES: dict = {}
@@ -98,3 +99,40 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_nn_descent")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return nn_descent.search(table(spark, folder, "embeddings"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.annotate(table(spark, folder, "documents"), rewrite=periodic_runs.periodic_tail))
+
+
+@query(
+    "op13_fill_in_middle",
+    r"""
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    u AS (
+      SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units,
+             CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+             CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+    c AS (SELECT *, CAST(len(units) AS BIGINT) AS n FROM u),
+    f AS (
+      SELECT doc_id, text, n,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90
+                  THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+             array_to_string(units[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS prefix,
+             array_to_string(units[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS middle,
+             array_to_string(units[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:n], '') AS suffix FROM c)
+    SELECT doc_id, n, form,
+           CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                  ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+           sha256(text) AS restored_sha256
+    FROM f
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    done = fill_middle.transform(table(spark, folder, "documents"))
+    digest = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digest)
