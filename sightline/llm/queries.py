@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import cotraining, crf_secrets, ctw, fill_middle, mixing, ngram_join, nn_descent, packing, periodic_runs
-from sightline.llm import projection_dedup, sharding, warc
+from sightline.llm import block_labeller, cotraining, crf_secrets, ctw, fill_middle, mixing, ngram_join, nn_descent, packing
+from sightline.llm import periodic_runs, projection_dedup, sharding, warc
 from sightline.llm.common import table
 
 QUERIES: dict = {}
@@ -101,6 +101,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return nn_descent.search(table(spark, folder, "embeddings"))
 
 
+@query("op11_block_labeller")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return block_labeller.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars", "n_blocks", "n_main")
+
+
 @query("op12_periodic_runs")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.annotate(table(spark, folder, "documents"), rewrite=periodic_runs.periodic_tail))
