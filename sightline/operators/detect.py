@@ -14,8 +14,9 @@ from importlib.resources import files
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.functions.binding import let
 from sightline.functions.canonical import finding_identity
-from sightline.functions.spans import clean_mark, marked, marked_first, matched_lines
+from sightline.functions.spans import MARK, clean_mark, marked, marked_first, matched_lines
 from sightline.functions.text import C_FAMILY, code_excerpt, has_comments, without_comments
 from sightline.scale import bounded_rows
 
@@ -29,6 +30,16 @@ APPLE_SYMBOL_RULES = (
     "IOS-UIWEBVIEW",
 )
 APPLE_SUFFIXES = (".swift", ".m", ".mm")
+# What a compiled package can hold as source, and the bundle names that are text by convention.
+COMPILED_KINDS = ("apk", "ipa")
+PACKAGED_SUFFIXES = (".js", ".jsx", ".jsbundle", ".bundle", ".ts", ".tsx", ".dart")
+TEXT_BUNDLE_NAMES = ("index.android.bundle", "index.ios.bundle", "main.bundle")
+# A module definition or start call of a bundler, and what must be left out before looking for one.
+BUNDLE_CALL = r"(?<![\w$.])__[dr]\s*\("
+LITERAL_OR_COMMENT = (
+    r"""\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`|//[^\n]*+|/\*[\s\S]*?\*/"""
+)
+CONTROL_BYTES = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 
 
 @dataclass(frozen=True)
@@ -92,6 +103,69 @@ def rule_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def admitted_bundle(path: Column, text: Column) -> Column:
+    """Whether a ``.bundle`` file is source: text under a conventional name, or with a bundler's module call in its code."""
+    named = F.element_at(F.split(path, "/"), -1).isin(*TEXT_BUNDLE_NAMES)
+    coded = text.rlike(BUNDLE_CALL) & F.regexp_replace(text, LITERAL_OR_COMMENT, " ").rlike(BUNDLE_CALL)
+    return ~text.rlike(CONTROL_BYTES) & (named | coded)
+
+
+def admitted(sources: DataFrame) -> DataFrame:
+    """Files that source rules may read: recognized bundles, and in a compiled package (an ``input_kind`` of apk or ipa)
+    hybrid sources only. A null kind is a source tree."""
+    kept = sources.where((F.col("suffix") != ".bundle") | admitted_bundle(F.col("path"), F.col("text")))
+    if "input_kind" in sources.columns:
+        compiled = F.coalesce(F.col("input_kind").isin(*COMPILED_KINDS), F.lit(False))
+        kept = kept.where(~compiled | F.col("suffix").isin(*PACKAGED_SUFFIXES))
+    return kept
+
+
+def excluded_spans(exclusions: DataFrame) -> DataFrame:
+    """``exclusions`` (app_id, path, rule_id, start, end; UTF-8 bytes) with the greatest end per start, one row a file.
+
+    A file's spans are pre-aggregated per start and gathered beside its text, which is one row as well.
+    """
+    spans = exclusions.groupBy("app_id", "path", "rule_id", "start").agg(F.max("end").alias("end"))
+    return spans.groupBy("app_id", "path").agg(F.collect_list(F.struct("rule_id", "start", "end")).alias("__spans"))
+
+
+def _own_spans(rule_id: str) -> Column:
+    return F.filter("__spans", lambda s: s["rule_id"] == rule_id)
+
+
+def _character(text: Column, place: Column) -> Column:
+    """Characters before a byte offset; null inside a character or beyond the text."""
+    before = F.substring(text.cast("binary"), F.lit(1), place.cast("int")).cast("string")
+    whole = (F.octet_length(F.substr(text, F.lit(1), F.length(before))) == place) & (place <= F.octet_length(text))
+    return F.when(whole, F.length(before))
+
+
+def _without_excluded(marked_text: Column, values: Column, spans: Column, cap: int | None) -> Column:
+    """``marked_text`` less the marks of matches that begin where a span does and end within it.
+
+    One fold over the pieces between marks finds the excluded matches by running length, so the cost is linear in the
+    matches for each span. With ``cap`` only the first matches keep their marks, excluded ones counted.
+    """
+    pieces = F.split(marked_text, MARK)
+    zipped = F.arrays_zip(F.slice(pieces, 1, F.size(pieces) - 1).alias("p"), F.slice(values, 1, F.greatest(F.size(pieces) - 1, F.lit(0))).alias("v"))
+    start = F.struct(F.lit(0).alias("offset"), F.lit(0).alias("index"), F.array().cast("array<int>").alias("dropped"))
+
+    def step(acc: Column, item: Column) -> Column:
+        offset = acc["offset"] + F.length(item["p"])
+        inside = F.exists(spans, lambda s: (s["start"] == offset) & (offset + F.length(item["v"]) <= s["end"]))
+        index = acc["index"] + 1
+        dropped = F.when(inside, F.concat(acc["dropped"], F.array(index))).otherwise(acc["dropped"])
+        return F.struct(offset.alias("offset"), index.alias("index"), dropped.alias("dropped"))
+
+    dropped = F.aggregate(zipped, start, step)["dropped"]
+
+    def rebuilt(out: Column) -> Column:
+        keep = lambda i: (i > 0) & ~F.array_contains(out, i) & (F.lit(True) if cap is None else i <= cap)
+        return F.array_join(F.transform(pieces, lambda p, i: F.concat(F.when(keep(i), MARK).otherwise(""), p)), "")
+
+    return let(dropped, rebuilt)
+
+
 def _applies(rule: Rule, suffix: Column, platforms: Column | None) -> Column:
     ok = suffix.isin(*rule.suffixes) if rule.suffixes else F.lit(True)
     if rule.platform and platforms is not None:
@@ -108,14 +182,17 @@ def _with_apple(sources: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Adds ``__apple``, whether the app has an Apple source, where a rule asks for it: headers beside such a source count."""
     if "platforms" not in sources.columns or not any(r.platform and r.rule_id in APPLE_SYMBOL_RULES for r in rules):
         return sources.withColumn("__apple", F.lit(False))
-    apps = sources.where(F.col("suffix").isin(*APPLE_SUFFIXES)).select(F.col("app_id").alias("__apple_app")).distinct()
+    apple = sources.where(F.col("suffix").isin(*APPLE_SUFFIXES))
+    if "input_kind" in sources.columns:  # a compiled package holds no Apple sources
+        apple = apple.where(~F.coalesce(F.col("input_kind").isin(*COMPILED_KINDS), F.lit(False)))
+    apps = apple.select(F.col("app_id").alias("__apple_app")).distinct()
     joined = sources.join(apps, F.col("app_id") == F.col("__apple_app"), "left")
     return joined.withColumn("__apple", F.col("__apple_app").isNotNull()).drop("__apple_app")
 
 
 def cleaned_corpus(sources: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Files some rule applies to, with ``cleaned`` text; only files that hold comments visit Python."""
-    sources = _with_apple(sources, rules)
+    sources = admitted(_with_apple(sources, rules))
     text, suffix = clean_mark(F.col("text")), F.col("suffix")
     platforms = F.col("platforms") if "platforms" in sources.columns else None
     wanted = F.lit(False)
@@ -130,21 +207,38 @@ def cleaned_corpus(sources: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return kept.withColumn("cleaned", F.coalesce(blanked, F.col("text")))
 
 
-def scan(sources: DataFrame, rules: Sequence[Rule], match_cap: int | None = None) -> DataFrame:
+def scan(sources: DataFrame, rules: Sequence[Rule], match_cap: int | None = None, exclusions: DataFrame | None = None) -> DataFrame:
     """One row per (file, rule, line) on which matches start.
 
-    ``sources``: app_id, path, suffix, text and optionally platforms. All matches are kept unless a
+    ``sources``: app_id, path, suffix, text and optionally platforms and input_kind. All matches are kept unless a
     ``match_cap`` per (file, rule) is asked for; ``file_matches`` always holds the full count.
+
+    ``exclusions`` (app_id, path, rule_id, start, end; UTF-8 bytes of the text) leave out the matches of that rule that
+    begin at ``start`` and end at ``end`` or before, for instance calls that another analysis has judged; they still count
+    in ``file_matches`` and against the cap, and of a rule reported once per file only the first match is looked at. A span
+    that begins inside a character excludes nothing. In files with spans for a rule ``matches`` counts within the cap.
     """
     suffix = F.col("suffix")
     platforms = F.col("platforms") if "platforms" in sources.columns else None
     corpus = cleaned_corpus(sources, rules)
+    if exclusions is not None:
+        joined = corpus.join(excluded_spans(exclusions), ["app_id", "path"], "left")
+        ascii_only = F.octet_length("text") == F.length("text")
+        place = lambda b: F.when(ascii_only, b).otherwise(_character(F.col("text"), b))
+        spans = F.transform("__spans", lambda s: F.struct(s["rule_id"].alias("rule_id"), place(s["start"]).alias("start"), place(s["end"]).alias("end")))
+        corpus = joined.withColumn("__spans", F.when(F.col("__spans").isNotNull(), spans))
     hits = []
     for rule in rules:
         here = _applies(rule, suffix, platforms) & F.col("cleaned").rlike(rule.java_pattern)
         if rule.requires:
             here = here & F.col("cleaned").rlike(rule.requires)
         mark = marked_first if rule.once_per_file else marked
+        text_marked = mark(F.col("cleaned"), rule.java_pattern)
+        if exclusions is not None:
+            own = _own_spans(rule.rule_id)
+            values = F.regexp_extract_all("cleaned", F.lit(rule.java_pattern), F.lit(0))
+            cut = _without_excluded(text_marked, values, own, match_cap)
+            text_marked = F.when(F.coalesce(F.size(own), F.lit(0)) > 0, cut).otherwise(text_marked)
         hits.append(
             F.when(
                 here,
@@ -152,7 +246,7 @@ def scan(sources: DataFrame, rules: Sequence[Rule], match_cap: int | None = None
                     F.lit(rule.rule_id).alias("rule_id"),
                     F.lit(rule.severity).alias("severity"),
                     F.lit(rule.masvs).alias("masvs"),
-                    mark(F.col("cleaned"), rule.java_pattern).alias("marked"),
+                    text_marked.alias("marked"),
                     (F.lit(1) if rule.once_per_file else F.regexp_count("cleaned", F.lit(rule.java_pattern))).alias(
                         "file_matches"
                     ),
@@ -179,10 +273,17 @@ def scan_coverage(sources: DataFrame, rules: Sequence[Rule], findings: DataFrame
     """State of every rule for every app: not-applicable, not-run, checked or partial (a capped file)."""
     has_platforms = "platforms" in sources.columns
     sources = _with_apple(sources, rules)
+    readable = admitted(sources)  # files that are no source still name their app
+    if ".bundle" in {s for r in rules for s in r.suffixes} or "input_kind" in sources.columns:
+        columns = ["app_id", "__apple", *(["platforms"] if has_platforms else [])]
+        apps = sources.select(*columns, F.lit(None).cast("string").alias("suffix"), F.lit(None).cast("int").alias("__file")).distinct()
+        sources = readable.select(*columns, "suffix", F.lit(1).alias("__file")).unionByName(apps)
+    else:
+        sources = sources.withColumn("__file", F.lit(1))
     kinds = sorted({r.platform for r in rules if r.platform})
     # The union of the platforms of an app's files of one suffix, over the platforms that some rule names.
     listed = [F.bool_or(F.coalesce(F.array_contains("platforms", k), F.lit(False))).alias(f"__on_{n}") for n, k in enumerate(kinds)] if has_platforms else []
-    by_suffix = sources.groupBy("app_id", "suffix", "__apple").agg(F.count(F.lit(1)).alias("files"), *listed)
+    by_suffix = sources.groupBy("app_id", "suffix", "__apple").agg(F.count("__file").alias("files"), *listed)
     if has_platforms:
         named = F.array_compact(F.array(*[F.when(F.col(f"__on_{n}"), F.lit(k)) for n, k in enumerate(kinds)])) if kinds else F.array().cast("array<string>")
         by_suffix = by_suffix.withColumn("platforms", named)

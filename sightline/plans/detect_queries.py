@@ -106,6 +106,78 @@ def _(t: Tables) -> DataFrame:
     return found.groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("findings"))
 
 
+# Spans that another analysis has judged: in every second document the first "the" and, for the licence rule, the whole
+# text up to character 40; the third kind begins one byte late and excludes nothing.
+_EXCLUSION_RULES = (PROSE_RULES[2], PROSE_RULES[3])
+
+
+@query(
+    "det_00_match_exclusions",
+    r"""WITH pieces AS (SELECT path, app_id, 'TXT-THE' AS rule_id, string_split(regexp_replace(text, '\bthe\b', chr(1) || 'the', 'g'), chr(1)) AS p,
+          doc_id, text, regexp_extract_all(text, '\bthe\b') AS v FROM documents_src
+        UNION ALL SELECT path, app_id, 'TXT-LICENSE', string_split(regexp_replace(text, '(?i)(licen[sc]e)', chr(1) || '\1', 'g'), chr(1)),
+          doc_id, text, regexp_extract_all(text, '(?i)licen[sc]e') FROM documents_src),
+      places AS (SELECT *, unnest(generate_series(1, len(v))) AS i FROM pieces WHERE len(v) > 0),
+      found AS (SELECT app_id, path, rule_id, doc_id, i, array_to_string(p[1:i], '') AS before FROM places),
+      kept AS (SELECT *, len(before) - len(replace(before, chr(10), '')) + 1 AS line FROM found
+        WHERE NOT (doc_id % 2 = 0 AND i = 1 AND (rule_id = 'TXT-THE' OR len(before) < 400)))
+      SELECT app_id, path, rule_id, CAST(line AS INTEGER) AS line, CAST(count(*) AS INTEGER) AS matches FROM kept GROUP BY ALL""",
+    ("documents_src",),
+)
+def _(t: Tables) -> DataFrame:
+    sources = t.documents_src.select("doc_id", "app_id", "path", "suffix", "text")
+    even = sources.where(F.col("doc_id") % 2 == 0)
+    bytes_before = lambda at: F.octet_length(F.substr(F.col("text"), F.lit(1), at - 1))
+    parts = []
+    for rule, most in zip(_EXCLUSION_RULES, (400, None)):
+        at = F.regexp_instr("text", F.lit(rule.java_pattern))
+        start = bytes_before(at)
+        length = F.octet_length(F.regexp_substr("text", F.lit(rule.java_pattern)))
+        for shift in (0, 1):  # one begins where the match does, the other a byte late
+            part = even.where((at > 0) if most is None else ((at > 0) & (at <= most)))
+            parts.append(part.select("app_id", "path", F.lit(rule.rule_id).alias("rule_id"), (start + shift).alias("start"), (start + length + shift).alias("end")))
+    exclusions = parts[0]
+    for part in parts[1:]:
+        exclusions = exclusions.unionByName(part)
+    found = detect.scan(sources, _EXCLUSION_RULES, exclusions=exclusions)
+    return found.select("app_id", "path", "rule_id", "line", "matches")
+
+
+_BUNDLE_LINES = ("__d(function(g,r){},1);", "var s = '__d('; // __r(1)", "plain words", "__r (0);")
+
+
+@query(
+    "det_00_packaged_sources",
+    r"""WITH files AS (
+        SELECT source AS app_id, doc_id, doc_id % 4 AS kind, CASE WHEN doc_id % 8 = 2 THEN 'main.bundle' ELSE 'part' || doc_id || '.bundle' END AS name,
+          text || chr(10) || ['__d(function(g,r){},1);', 'var s = ''__d(''; // __r(1)', 'plain words', '__r (0);'][doc_id % 4 + 1] || CASE WHEN doc_id % 12 = 0 THEN chr(2) ELSE '' END AS text
+        FROM documents),
+      admitted AS (SELECT * FROM files WHERE doc_id % 12 <> 0 AND (kind IN (0, 3) OR name = 'main.bundle')),
+      bundles AS (SELECT app_id, 'bundle' AS form, text FROM admitted),
+      native AS (SELECT source AS app_id, 'tree' AS form, text FROM documents WHERE doc_id % 3 = 1)
+    SELECT app_id, form, count(*) AS files, CAST(sum(len(regexp_extract_all(text, '\bthe\b'))) AS BIGINT) AS matches
+    FROM (SELECT * FROM bundles UNION ALL SELECT * FROM native) WHERE regexp_matches(text, '\bthe\b') GROUP BY ALL""",
+)
+def _(t: Tables) -> DataFrame:
+    doc = F.col("doc_id")
+    line = F.element_at(F.array(*[F.lit(x) for x in _BUNDLE_LINES]), (doc % 4 + 1).cast("int"))
+    control = F.when(doc % 12 == 0, "\x02").otherwise("")
+    name = F.when(doc % 8 == 2, "main.bundle").otherwise(joined("part", text(doc), ".bundle"))
+    bundles = t.documents.select(
+        F.col("source").alias("app_id"), joined("assets/d", text(doc), "/", name).alias("path"), F.lit(".bundle").alias("suffix"),
+        F.concat(F.col("text"), F.lit("\n"), line, control).alias("text"), F.lit("apk").alias("input_kind"),
+    )
+    # a native file is source in a tree, and none inside a package
+    kind = F.when(doc % 3 == 0, "ipa").when(doc % 3 == 1, F.lit(None)).otherwise("apk")
+    native = t.documents.select(
+        F.col("source").alias("app_id"), joined("src/doc", text(doc), ".txt").alias("path"), F.lit(".txt").alias("suffix"), "text", kind.alias("input_kind"),
+    )
+    rule = Rule("TXT-THE", r"\bthe\b", severity="info", case_sensitive=True, suffixes=(".bundle", ".txt"))
+    found = detect.scan(bundles.unionByName(native), [rule])
+    form = F.when(F.col("path").endswith(".bundle"), "bundle").otherwise("tree")
+    return found.groupBy("app_id", form.alias("form")).agg(F.countDistinct("path").alias("files"), F.sum("matches").alias("matches"))
+
+
 @query(
     "win_05_match_cap_per_file",
     f"""WITH {prose_hits_sql()},
