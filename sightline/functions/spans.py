@@ -21,8 +21,8 @@ def marked(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, MARK + "$0")
 
 
-def marked_first(text: Column, pattern: str) -> Column:
-    at = F.regexp_instr(text, F.lit(pattern))
+def marked_first(text: Column, pattern: str | Column) -> Column:
+    at = F.regexp_instr(text, F.lit(pattern) if isinstance(pattern, str) else pattern)
     return F.when(
         at > 0, F.concat(F.substr(text, F.lit(1), at - 1), F.lit(MARK), F.substr(text, at))
     ).otherwise(text)

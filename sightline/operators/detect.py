@@ -86,7 +86,10 @@ def _rule(row: dict) -> Rule:
 
 
 def rules_from(table: DataFrame) -> list[Rule]:
-    """User rules: a DataFrame with the fields of ``Rule`` (missing ones take their defaults)."""
+    """User rules as configuration: a DataFrame with the fields of ``Rule`` (missing ones take their defaults).
+
+    Larger tables are scanned through an index: :func:`sightline.operators.rule_index.scan_table`.
+    """
     return [_rule(r.asDict(recursive=True)) for r in bounded_rows(table, "rule table", 1000)]
 
 
@@ -178,9 +181,11 @@ def _applies(rule: Rule, suffix: Column, platforms: Column | None) -> Column:
     return ok
 
 
-def _with_apple(sources: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Adds ``__apple``, whether the app has an Apple source, where a rule asks for it: headers beside such a source count."""
-    if "platforms" not in sources.columns or not any(r.platform and r.rule_id in APPLE_SYMBOL_RULES for r in rules):
+def _with_apple(sources: DataFrame, rules: Sequence[Rule] | Sequence[str]) -> DataFrame:
+    """Adds ``__apple``, whether the app has an Apple source, where a rule (or rule id) asks for it: headers beside such a
+    source count."""
+    asked = any(r in APPLE_SYMBOL_RULES if isinstance(r, str) else r.platform and r.rule_id in APPLE_SYMBOL_RULES for r in rules)
+    if "platforms" not in sources.columns or not asked:
         return sources.withColumn("__apple", F.lit(False))
     apple = sources.where(F.col("suffix").isin(*APPLE_SUFFIXES))
     if "input_kind" in sources.columns:  # a compiled package holds no Apple sources
@@ -253,7 +258,11 @@ def scan(sources: DataFrame, rules: Sequence[Rule], match_cap: int | None = None
                 ),
             )
         )
-    found = corpus.select("app_id", "path", "text", F.explode(F.array_compact(F.array(*hits))).alias("hit"))
+    return finding_rows(corpus.select("app_id", "path", "text", F.explode(F.array_compact(F.array(*hits))).alias("hit")), match_cap)
+
+
+def finding_rows(found: DataFrame, match_cap: int | None) -> DataFrame:
+    """Findings of (app_id, path, text, hit) rows; ``hit`` holds the rule's fields, its marked text and its match count."""
     rows = found.select(
         "app_id", "path", "hit.rule_id", "hit.severity", "hit.masvs", "hit.file_matches",
         F.explode(matched_lines(F.col("hit.marked"), F.col("text"), match_cap)).alias("m"),

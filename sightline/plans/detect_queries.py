@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sightline.operators import code_checks, credentials, detect
 from sightline.operators.coverage import severity_summary
 from sightline.operators.detect import Rule
+from sightline.operators.rule_index import scan_table
 from sightline.plans.registry import query
 from sightline.plans.tables import Tables, joined, text
 
@@ -178,6 +179,30 @@ def _(t: Tables) -> DataFrame:
     return found.groupBy("app_id", form.alias("form")).agg(F.countDistinct("path").alias("files"), F.sum("matches").alias("matches"))
 
 
+@query(
+    "udf_01_large_rule_table",
+    r"""WITH found AS (SELECT * FROM (SELECT path, suffix, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents_src)
+        WHERE regexp_full_match(word, '[a-z]{8}')),
+      rules AS (SELECT word, CASE WHEN word < 'm' THEN ['.en', '.de'] END AS suffixes FROM (SELECT DISTINCT word FROM found)),
+      hits AS (SELECT path, f.word, count(*) AS matches FROM found f JOIN rules r ON r.word = f.word
+        WHERE r.suffixes IS NULL OR list_contains(r.suffixes, f.suffix) GROUP BY ALL)
+    SELECT 'W-' || word AS rule_id, 'low' AS severity, count(*) AS files, CAST(sum(matches) AS BIGINT) AS matches FROM hits GROUP BY ALL
+    UNION ALL SELECT 'W-digits', 'info', count(*), CAST(sum(len(regexp_extract_all(text, '[0-9]+'))) AS BIGINT) FROM documents_src WHERE regexp_matches(text, '[0-9]')""",
+    ("documents_src",),
+)
+def _(t: Tables) -> DataFrame:
+    sources = t.documents_src.select("app_id", "path", "suffix", "text")
+    words = sources.select(F.explode(F.regexp_extract_all("text", F.lit("(?<![A-Za-z])[a-z]{8}(?![A-Za-z])"), F.lit(0))).alias("word")).distinct()
+    suffixes = F.when(F.col("word") < "m", F.array(F.lit(".en"), F.lit(".de")))
+    rules = words.select(
+        joined("W-", F.col("word")).alias("rule_id"), joined("(?<![A-Za-z])", F.col("word"), "(?![A-Za-z])").alias("pattern"), F.lit("low").alias("severity"),
+        F.lit(True).alias("case_sensitive"), suffixes.alias("suffixes"),
+    )
+    digits = t.local([("W-digits", "[0-9]+", "info", True, None)], "rule_id string, pattern string, severity string, case_sensitive boolean, suffixes array<string>")
+    found = scan_table(sources, rules.unionByName(digits))
+    return found.groupBy("rule_id", "severity").agg(F.countDistinct("path").alias("files"), F.sum("matches").alias("matches"))
+
+
 @query(
     "win_05_match_cap_per_file",
     f"""WITH {prose_hits_sql()},
