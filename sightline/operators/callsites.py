@@ -7,12 +7,14 @@ literal, nested-intent, archive-entry ...). ``guards``: app_id, node, kind.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.operators.graph import MAX_CALL_DEPTH, flow_paths
+from sightline.operators.graph import MAX_CALL_DEPTH, flow_walk
 from sightline.scale import bounded_rows
 
 # Sink methods, launchers, cipher and digest names, flag bits.
@@ -108,27 +110,65 @@ def family(rule_id: str) -> FlowFamily:
     return next(f for f in FAMILIES if f.rule_id == rule_id)
 
 
+FAMILIES_A_WALK = 60  # bits of a mask
+
+
+def _kind_masks(table: DataFrame, kinds: dict[str, int]) -> DataFrame:
+    """``table`` (kind) with the mask of the families that name its kind; rows of no family are left out."""
+    mask = F.lit(0).cast("bigint")
+    for kind, value in kinds.items():
+        mask = F.when(F.col("kind") == kind, F.lit(value).cast("bigint")).otherwise(mask)
+    return table.withColumn("mask", mask).where("mask <> 0")
+
+
+def all_flow_findings(
+    rules: Sequence[FlowFamily], call_sites: DataFrame, edges: DataFrame, facts: DataFrame, guards: DataFrame | None = None,
+    depth: int = MAX_CALL_DEPTH,
+) -> tuple[DataFrame, DataFrame]:
+    """(findings, cuts) of many families in one walk: app_id, rule_id, severity, origin, sink, steps, path of a shortest
+    path for each finding, and app_id, rule_id, origin, node where the depth ended a traversal.
+
+    Families of one rule (as user specifications may give) count as one finding a place. Beyond 60 families a further
+    walk is made.
+    """
+    parts = []
+    for first in range(0, len(rules), FAMILIES_A_WALK):
+        chosen = rules[first : first + FAMILIES_A_WALK]
+        bits = {r: 1 << k for k, r in enumerate(chosen)}
+        kinds = {k: sum(b for r, b in bits.items() if k in r.kinds) for k in sorted({k for r in chosen for k in r.kinds})}
+        stopping = {k: sum(b for r, b in bits.items() if k in r.guards) for k in sorted({k for r in chosen for k in r.guards})}
+        aim = F.lit(0).cast("bigint")
+        for rule, bit in bits.items():
+            at = F.col("method").isin(*rule.methods)
+            at = at & F.col("cls").isin(*rule.classes) if rule.classes else at
+            aim = aim.bitwiseOR(F.when(F.coalesce(at, F.lit(False)), F.lit(bit).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        sinks = call_sites.select("app_id", "node", aim.alias("mask")).where("mask <> 0")
+        starts = _kind_masks(facts, kinds).select("app_id", "node", F.col("node").alias("origin"), "mask")
+        stops = _kind_masks(guards, stopping).select("app_id", "node", "mask") if guards is not None and stopping else None
+        names = F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity")) for r in chosen])
+        walked = [w.withColumn("__rule", F.get(names, F.col("family"))) for w in flow_walk(edges, starts, sinks, ["app_id"], depth, stops)]
+        parts.append([w.select("app_id", "__rule.*", *[c for c in w.columns if c not in ("app_id", "family", "__rule")]) for w in walked])
+    found, cuts = (reduce(DataFrame.unionByName, side) for side in zip(*parts))
+    if len({r.rule_id for r in rules}) < len(rules):
+        place = ["app_id", "rule_id", "severity", "origin", "sink"]
+        found = found.groupBy(*place).agg(F.min(F.struct("steps", "path")).alias("r")).select(*place, "r.*")
+    return found, cuts.drop("severity").distinct()
+
+
 def flow_findings(
     rule: FlowFamily, call_sites: DataFrame, edges: DataFrame, facts: DataFrame, guards: DataFrame | None = None,
     depth: int = MAX_CALL_DEPTH,
 ) -> tuple[DataFrame, DataFrame]:
     """(findings, cuts) of one family; each finding keeps its shortest path, cuts are traversals ended by the depth."""
-    at = F.col("method").isin(*rule.methods)
-    if rule.classes:
-        at = at & F.col("cls").isin(*rule.classes)
-    sinks = call_sites.where(at).select("app_id", "node", F.lit(rule.rule_id).alias("rule_id"))
-    starts = facts.where(F.col("kind").isin(*rule.kinds)).select("app_id", "node", F.col("node").alias("origin"))
-    stop = guards.where(F.col("kind").isin(*rule.guards)) if guards is not None and rule.guards else None
-    found, cuts = flow_paths(edges, starts, sinks, ["app_id"], depth, stop)
-    return found.withColumn("severity", F.lit(rule.severity)), cuts
+    return all_flow_findings([rule], call_sites, edges, facts, guards, depth)
 
 
 def weak_guard_findings(call_sites: DataFrame, edges: DataFrame, facts: DataFrame, guards: DataFrame) -> DataFrame:
-    """Loads that input reaches only past a partial host test: open to weak guards, closed to none."""
+    """Loads that input reaches only past a partial host test: open to weak guards, closed to none; one walk for both."""
     base = family("AST-WEBVIEW-UNTRUSTED-URL")
     sound = FlowFamily("AST-WEBVIEW-HOST-ALLOWLIST", "high", base.kinds, base.methods, ("url-guard",))
-    past_weak, _ = flow_findings(sound, call_sites, edges, facts, guards)
-    unguarded, _ = flow_findings(base, call_sites, edges, facts, guards)
+    found, _ = all_flow_findings([sound, base], call_sites, edges, facts, guards)
+    past_weak, unguarded = (found.where(F.col("rule_id") == r.rule_id) for r in (sound, base))
     pair = ["app_id", "origin", "sink"]
     return past_weak.join(unguarded.select(*pair), pair, "left_anti")
 

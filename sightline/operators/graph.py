@@ -7,8 +7,9 @@ reliable checkpoint folder, so the plan stays short and a lost executor costs on
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.session import cut_lineage
@@ -16,6 +17,7 @@ from sightline.session import cut_lineage
 # Consumption states that do not ship the consumed module.
 UNSHIPPED_EDGES = ("non-shipping-configuration", "platform-only")
 MAX_CALL_DEPTH = 8
+STEPS_A_CUT = 4  # steps of a walk between two cuts of the lineage
 
 
 def reachable(edges: DataFrame, roots: DataFrame, keys: Sequence[str] = (), max_rounds: int = 1000) -> DataFrame:
@@ -68,6 +70,98 @@ def shipping_roles(modules: DataFrame, edges: DataFrame, keys: Sequence[str] = (
     raise ValueError(f"module roles did not settle within {max_rounds} rounds")
 
 
+def flow_walk(
+    edges: DataFrame, starts: DataFrame, sinks: DataFrame, keys: Sequence[str] = (), depth: int = MAX_CALL_DEPTH,
+    stops: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(findings, cuts) of up to 63 flow families in one walk from all origins at once.
+
+    ``edges``: keys, src, dst; ``starts``: keys, node, origin, mask; ``sinks``: keys, node, mask; ``stops``: keys, node,
+    mask. Each bit of a mask is a family; a stop takes its bits from every flow that enters or starts at the node.
+    Findings are keys, family (bit number), origin, sink, steps and the least of the shortest paths; cuts are keys,
+    family, origin, node rows still expanding at the depth limit.
+
+    The frontier holds (node, origin, path, mask) rows; a step is one join with the edges, written once with the bits
+    that their ends let through, and one aggregate that keeps for every family the least path to a node. Some steps are
+    one job. Nodes of a path
+    are not entered again, so cycles end; a node reached anew on a longer path only costs its rows, and the shortest one
+    is taken at the end, which spares a look at all rows seen so far in every round. A hub is no key of its own: rows
+    are spread by node and origin after each join, and the join's hot nodes can be split.
+    """
+    keys = list(keys)
+    end = [*keys, "node", "origin"]
+    def bits(mask: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.lit(62)), lambda b: F.call_function("shiftright", mask, b).bitwiseAND(F.lit(1)) == 1)
+
+    def let_through(rows: DataFrame, at: str) -> DataFrame:
+        if stops is None:
+            return rows
+        stopped = stops.groupBy(*keys, F.col("node").alias(at)).agg(F.bit_or("mask").alias("__stop"))
+        rows = rows.join(stopped, [*keys, at], "left")
+        mask = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("__stop", F.lit(0).cast("bigint"))))
+        return rows.withColumn("mask", mask).drop("__stop").where("mask <> 0")
+
+    def least_paths(rows: DataFrame, families: list[int]) -> DataFrame:
+        """Of the rows for one node and origin, the least path of every family, with the bits of equal paths united."""
+        if len(families) == 1:
+            return rows.groupBy(*end).agg(F.bit_or("mask").alias("mask"), F.min("path").alias("path"))
+        one = F.lit(1).cast("bigint")
+        held = [(f, F.col("mask").bitwiseAND(F.shiftleft(one, f)) != 0) for f in families]
+        best = rows.groupBy(*end).agg(*[F.min(F.when(ok, F.col("path"))).alias(f"__{f}") for f, ok in held])
+        each = F.array(*[F.struct(F.col(f"__{f}").alias("path"), F.shiftleft(one, f).alias("mask")) for f in families])
+        each = F.filter(each, lambda e: e["path"].isNotNull())
+
+        def united(path):
+            return F.aggregate(F.filter(each, lambda e: e["path"] == path), F.lit(0).cast("bigint"), lambda m, e: m.bitwiseOR(e["mask"]))
+
+        paths = F.array_distinct(F.transform(each, lambda e: e["path"]))
+        return best.select(*end, F.explode(F.transform(paths, lambda p: F.struct(united(p).alias("mask"), p.alias("path")))).alias("r")).select(*end, "r.*")
+
+    used = starts.agg(F.bit_or("mask")).first()[0] or 0
+    families = [b for b in range(63) if used >> b & 1]
+    steps = edges.select(*keys, "src", "dst").where("src <> dst").distinct().withColumn("mask", F.lit(used).cast("bigint"))
+    steps = cut_lineage(let_through(steps, "dst").withColumnRenamed("mask", "__open"))
+    first = let_through(starts.select(*end, "mask"), "node").groupBy(*end).agg(F.bit_or("mask").alias("mask"))
+    frontier = cut_lineage(first.withColumn("path", F.array("node")).select(*end, "mask", "path"))
+    levels = [frontier]
+    out = steps.withColumnRenamed("src", "node")
+
+    def advanced(rows: DataFrame) -> DataFrame:
+        moved = rows.join(out, [*keys, "node"]).where(~F.array_contains("path", F.col("dst")))
+        moved = moved.select(
+            *keys, F.col("dst").alias("node"), "origin", F.col("mask").bitwiseAND(F.col("__open")).alias("mask"),
+            F.concat("path", F.array("dst")).alias("path"),
+        )
+        return least_paths(moved.where("mask <> 0"), families).select(*end, "mask", "path")
+
+    left = depth
+    while left > 0:
+        made, now = [], frontier
+        for _ in range(min(STEPS_A_CUT, left)):
+            now = advanced(now)
+            made.append(now)
+        left -= len(made)
+        written = cut_lineage(reduce(DataFrame.unionByName, made))  # the shuffle of a step also feeds the next one
+        levels.append(written)
+        frontier = written.where(F.size("path") == depth - left + 1)
+        if frontier.isEmpty():
+            break
+    seen = levels[0]
+    for level in levels[1:]:
+        seen = seen.unionByName(level)
+    aimed = sinks.groupBy(*keys, "node").agg(F.bit_or("mask").alias("__aim"))
+    hits = seen.join(aimed, [*keys, "node"]).withColumn("mask", F.col("mask").bitwiseAND(F.col("__aim"))).where("mask <> 0")
+    rank = F.struct((F.size("path") - 1).alias("steps"), "path")
+    findings = hits.select(*end, F.explode(bits(F.col("mask"))).alias("family"), rank.alias("r")).groupBy(*end, "family").agg(F.min("r").alias("r"))
+    findings = findings.select(*keys, "family", "origin", F.col("node").alias("sink"), "r.steps", "r.path")
+    ends = frontier.join(out, [*keys, "node"]).withColumn("mask", F.col("mask").bitwiseAND(F.col("__open"))).where("mask <> 0")
+    known = seen.groupBy(*end).agg(F.bit_or("mask").alias("__seen")).withColumnRenamed("node", "dst")
+    ends = ends.join(known, [*keys, "dst", "origin"], "left")
+    fresh = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("__seen", F.lit(0).cast("bigint"))))
+    cuts = ends.withColumn("mask", fresh).where("mask <> 0").groupBy(*end).agg(F.bit_or("mask").alias("mask"))
+    return findings, cuts.select(*keys, F.explode(bits(F.col("mask"))).alias("family"), "origin", "node")
+
+
 def flow_paths(
     edges: DataFrame, sources: DataFrame, sinks: DataFrame, keys: Sequence[str] = (), depth: int = MAX_CALL_DEPTH,
     guards: DataFrame | None = None,
@@ -78,31 +172,9 @@ def flow_paths(
     that stop a flow. Cuts are the (origin, node) rows still expanding at the depth limit.
     """
     keys = list(keys)
-    stop = guards.select(*keys, "node").distinct() if guards is not None else None
-    steps = edges.select(*keys, "src", "dst").distinct()
-    starts = sources.select(*keys, "node", "origin", F.array("node").alias("path")).dropDuplicates([*keys, "node", "origin"])
-    if stop is not None:
-        steps = steps.join(stop.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_anti")
-        starts = starts.join(stop, [*keys, "node"], "left_anti")
-    steps = cut_lineage(steps)
-    frontier = cut_lineage(starts)
-    seen = frontier
-    pair = [*keys, "node", "origin"]
-    for _ in range(depth):
-        moved = frontier.join(steps.withColumnRenamed("src", "node"), [*keys, "node"]).select(
-            *keys, F.col("dst").alias("node"), "origin", F.concat("path", F.array("dst")).alias("path")
-        )
-        # Of several paths of one length the least is kept; shorter ones were found in earlier rounds.
-        best = moved.groupBy(*pair).agg(F.min("path").alias("path"))
-        frontier = cut_lineage(best.join(seen.select(*pair), pair, "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    findings = seen.join(sinks.select(*keys, "node", "rule_id").distinct(), [*keys, "node"]).select(
-        *keys, "rule_id", "origin", F.col("node").alias("sink"), (F.size("path") - 1).alias("steps"), "path"
-    )
-    open_ends = frontier.join(steps.withColumnRenamed("src", "node"), [*keys, "node"])
-    cuts = open_ends.join(
-        seen.select(*keys, F.col("node").alias("dst"), "origin"), [*keys, "dst", "origin"], "left_anti"
-    ).select(*pair).distinct()
-    return findings, cuts
+    one = F.lit(1).cast("bigint").alias("mask")
+    stops = guards.select(*keys, "node", one) if guards is not None else None
+    found, cuts = flow_walk(edges, sources.select(*keys, "node", "origin", one), sinks.select(*keys, "node", one), keys, depth, stops)
+    named = sinks.select(*keys, F.col("node").alias("sink"), "rule_id").distinct()
+    findings = found.join(named, [*keys, "sink"]).select(*keys, "rule_id", "origin", "sink", "steps", "path")
+    return findings, cuts.select(*keys, "node", "origin")

@@ -288,6 +288,67 @@ FLOW_QUERIES = {
 for _name, _rule in FLOW_QUERIES.items():
     _flow_query(_name, _rule)
 
+# Five apps, the first with half of the nodes; rings of eight calls, halvings inside a block of 64, and a hub an app that
+# every fifth node calls and that calls into the app's first block.
+_FIRST_BLOCKS = (0, 1, 2, 8, 4)
+_APP_SQL = "CASE WHEN (node // 64) % 3 = 0 THEN 0 ELSE (node // 64) % 5 END"
+
+
+def fleet_flow_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    n, k = F.col("event_id"), F.col("k")
+    block = F.floor(n / 64)
+    app = F.when(block % 3 == 0, F.lit(0)).otherwise(block % 5).cast("int")
+    pick = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), i.cast("int"))
+    rows = t.events_k.withColumn("app_id", joined("app-", text(app))).withColumn("a", app)
+    ring = rows.select("app_id", n.alias("src"), F.when(n % 8 == 7, n - 7).otherwise(n + 1).alias("dst"))
+    halves = rows.where(n % 8 == 0).select("app_id", n.alias("src"), (block * 64 + F.floor((n - block * 64) / 2)).alias("dst"))
+    hub_in = rows.where(n % 5 == 0).select("app_id", n.alias("src"), (-1 - F.col("a")).cast("bigint").alias("dst"))
+    hub_out = rows.groupBy("app_id", "a").agg(F.count(F.lit(1))).select(
+        "app_id", (-1 - F.col("a")).cast("bigint").alias("src"), (pick(_FIRST_BLOCKS, F.col("a")) * 64).cast("bigint").alias("dst")
+    )
+    edges = ring.unionByName(halves).unionByName(hub_in).unionByName(hub_out)
+    facts = rows.where(k % 4 == 1).select("app_id", n.alias("node"), pick(KINDS, n % len(KINDS)).alias("kind"))
+    guards = rows.where(k % 6 == 0).select("app_id", n.alias("node"), pick(GUARDS, n % len(GUARDS)).alias("kind"))
+    sites = call_sites(t).drop("app_id").withColumn("__b", F.floor(F.col("node") / 64))
+    app_of = F.when(F.col("__b") % 3 == 0, F.lit(0)).otherwise(F.col("__b") % 5).cast("int")
+    return sites.withColumn("app_id", joined("app-", text(app_of))).drop("__b"), edges, facts, guards
+
+
+def _family_rows() -> str:
+    return ", ".join(
+        f"{{'rule_id': '{r.rule_id}', 'kinds': {_list(r.kinds)}, 'methods': {_list(r.methods)}, 'guards': {_list(r.guards or ('-',))}, 'classes': {_list(r.classes or ('*',))}}}"
+        for r in callsites.FAMILIES
+    )
+
+
+@query(
+    "det_42_all_flow_families",
+    f"""WITH RECURSIVE {_CALLS_SQL},
+    rules AS (SELECT unnest([{_family_rows()}], recursive := true)),
+    nodes AS (SELECT node, {_APP_SQL} AS app FROM cs),
+    edges AS (SELECT app, node AS src, CASE WHEN node % 8 = 7 THEN node - 7 ELSE node + 1 END AS dst FROM nodes
+      UNION SELECT app, node, (node // 64) * 64 + (node % 64) // 2 FROM nodes WHERE node % 8 = 0
+      UNION SELECT app, node, -1 - app FROM nodes WHERE node % 5 = 0
+      UNION SELECT DISTINCT app, -1 - app, [{', '.join(str(64 * b) for b in _FIRST_BLOCKS)}][app + 1] FROM nodes),
+    shut AS (SELECT r.rule_id, n.app, n.node FROM guards g JOIN nodes n USING (node) JOIN rules r ON list_contains(r.guards, g.kind)),
+    open_edges AS (SELECT r.rule_id, e.* FROM edges e CROSS JOIN rules r ANTI JOIN shut s ON s.rule_id = r.rule_id AND s.app = e.app AND s.node = e.dst),
+    walk AS (
+      SELECT r.rule_id, n.app, f.node AS origin, f.node AS node, 0 AS d FROM facts f JOIN nodes n USING (node) JOIN rules r ON list_contains(r.kinds, f.kind)
+        ANTI JOIN shut s ON s.rule_id = r.rule_id AND s.app = n.app AND s.node = f.node
+      UNION
+      SELECT w.rule_id, w.app, w.origin, e.dst, w.d + 1 FROM walk w JOIN open_edges e ON e.rule_id = w.rule_id AND e.app = w.app AND e.src = w.node WHERE w.d < 8)
+    SELECT w.rule_id, 'app-' || w.app AS app_id, w.origin, w.node AS sink, CAST(min(w.d) AS INTEGER) AS steps
+    FROM walk w JOIN rules r USING (rule_id) JOIN cs ON cs.node = w.node AND list_contains(r.methods, cs.method)
+      AND (list_contains(r.classes, '*') OR list_contains(r.classes, cs.cls))
+    GROUP BY ALL""",
+    ("events_k",),
+)
+def _(t: Tables) -> DataFrame:
+    sites, edges, facts, guards = fleet_flow_tables(t)
+    found, _ = callsites.all_flow_findings(callsites.FAMILIES, sites, edges, facts, guards)
+    return found.select("rule_id", "app_id", "origin", "sink", "steps")
+
+
 _LOAD = callsites.family("AST-WEBVIEW-UNTRUSTED-URL")
 
 
