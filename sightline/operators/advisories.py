@@ -13,6 +13,7 @@ from sightline.functions.canonical import dependency_identity
 from sightline.functions.packages import is_cve
 from sightline.functions.versions import numeric_version, patch_date, version_key
 from sightline.operators.filters import vendor_scope
+from sightline.operators.ranges import counts_below
 from sightline.scale import latest, salted_join, top_k, with_previous
 
 # Chipset vendors by words in the reported manufacturer, in order.
@@ -168,6 +169,54 @@ def patch_states(classes: DataFrame, advisories: DataFrame) -> DataFrame:
     )
 
 
+def patch_state_counts(classes: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Devices in each patch-level state of every advisory: id, state, devices.
+
+    The states of :func:`patch_states` summed by advisory without meeting every device: devices below a fixed level are
+    counted by running sums over their patch days, per platform and release, so the rows are linear in device states and
+    advisories. Advisories with several rows count each; states without devices are left out.
+    """
+    level = F.array(
+        F.struct(F.lit(False).alias("own"), patch_date(F.col("security_patch")).alias("day")),
+        F.struct(F.lit(True).alias("own"), F.least(patch_date(F.col("security_patch")), patch_date(F.col("vendor_security_patch"))).alias("day")),
+    )
+    release = F.coalesce(F.split_part(F.col("version"), F.lit("."), F.lit(1)), F.lit(""))
+    real = ~F.coalesce(F.col("simulator"), F.lit(False))
+    held = classes.select("platform", real.alias("real"), release.alias("release"), "devices", F.explode(level).alias("l")).select("platform", "real", "release", "devices", "l.*")
+    # per platform and kind of level: simulators, real devices, and those without a day
+    whole = held.groupBy("platform", "own").agg(
+        F.sum(F.when(~F.col("real"), F.col("devices")).otherwise(0)).alias("simulated"), F.sum(F.when(F.col("real"), F.col("devices")).otherwise(0)).alias("n"),
+        F.sum(F.when(F.col("real") & F.col("day").isNull(), F.col("devices")).otherwise(0)).alias("undated"),
+    )
+    dated = held.where("real AND day IS NOT NULL")
+    points = dated.withColumn("release", F.explode(F.array(F.lit("*"), F.nullif("release", F.lit(""))))).where("release IS NOT NULL")
+    own = F.coalesce(F.nullif("vendor_scope", F.lit("")), vendor_scope(F.col("component"))) != "platform"
+    listed = F.array_distinct(F.regexp_extract_all(F.coalesce("updated_versions", F.lit("")), F.lit(r"\b\d+\b"), F.lit(0)))
+    fixed = F.when((F.col("platform") == "android") & (F.coalesce("fixed_patch_level", F.lit("")) != ""), patch_date(F.col("fixed_patch_level")))
+    rows = advisories.select("id", "platform", own.alias("own"), fixed.alias("day"), F.concat(F.array(F.lit("*")), listed).alias("releases"))
+    rows = rows.groupBy("id", "platform", "own", "day", "releases").agg(F.count(F.lit(1)).alias("times"))
+    keys = ["platform", "own", "release"]
+    bounds = rows.select("platform", "own", "day", F.explode("releases").alias("release"), F.lit(False).alias("inclusive")).distinct()
+    below = counts_below(points, bounds, keys, "day", ["devices"]).withColumnRenamed("devices", "below").drop("inclusive")
+    met = rows.withColumn("release", F.explode("releases")).join(below, [*keys, "day"], "left")
+    each = met.groupBy("id", "platform", "own", "day", "releases", "times").agg(
+        F.sum(F.when(F.col("release") == "*", F.col("below"))).alias("older"), F.sum(F.when(F.col("release") != "*", F.col("below"))).alias("affected"),
+    )
+    each = each.join(whole, ["platform", "own"])  # a few rows
+    older, affected = F.coalesce("older", F.lit(0)), F.coalesce("affected", F.lit(0))
+    known = F.col("day").isNotNull()
+    number = {
+        "simulator-only": F.col("simulated"),
+        "device-info-required": F.when(known, F.col("undated")).otherwise(F.col("n")),
+        "vendor-patch-level-satisfied": F.when(known, F.col("n") - F.col("undated") - older).otherwise(0),
+        "potentially-affected": F.when(known, affected).otherwise(0),
+        "applicability-unknown": F.when(known, older - affected).otherwise(0),
+    }
+    states = F.array(*[F.struct(F.lit(s).alias("state"), (n * F.col("times")).alias("devices")) for s, n in number.items()])
+    out = each.select("id", F.explode(states).alias("s")).select("id", "s.*").where("devices > 0")
+    return out.groupBy("id", "state").agg(F.sum("devices").alias("devices"))
+
+
 def os_version_state(decisions: Column) -> Column:
     """State of an OS advisory from its product decisions (null = unknown)."""
     return (

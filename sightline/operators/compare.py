@@ -11,6 +11,7 @@ from sightline.functions import ranks
 from sightline.functions.paths import base_name, path_agrees
 from sightline.operators.coverage import aggregate_state, rule_states, state_mask
 from sightline.operators.identity import match_identities
+from sightline.operators.ranges import nearby_counts
 from sightline.scale import with_next_value
 
 PAIR = ("before_id", "after_id")
@@ -275,6 +276,25 @@ def corroboration(external: DataFrame, native: DataFrame, line_window: int = 3)
     )
 
 
+def corroboration_counts(external: DataFrame, native: DataFrame, line_window: int = 3) -> DataFrame:
+    """For every finding of either side how many of the other share its weakness and place: side, report_id, id,
+    weakness_id, path, line, partners.
+
+    The pairs of :func:`corroboration` counted without forming them: findings near a line come from running sums over the
+    lines of a file, and findings without a line meet one total a file.
+    """
+    keys = ["report_id", "weakness_id"]
+    parts = []
+    for side, mine, other in (("external", external, native), ("native", native, external)):
+        queries = mine.select(F.struct("report_id", "id", "weakness_id").alias("query"), *keys, "path", "line").distinct()
+        points = other.select(*keys, "id", "path", "line").distinct().withColumn("tag", F.lit("any"))
+        counts = nearby_counts(queries, points, keys, ["any"], line_window)
+        one = lambda c: F.get(c, F.lit(0))
+        partners = one("bare") + F.when(F.col("line").isNotNull(), one("near")).otherwise(one("lined"))
+        parts.append(counts.where("path IS NOT NULL").select(F.lit(side).alias("side"), "query.*", "path", "line", partners.alias("partners")))
+    return parts[0].unionByName(parts[1])
+
+
 def group_imported(results: DataFrame, keys: Sequence[str] = ("id",), keep: int = 20) -> DataFrame:
     """Imported results with one identity as one finding: strongest representative, unions and exact counts.
 
@@ -356,7 +376,8 @@ def verify_claims(
     """Verdict per claim (claim_id, report_id, path, line, weakness_id, rule_id; unused parts null).
 
     A claim names checks through its rule or weakness; findings of those checks in the named file and line window
-    corroborate it. ``files_table``: analyzed files (report_id, path, state).
+    corroborate it. They are counted by running sums over lines (:mod:`sightline.operators.ranges`), so the work is linear
+    in claims and findings however many share a rule. ``files_table``: analyzed files (report_id, path, state).
     """
     by_rule = claims.where("rule_id IS NOT NULL").select("claim_id", "report_id", "rule_id")
     by_weakness = claims.where("rule_id IS NULL").select("claim_id", "report_id", "weakness_id").join(bridge, "weakness_id").select(
@@ -364,18 +385,25 @@ def verify_claims(
     )
     checks = by_rule.unionByName(by_weakness)
     known = checks.groupBy("claim_id").agg(F.count(F.lit(1)).alias("checks"))
-    facts = claims.select("claim_id", F.col("path").alias("claim_path"), F.col("line").alias("claim_line"))
-    hits = (
-        checks.join(findings.where("origin <> 'external'").select("report_id", "rule_id", "path", "line", "status"), ["report_id", "rule_id"])
-        .join(facts, "claim_id")
-    )
-    in_file = F.col("claim_path").isNull() | path_agrees(F.col("path"), F.col("claim_path"))
-    in_window = F.col("claim_path").isNull() | F.col("claim_line").isNull() | (F.abs(F.col("line") - F.col("claim_line")) <= window)
-    folded = hits.groupBy("claim_id").agg(
-        F.sum((in_file & in_window).cast("bigint")).alias("matches"),
-        F.sum((in_file & ~in_window).cast("bigint")).alias("elsewhere"),
-        F.max(F.when(in_file & in_window, ranks.status_rank(F.col("status")))).alias("strongest"),
-    )
+    places = claims.select(F.col("claim_id").alias("query"), "path", "line")
+    asked = checks.withColumnRenamed("claim_id", "query").join(places, "query")
+    # several checks of a claim may name one rule; each counts, as one query of its own
+    asked = asked.groupBy("query", "report_id", "rule_id", "path", "line").agg(F.count(F.lit(1)).alias("times"))
+    asked = asked.withColumn("query", F.struct("query", "rule_id", "times"))
+    seen = findings.where("origin <> 'external'").select(
+        "report_id", "rule_id", "path", "line", F.coalesce(F.when(F.col("status").isin(*ranks.STATUSES), F.col("status")), F.lit("")).alias("tag")
+    )
+    tags = ["", *ranks.STATUSES]  # in the order of their ranks
+    counts = nearby_counts(asked.drop("times"), seen, ["report_id", "rule_id"], tags, window)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda x, y: x + y) * F.col("query.times")
+    lined = F.col("path").isNotNull() & F.col("line").isNotNull()
+    matching = F.when(lined, F.col("near")).otherwise(F.zip_with("lined", "bare", lambda x, y: x + y))
+    strongest = F.array_max(F.filter(F.transform(matching, lambda x, k: F.when(x > 0, k - 1)), lambda x: x.isNotNull()))
+    folded = counts.groupBy(F.col("query.query").alias("claim_id")).agg(
+        F.sum(total(matching)).alias("matches"),
+        F.sum(F.when(lined, total(F.col("lined")) - total(F.col("near"))).otherwise(0)).alias("elsewhere"),
+        F.max(strongest).alias("strongest"),
+    ).where("matches > 0 OR elsewhere > 0")
     states = checks.join(rule_states(coverage), ["report_id", "rule_id"]).groupBy("claim_id").agg(
         state_mask(F.col("state")).alias("mask")
     )

@@ -20,13 +20,16 @@ MAX_CALL_DEPTH = 8
 STEPS_A_CUT = 4  # steps of a walk between two cuts of the lineage
 
 
-def reachable(edges: DataFrame, roots: DataFrame, keys: Sequence[str] = (), max_rounds: int = 1000) -> DataFrame:
-    """(keys, root, module): everything each root reaches over ``edges`` (keys, src, dst), the root included."""
+def reachable(edges: DataFrame, roots: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, root, module): everything each root reaches over ``edges`` (keys, src, dst), the root included.
+
+    Rounds go on until one finds nothing new, which cycles do not delay.
+    """
     keys = list(keys)
     steps = cut_lineage(edges.select(*keys, "src", "dst").distinct())
     frontier = cut_lineage(roots.select(*keys, F.col("module").alias("root"), "module").distinct())
     seen = frontier  # grows by one written part per round; earlier parts are not written again
-    for _ in range(max_rounds):
+    while True:
         found = frontier.join(steps.withColumnRenamed("src", "module"), [*keys, "module"]).select(
             *keys, "root", F.col("dst").alias("module")
         ).distinct()
@@ -34,10 +37,9 @@ def reachable(edges: DataFrame, roots: DataFrame, keys: Sequence[str] = (), max_
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
-    raise ValueError(f"reachability did not settle within {max_rounds} rounds")
 
 
-def shipping_roles(modules: DataFrame, edges: DataFrame, keys: Sequence[str] = (), max_rounds: int = 1000) -> DataFrame:
+def shipping_roles(modules: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Modules with ``role``: library modules nobody live ships become non-shipping, to a fixed point.
 
     ``modules``: keys, module, role (null, application, build-tooling, non-shipping-module), library. ``edges``: keys,
@@ -53,7 +55,7 @@ def shipping_roles(modules: DataFrame, edges: DataFrame, keys: Sequence[str] = (
     )
     dead = cut_lineage(nodes.where(F.col("role").isin("build-tooling", "non-shipping-module")).select(*keys, "module"))
     shipping = links.where(~F.col("state").isin(*UNSHIPPED_EDGES))
-    for _ in range(max_rounds):
+    while True:  # every round but the last retires a module
         live_use = shipping.join(dead.withColumnRenamed("module", "consumer"), [*keys, "consumer"], "left_anti")
         fresh = (
             candidates.join(dead, [*keys, "module"], "left_anti")
@@ -67,7 +69,6 @@ def shipping_roles(modules: DataFrame, edges: DataFrame, keys: Sequence[str] = (
                 F.when(F.col("role").isNull() & F.coalesce("__dead", F.lit(False)), "non-shipping-module").otherwise(F.col("role")).alias("role"),
             )
         dead = cut_lineage(dead.unionByName(fresh))
-    raise ValueError(f"module roles did not settle within {max_rounds} rounds")
 
 
 def flow_walk(

@@ -149,8 +149,7 @@ _PATCH_SQL = """b AS (SELECT 'CVE-2024-' || (p_partkey + 30000) AS id, CASE WHEN
     ("devices",),
 )
 def _(t: Tables) -> DataFrame:
-    states = adv.patch_states(adv.posture_classes(t.devices), bulletins(t))
-    return states.groupBy("id", "state").agg(F.sum("devices").alias("devices"))
+    return adv.patch_state_counts(adv.posture_classes(t.devices), bulletins(t))
 
 
 @query(

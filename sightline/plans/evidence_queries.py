@@ -592,6 +592,21 @@ def _(t: Tables) -> DataFrame:
     return compare.corroboration(*imported_and_native(t), line_window=20)
 
 
+@query(
+    "jon_14_corroboration_counts",
+    """WITH f AS (SELECT report_id, id, k % 5 AS w, origin, path, CASE WHEN k % 10 <> 0 THEN line END AS line FROM findings),
+       p AS (SELECT x.report_id, x.id AS external_id, n.id AS native_id FROM f x JOIN f n ON x.report_id = n.report_id AND x.w = n.w AND x.path = n.path
+         WHERE x.origin = 'external' AND n.origin = 'builtin' AND (x.line IS NULL OR n.line IS NULL OR abs(x.line - n.line) <= 20)),
+       c AS (SELECT 'external' AS side, report_id, external_id AS id, count(*) AS partners FROM p GROUP BY ALL
+         UNION ALL SELECT 'native', report_id, native_id, count(*) FROM p GROUP BY ALL)
+       SELECT CASE WHEN origin = 'external' THEN 'external' ELSE 'native' END AS side, f.report_id, f.id, coalesce(c.partners, 0) AS partners
+       FROM f LEFT JOIN c ON c.report_id = f.report_id AND c.id = f.id AND c.side = CASE WHEN origin = 'external' THEN 'external' ELSE 'native' END""",
+    ("findings",),
+)
+def _(t: Tables) -> DataFrame:
+    return compare.corroboration_counts(*imported_and_native(t), line_window=20).select("side", "report_id", "id", "partners")
+
+
 @query(
     "jon_29_merge_engines",
     f"""WITH p AS (SELECT report_id, id, rule_id, severity, {RANK_SQL} AS r FROM findings WHERE origin = 'builtin'),
