@@ -374,8 +374,8 @@ def latest_members(members: DataFrame, keys: Sequence[str] = ("source", "osv_id"
 def group_members(members: DataFrame, keys: Sequence[str] = ("source", "id")) -> DataFrame:
     """One advisory per display id: the strongest active member, withdrawn only when all members are.
 
-    ``members``: keys, osv_id, severity, withdrawn (text or null), aliases. Alias unions are bounded by members of one
-    display id and listed as sorted sets.
+    ``members``: keys, osv_id, severity, withdrawn (text or null), aliases. Of the alias union the row holds the size and
+    the least member; :func:`member_unions` gives all of it, with references and affected ranges.
     """
     active = F.col("withdrawn").isNull()
     rank = F.struct(active.alias("a"), ranks.severity_rank(F.coalesce("severity", F.lit("medium"))).alias("r"), F.col("osv_id"))
@@ -394,6 +394,36 @@ def group_members(members: DataFrame, keys: Sequence[str] = ("source", "id")) ->
     )
 
 
+def member_unions(members: DataFrame, keys: Sequence[str] = ("source", "id")) -> DataFrame:
+    """What the members of a display id name together, one row a value: keys, kind (alias, reference or affected), value,
+    members, first_member, active.
+
+    ``members``: keys, osv_id, withdrawn, and arrays of text aliases, references and affected (ranges as canonical text;
+    a null array is empty). ``members`` counts those that name the value, ``first_member`` is the least of them, active
+    members before withdrawn ones, and ``active`` tells whether one of them is. Of several members only active ones give
+    affected ranges; a member alone keeps its own. Values stay rows, so no list grows with a group.
+    """
+    keys = list(keys)
+    kinds = {"alias": "aliases", "reference": "references", "affected": "affected"}
+    lists = [
+        F.transform(F.coalesce(c, F.array().cast("array<string>")), _named(kind)) for kind, c in kinds.items() if c in members.columns
+    ]
+    alive = F.col("withdrawn").isNull()
+    named = members.select(*keys, "osv_id", alive.alias("alive"), F.explode(F.concat(*lists)).alias("n")).select(*keys, "osv_id", "alive", "n.*")
+    named = named.where("value IS NOT NULL")
+    sizes = members.groupBy(*keys).agg((F.countDistinct("osv_id") > 1).alias("several"))
+    ranges = (F.col("kind") == "affected") & F.col("several") & ~F.col("alive")
+    rows = named.join(sizes, keys).where(~ranges)
+    rank = F.struct((~F.col("alive")).alias("gone"), "osv_id")
+    return rows.groupBy(*keys, "kind", "value").agg(
+        F.countDistinct("osv_id").alias("members"), F.min(rank)["osv_id"].alias("first_member"), F.bool_or("alive").alias("active")
+    )
+
+
+def _named(kind: str):
+    return lambda value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+
+
 def correlation_window(records: DataFrame, deps: DataFrame, limit: int) -> DataFrame:
     """Records relevant to the dependencies: the newest ``limit`` and, whatever their age, every exact package feed."""
     wanted = deps.select(F.concat_ws(":", F.lit("osv"), "ecosystem", "name", "version").alias("source")).distinct()

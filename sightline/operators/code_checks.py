@@ -120,12 +120,16 @@ def insecure_random(sources: DataFrame) -> DataFrame:
         F.col("suffix").isin(*ANDROID_SUFFIXES, *APPLE_SUFFIXES) & F.col("text").rlike("rand|Random")
     )
     cleaned = with_cleaned(kept).withColumn("text", clean_mark(F.col("text")))
-    # The statement tail is read ahead, so a later assignment in the same statement is seen as well.
-    pattern = ASSIGNMENT + r"(?=([^\n;]{0,160}))"
-    found = F.arrays_zip(
-        matches_with_offsets(F.col("text"), pattern, 1).alias("m"),
-        F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("tail"),
-    )
+
+    # The statement is read ahead to its first generator, however far, so a later assignment in it is seen as well.
+    def assigned(generator: str) -> Column:
+        pattern = ASSIGNMENT + rf"(?=([^\n;]*?(?:{generator})))"
+        return F.arrays_zip(
+            matches_with_offsets(F.col("text"), pattern, 1).alias("m"),
+            F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("tail"),
+        )
+
+    found = F.when(apple, assigned(WEAK_RANDOM_APPLE)).otherwise(assigned(WEAK_RANDOM))
     rows = cleaned.select("app_id", "path", apple.alias("apple"), F.explode(found).alias("a"))
     words = identifier_words(F.col("variable"))
     generator = F.when(F.col("apple"), F.regexp_extract("tail", WEAK_RANDOM_APPLE, 0)).otherwise(

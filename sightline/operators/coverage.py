@@ -19,8 +19,6 @@ PARTIAL, LIMITED, CHECKED, NOT_RUN, NOT_APPLICABLE = 1, 2, 4, 8, 16
 # Identifiers whose findings are correlated intelligence, and the rule they share.
 ADVISORY_PREFIXES = ("CVE-", "GHSA-", "OSV-")
 ADVISORY_RULE = "DEPENDENCY-CVE"
-# Fixed value: a coverage entry reported under another rule's name.
-ROW_FINDINGS = 50
 
 
 def weaknesses(spark: SparkSession) -> DataFrame:
@@ -134,11 +132,11 @@ def finding_weaknesses(findings: DataFrame, bridge: DataFrame) -> DataFrame:
 
 def coverage_matrix(
     reports: DataFrame, coverage: DataFrame, findings: DataFrame, taxonomy: DataFrame, bridge: DataFrame,
-    samples: int = ROW_FINDINGS,
+    samples: int,
 ) -> DataFrame:
     """Per report and weakness: related checks, state, finding count and the first finding ids.
 
-    ``reports``: report_id and optionally ``platforms``. Only the listed sample is capped; counts are exact.
+    ``reports``: report_id and optionally ``platforms``. ``samples`` says how many ids are listed; counts are exact.
     """
     checks = bridge.groupBy("weakness_id").agg(F.count(F.lit(1)).alias("checks"))
     entries = taxonomy.join(checks, taxonomy["id"] == checks["weakness_id"], "left").select(

@@ -303,7 +303,7 @@ INDICATOR_GROUPS = (
 )
 
 
-def indicator_report(values: DataFrame, subjects: DataFrame, keys: Sequence[str], samples: int = 5) -> DataFrame:
+def indicator_report(values: DataFrame, subjects: DataFrame, keys: Sequence[str], samples: int) -> DataFrame:
     """One row per subject and group: status, exact count and the first samples.
 
     Samples come from a rank filter, so no group is collected as a whole. A group without hits passes, except

@@ -252,7 +252,7 @@ def config_cleartext(matches: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def unverified_links(links: DataFrame, samples: int = 20) -> DataFrame:
+def unverified_links(links: DataFrame, samples: int) -> DataFrame:
     """Web links without verification per (app, origin, component): exact host count and the first hosts."""
     open_ = links.where(
         F.col("scheme").isin("http", "https") & ~blank(F.col("host")) & F.col("browsable") & (F.coalesce("auto_verify", F.lit("")) != "true")
@@ -494,7 +494,7 @@ def device_setting_checks(devices: DataFrame) -> DataFrame:
     return _check_rows(devices, [*pairs, ("install-unknown", unknown), ("backup", backup)])
 
 
-def installed_apps(apps: DataFrame, names: int = 20) -> DataFrame:
+def installed_apps(apps: DataFrame, names: int) -> DataFrame:
     """Fleet audit of installed apps per device: exact counts, worst tier, and the first names of each group.
 
     ``apps``: device_id, name, target_sdk, debuggable, installer, installer_present, readable.

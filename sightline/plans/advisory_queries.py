@@ -317,6 +317,22 @@ def _(t: Tables) -> DataFrame:
     return out.select("source", "id", "osv_id", "members", F.coalesce("withdrawn", F.lit("")).alias("withdrawn"), "alias_count", "first_alias")
 
 
+@query(
+    "agg_15_member_unions",
+    f"""WITH {_MEMBERS_SQL}, several AS (SELECT source, id, count(DISTINCT osv_id) > 1 AS many FROM mem GROUP BY ALL),
+       v AS (SELECT source, id, osv_id, withdrawn, 'alias' AS kind, unnest([al1, al2]) AS value FROM mem
+         UNION ALL SELECT source, id, osv_id, withdrawn, 'reference', 'https://x.example/' || modified FROM mem
+         UNION ALL SELECT m.source, m.id, osv_id, withdrawn, 'affected', '{{"fixed":"' || coalesce(severity, 'none') || '"}}' FROM mem m JOIN several s ON s.source = m.source AND s.id = m.id
+           WHERE NOT (many AND withdrawn IS NOT NULL))
+       SELECT source, id, kind, value, count(DISTINCT osv_id) AS members, coalesce(min(osv_id) FILTER (WHERE withdrawn IS NULL), min(osv_id)) AS first_member,
+         bool_or(withdrawn IS NULL) AS active FROM v GROUP BY ALL""",
+)
+def _(t: Tables) -> DataFrame:
+    rows = members(t).withColumn("references", F.array(joined("https://x.example/", F.col("modified"))))
+    affected = F.array(joined('{"fixed":"', F.coalesce("severity", F.lit("none")), '"}'))
+    return adv.member_unions(rows.withColumn("affected", affected))
+
+
 _V3 = "'CVSS:3.1/AV:' || ['N','A','L','P'][1 + p_partkey % 4] || '/AC:' || ['L','H'][1 + p_size % 2] || '/PR:' || ['N','L','H'][1 + p_partkey % 3] || '/UI:' || ['N','R'][1 + p_partkey % 2] || '/S:' || ['U','C'][1 + (p_size // 2) % 2] || '/C:' || ['H','L','N'][1 + p_size % 3] || '/I:' || ['H','L','N'][1 + (p_size // 3) % 3] || '/A:' || ['H','L','N'][1 + (p_size // 9) % 3]"
 
 

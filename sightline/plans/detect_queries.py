@@ -474,7 +474,7 @@ _token_query("det_40_tracker_tokens", ("trackers",))
 def _(t: Tables) -> DataFrame:
     strings = indicator_strings(t)
     values = credentials.indicator_values(strings, ["app_id"])
-    return credentials.indicator_report(values, strings, ["app_id"])
+    return credentials.indicator_report(values, strings, ["app_id"], samples=5)
 
 
 @query(

@@ -810,7 +810,7 @@ _MATRIX_SQL = f"""{_BRIDGE_SQL}, {_TAXONOMY_SQL},
 
 @query("agg_07_coverage_matrix", f"WITH {_MATRIX_SQL} SELECT * FROM matrix", ("findings", "coverage", "reports"))
 def _(t: Tables) -> DataFrame:
-    return coverage.coverage_matrix(platform_reports(t), t.coverage, t.findings, taxonomy(t), bridge(t)).drop("findings")
+    return coverage.coverage_matrix(platform_reports(t), t.coverage, t.findings, taxonomy(t), bridge(t), samples=50).drop("findings")
 
 
 @query(
@@ -819,7 +819,7 @@ def _(t: Tables) -> DataFrame:
     ("findings", "coverage", "reports"),
 )
 def _(t: Tables) -> DataFrame:
-    matrix = coverage.coverage_matrix(platform_reports(t), t.coverage, t.findings, taxonomy(t), bridge(t))
+    matrix = coverage.coverage_matrix(platform_reports(t), t.coverage, t.findings, taxonomy(t), bridge(t), samples=50)
     return matrix.groupBy("report_id", "state").agg(F.count(F.lit(1)).alias("weaknesses"))
 
 
@@ -861,7 +861,7 @@ def _(t: Tables) -> DataFrame:
          ("I-5", [], ["RULE-SIGNUP", "RULE-NEVER"])],
         "item_id string, weaknesses array<string>, rules array<string>",
     )
-    matrix = coverage.coverage_matrix(platform_reports(t), t.coverage, t.findings, taxonomy(t), bridge(t))
+    matrix = coverage.coverage_matrix(platform_reports(t), t.coverage, t.findings, taxonomy(t), bridge(t), samples=50)
     return coverage.checklist_view(matrix, t.coverage, t.findings, items, bridge(t))
 
 
@@ -873,7 +873,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     items = coverage.builtin_checklist(taxonomy(t))
-    matrix = coverage.coverage_matrix(t.reports.select("report_id"), t.coverage, t.findings, taxonomy(t), bridge(t))
+    matrix = coverage.coverage_matrix(t.reports.select("report_id"), t.coverage, t.findings, taxonomy(t), bridge(t), samples=50)
     out = coverage.checklist_view(matrix, t.coverage, t.findings, items, bridge(t))
     return out.where("item_id = 'C-1' AND finding_count > 0").select("report_id", "item_id", "finding_count")
 

@@ -113,7 +113,7 @@ def _(t: Tables) -> DataFrame:
     ("findings", "coverage", "reports"),
 )
 def _(t: Tables) -> DataFrame:
-    matrix = coverage.coverage_matrix(platform_reports(t), t.coverage, t.findings, taxonomy(t), bridge(t))
+    matrix = coverage.coverage_matrix(platform_reports(t), t.coverage, t.findings, taxonomy(t), bridge(t), samples=50)
     return documents.matrix_lines(matrix).where("section = 1").select("document", "position", "line")
 
 
@@ -125,7 +125,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     items = coverage.builtin_checklist(taxonomy(t))
-    matrix = coverage.coverage_matrix(t.reports.select("report_id"), t.coverage, t.findings, taxonomy(t), bridge(t))
+    matrix = coverage.coverage_matrix(t.reports.select("report_id"), t.coverage, t.findings, taxonomy(t), bridge(t), samples=50)
     view = coverage.checklist_view(matrix, t.coverage, t.findings, items, bridge(t))
     rows = documents.checklist_lines(view.where("status = 'findings'"))
     return rows.where("section = 1 AND position = 'C-1'").select("document", "position", "line")

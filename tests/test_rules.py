@@ -81,3 +81,12 @@ def test_rule_table_equals_literal_scan(spark):
     assert scan_table(table, as_table.limit(0)).count() == 0 and scan_table(table.limit(0), as_table).count() == 0
     bare = as_table.where("rule_id IN ('OPEN', 'MANY')").select("rule_id", "pattern")
     assert {r.severity for r in scan_table(table, bare).collect()} == {"medium"}
+
+
+def test_generator_far_behind_its_assignment(spark):
+    from sightline.operators import code_checks
+
+    far = "val sessionToken = " + "a + " * 200 + "Random().nextInt(); val other = 1"
+    rows = [("a", "x.kt", far, None), ("a", "y.kt", "val sessionToken = 1; val b = Random().nextInt()", None), ("a", "z.swift", "let apiToken = f(rand(), 1)\nlet x = Random()", None)]
+    got = {r.path: (r.variable, r.generator) for r in code_checks.insecure_random(sources(spark, rows)).collect()}
+    assert got == {"x.kt": ("sessionToken", "Random"), "z.swift": ("apiToken", "rand")}
