@@ -199,8 +199,22 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
 
 
 def deduplicated(docs: DataFrame, **options: float) -> DataFrame:
-    """``docs`` with one document of each class; of several rows of one doc_id one stays. Columns are those of ``docs``."""
-    gone = join(docs, **options).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    keyed = docs.withColumn("kept_id", F.col("doc_id").cast("long"))
-    stay = keyed.where("kept_id is not null").join(gone, F.col("kept_id") == F.col("gone_id"), "left_anti").dropDuplicates(["kept_id"])
-    return stay.unionByName(keyed.where("kept_id is null")).select(*docs.columns)
+    """``docs`` with one document of each class. Columns are those of ``docs``, whatever their names.
+
+    A document is a doc_id with its text. Different texts under one doc_id are judged each on its own, so a copy of one
+    elsewhere does not take the other along; of rows alike in both the one with the least hash of all columns stays. Rows
+    without doc_id all stay.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.md5(text).alias("content"), F.struct(*docs.columns).alias("row"))
+    known = rows.where("id is not null")
+    several = known.groupBy("id").agg(F.min("content").alias("first"), F.max("content").alias("last")).where("first != last").select(F.col("id").alias("shared_id"), "first")
+    rows = known.join(several, F.col("id") == F.col("shared_id"), "left")
+    # a further text under one id gets a number of its own, above all ids, so it never stands for others
+    own = F.lit(1 << 62).bitwiseOR(F.shiftrightunsigned(F.xxhash64("id", "content"), 2))
+    rows = rows.select(F.when(F.col("first").isNull() | (F.col("content") == F.col("first")), F.col("id")).otherwise(own).alias("node"), "row")
+    rows = saved(rows, "texts")
+    gone = join(rows.select(F.col("node").alias("doc_id"), F.col("row.text").alias("text")), **options).where("not kept")
+    stay = rows.join(gone.select(F.col("doc_id").alias("node")).distinct(), "node", "left_anti")
+    stay = stay.groupBy("node").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return stay.select("row.*").unionByName(docs.where(F.col("doc_id").cast("long").isNull()))

@@ -61,15 +61,23 @@ def _header(kind: str, page_id: int | None, url: str | None, digest: str, size:
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
-def _archive(records: list[bytes], dictionary_bytes: int, level: int) -> bytes:
-    raw = b""
-    # A dictionary pays from about ten times its size on; the records of the whole archive are its samples.
-    if sum(map(len, records)) > 10 * dictionary_bytes and len(records) > 16:
+def _dictionary(records: list[bytes], size: int) -> bytes:
+    """A dictionary of at most ``size`` bytes, and at most a tenth of the records' (256 at least), from an archive's own
+    records: trained where they are enough samples, else the beginnings of the records, whose heads and markup are alike."""
+    total = sum(map(len, records))
+    size = min(size, max(total // 10, 256))
+    if len(records) > 16:
         try:
-            raw = zstandard.train_dictionary(dictionary_bytes, records, k=256, d=8, steps=1, threads=0, accel=4).as_bytes()
-        except (zstandard.ZstdError, TypeError):
-            raw = b""
-    dictionary = zstandard.ZstdCompressionDict(raw) if raw else None
+            return zstandard.train_dictionary(size, records, k=256, d=8, steps=1, threads=0, accel=4).as_bytes()
+        except zstandard.ZstdError:  # too little text for these records
+            pass
+    share = max(64, size // len(records))
+    return b"".join(r[:share] for r in records)[-size:]
+
+
+def _archive(records: list[bytes], dictionary_bytes: int, level: int) -> bytes:
+    raw = _dictionary(records, dictionary_bytes)
+    dictionary = zstandard.ZstdCompressionDict(raw)
     compressor = zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_content_size=True)
     out = io.BytesIO()
     out.write(struct.pack("<II", DICTIONARY_FRAME, len(raw)) + raw)

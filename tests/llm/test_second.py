@@ -425,6 +425,20 @@ def test_join_equals_brute_force(spark, chunk):
     assert ngram_join.join(documents(spark, [])).count() == 0
 
 
+def test_deduplication_keeps_other_texts_and_any_columns(spark):
+    a, b, c = (" ".join(f"{w}{k}" for k in range(30)) for w in "abc")
+    rows = [(5, a, 1), (3, a, 2), (5, b, 3), (7, c, 4), (7, c, 4), (7, c, 5), (8, b, 6), (9, None, 7), (9, "", 8), (None, a, 9), (None, a, 9)]
+    names = "doc_id long, text string, gone_id int, kept_id int, node int, row int, id string, content string, first int, shared_id int"
+    docs = spark.createDataFrame([(i, t, n, n, n, n, "x", "y", n, n) for i, t, n in rows], names)
+    got = ngram_join.deduplicated(docs)
+    assert got.columns == docs.columns
+    stay = [(r.doc_id, r.text, r.gone_id) for r in got.collect()]
+    assert Counter(r[:2] for r in stay if r[0] not in (7, 9)) == Counter([(3, a), (8, b) if (8, b) in {r[:2] for r in stay} else (5, b), (None, a), (None, a)])
+    assert [r[:2] for r in stay if r[0] == 7] == [(7, c)] and len([r for r in stay if r[0] == 9]) == 1
+    assert sorted(map(repr, stay)) == sorted(repr((r.doc_id, r.text, r.gone_id)) for r in ngram_join.deduplicated(docs.orderBy(F.rand(1))).collect())
+    assert ngram_join.deduplicated(docs.limit(0)).count() == 0
+
+
 def test_pairs_at_the_threshold_itself_are_linked(spark):
     rows, expected = [], {}
     for k, (shared, union) in enumerate([(12, 15), (24, 30), (28, 35), (4004, 5005), (23, 30), (4003, 5005)]):
