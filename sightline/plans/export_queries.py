@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from sightline.plans.graph_queries import _PURL_SQL
 from sightline.plans.registry import query
 from sightline.plans.runtime_queries import _LINT_SQL, lint_rows
 from sightline.plans.tables import Tables
+from sightline.session import checkpoint_root
 from sightline.sinks import documents, store
 
 _FIRST = "CASE WHEN row_number() OVER (PARTITION BY report_id ORDER BY {o}) = 1 THEN '' ELSE ',' END"
@@ -56,6 +59,29 @@ def _(t: Tables) -> DataFrame:
     return documents.line_counts(sarif_rows(t))
 
 
+def written_and_read(rows: DataFrame) -> DataFrame:
+    """Whole documents written as part files to the shared folder and read back from there."""
+    spark = rows.sparkSession
+    path = f"{checkpoint_root(spark)}/documents-{uuid.uuid4().hex}"
+    documents.write_documents(rows, path)
+    return documents.read_documents(spark, path)
+
+
+_RULE_ID = "rule_id || CASE WHEN status = 'candidate' THEN '/candidate' ELSE '' END"
+_LEVEL = "CASE WHEN severity IN ('critical', 'high') THEN CASE WHEN status = 'candidate' THEN 'warning' ELSE 'error' END WHEN severity = 'medium' THEN 'warning' ELSE 'note' END"
+
+
+@query(
+    "snk_01_sarif_parsed",
+    f"""SELECT report_id AS document, 'result' AS kind, {_RULE_ID} || '|' || {_LEVEL} || '|Use of *' || event_type || '* <x> [' || status || '].|repo/' || path || '|' || line || '|' || status || '|' || severity || '|' || id AS key FROM findings
+       UNION ALL SELECT report_id, 'rule', r || '|' || ['note', 'warning', 'error'][1 + max(l)] FROM (SELECT report_id, {_RULE_ID} AS r, CASE {_LEVEL} WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END AS l FROM findings) GROUP BY report_id, r
+       UNION ALL SELECT report_id, 'notification', rule_id || '|' || rule_id || ': ' || state FROM coverage WHERE state IN ('partial', 'limited', 'not-run')""",
+    ("findings", "coverage"),
+)
+def _(t: Tables) -> DataFrame:
+    return documents.parse_sarif(written_and_read(sarif_rows(t)))
+
+
 @query(
     "snk_02_lint_sarif",
     f"""WITH {_LINT_SQL}, s AS (SELECT *, lpad(CAST(event_id AS VARCHAR), 20, '0') AS pos FROM ln WHERE status IN ('fail', 'error', 'warn', 'info'))
@@ -107,6 +133,32 @@ def _(t: Tables) -> DataFrame:
     return bom_document(t).where("section = 5").select("document", "position", "line")
 
 
+@query(
+    "snk_04_bom_parsed",
+    f"""WITH {_CORR_SQL}, c AS (SELECT app_id, ecosystem, name, version, {_PURL_SQL} AS ref, max(CASE confidence WHEN 'exact' THEN 2 WHEN 'declared' THEN 1 ELSE 0 END) AS conf FROM deps GROUP BY app_id, ecosystem, name, version),
+        v AS (SELECT app_id, rule_id, max(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS r, count(DISTINCT {_PURL_SQL}) AS refs FROM m GROUP BY app_id, rule_id)
+       SELECT app_id AS document, 'component' AS kind, ref || '|' || name || '|' || version || '|' || ['unknown', 'declared', 'exact'][1 + conf] AS key FROM c
+       UNION ALL SELECT app_id, 'dependency', ref FROM c
+       UNION ALL SELECT app_id, 'vulnerability', rule_id || '|' || ['info', 'low', 'medium', 'high', 'critical'][1 + r] || '|' || refs FROM v""",
+    ("deps", "advisories"),
+)
+def _(t: Tables) -> DataFrame:
+    return documents.parse_bom(written_and_read(bom_document(t)))
+
+
+@query(
+    "snk_05_matrix_document",
+    f"""WITH {_MATRIX_SQL}, l AS (SELECT report_id AS document, 1 AS section, weakness_id AS position, '| ' || weakness_id || ' | ' || state || ' | ' || checks_with_coverage || '/' || checks || ' | ' || finding_count || ' |' AS line FROM matrix
+         UNION ALL SELECT report_id, 0, unnest(['0', '1']), unnest(['| Weakness | State | Checks | Findings |', '| --- | --- | --- | --- |']) FROM (SELECT DISTINCT report_id FROM matrix))
+       SELECT document, row_number() OVER w AS ordinal, CAST(sum(strlen(line) + 1) OVER w - strlen(line) - 1 AS BIGINT) AS "offset", line FROM l
+       WINDOW w AS (PARTITION BY document ORDER BY section, position ROWS UNBOUNDED PRECEDING)""",
+    ("findings", "coverage", "reports"),
+)
+def _(t: Tables) -> DataFrame:
+    matrix = coverage.coverage_matrix(platform_reports(t), t.coverage, t.findings, taxonomy(t), bridge(t), samples=50)
+    return documents.placed(documents.matrix_lines(matrix)).select("document", "ordinal", "offset", "line")
+
+
 @query(
     "snk_05_coverage_matrix_table",
     f"""WITH {_MATRIX_SQL} SELECT report_id AS document, weakness_id AS position, '| ' || weakness_id || ' | ' || state || ' | ' || checks_with_coverage || '/' || checks || ' | ' || finding_count || ' |' AS line FROM matrix""",

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions import ranks
 from sightline.functions.paths import relative_path, uri_path
 from sightline.functions.text import markdown_code, markdown_text
+from sightline.scale import running_total
 
 LINE_COLUMNS = ("document", "section", "position", "line")
 # Fixed value: the published schema of the export format.
@@ -48,6 +49,56 @@ def write_documents(rows: DataFrame, path: str, mode: str = "errorifexists") ->
     ranged.select("document", F.col("line").alias("value")).write.mode(mode).partitionBy("document").text(path)
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Lines with their place in the whole document: ordinal (from 1), offset (bytes before the line) and bytes (with its
+    line end), by running sums over ordered slices, so no document is ordered in one task."""
+    size = (F.octet_length("line") + 1).cast("bigint")
+    order = ["section", "position", "line"]
+    out = running_total(rows, ["document"], order, {"ordinal": F.lit(1).cast("bigint"), "upto": size})
+    return out.select(*LINE_COLUMNS, "ordinal", (F.col("upto") - size).alias("offset"), size.alias("bytes"))
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(document, line) of every part file below ``path``, read in parallel; the counterpart of :func:`write_documents`."""
+    return spark.read.schema("value string, document string").text(path).select("document", F.col("value").alias("line"))
+
+
+def _parsed(written: DataFrame, kinds: dict[str, tuple[str, str, list[str]]], plain: str | None = None) -> DataFrame:
+    """document, kind, key of the items that lines hold: ``kinds`` maps a kind to the text its objects begin with, their
+    schema and the columns of their key. Lines that are a JSON text alone are of kind ``plain``. Frame lines hold no item."""
+    body = F.regexp_replace("line", "^,", "")
+    parts = []
+    for kind, (begin, schema, columns) in kinds.items():
+        rows = written.where(body.startswith(begin)).select("document", F.from_json(body, schema).alias("o"))
+        key = F.concat_ws("|", *[F.coalesce(F.expr(c).cast("string"), F.lit("")) for c in columns])
+        parts.append(rows.select("document", F.lit(kind).alias("kind"), key.alias("key")))
+    if plain:
+        texts = written.where(body.startswith('"')).select("document", F.from_json(F.concat(F.lit('{"v":'), body, F.lit("}")), "v string").alias("o"))
+        parts.append(texts.select("document", F.lit(plain).alias("kind"), F.col("o.v").alias("key")))
+    return union(*parts)
+
+
+def parse_sarif(written: DataFrame) -> DataFrame:
+    """Items of SARIF documents from their lines: rules, results and notifications."""
+    place = "locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>"
+    return _parsed(written, {
+        "rule": ('{"id":', "id string, defaultConfiguration struct<level:string>", ["o.id", "o.defaultConfiguration.level"]),
+        "result": (
+            '{"ruleId":', f"struct<ruleId:string,level:string,message:struct<text:string>,{place},properties:struct<status:string,severity:string,findingId:string>>",
+            ["o.ruleId", "o.level", "o.message.text", "o.locations[0].physicalLocation.artifactLocation.uri", "o.locations[0].physicalLocation.region.startLine", "o.properties.status", "o.properties.severity", "o.properties.findingId"],
+        ),
+        "notification": ('{"level":', "level string, message struct<text:string>, associatedRule struct<id:string>", ["o.associatedRule.id", "o.message.text"]),
+    })
+
+
+def parse_bom(written: DataFrame) -> DataFrame:
+    """Items of CycloneDX documents from their lines: components, dependencies and vulnerabilities."""
+    return _parsed(written, {
+        "component": ('{"type":', "struct<`bom-ref`:string,name:string,version:string,purl:string,properties:array<struct<name:string,value:string>>>", ["o.`bom-ref`", "o.name", "o.version", "o.properties[1].value"]),
+        "vulnerability": ('{"bom-ref":', "id string, ratings array<struct<severity:string>>, affects array<struct<ref:string>>", ["o.id", "o.ratings[0].severity", "size(o.affects)"]),
+    }, plain="dependency")
+
+
 def sarif_lines(findings: DataFrame, descriptors: DataFrame, notifications: DataFrame, reports: DataFrame, root: str = "", tool: str = "sightline") -> DataFrame:
     """SARIF 2.1.0 per report: rule descriptors, results and coverage notifications.
 
