@@ -297,7 +297,7 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     read. Nothing is shuffled; a task works on about 8 MB of pages (or one larger page) at once.
     """
     model = model or sampled_model(pages)
-    shared = pages.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights, about 0.6 MB
+    shared = pages.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights, about 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
