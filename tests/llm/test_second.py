@@ -299,6 +299,30 @@ def test_search_finds_the_largest_products(spark):
     assert nn_descent.search(table.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("spread", ["one", "three", "every"])
+def test_search_with_norms_far_apart(spark, spread):
+    rng = np.random.default_rng(41)
+    base = rng.standard_normal((2000, 16))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    if spread == "one":
+        base[7] *= 1e5
+    elif spread == "three":
+        base[7], base[8] = base[7] * 1e12, base[8] * 1e6
+    else:
+        base *= 10 ** rng.uniform(-3, 3, (2000, 1))
+    table = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(base)], "vec_id long, embedding array<double>, label int")
+    got = defaultdict(set)
+    for r in nn_descent.search(table).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 2000, 20):
+        s = base @ base[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    assert len(got) == 100 and all(len(v) == 20 for v in got.values())
+    assert hits / 2000 > 0.95
+
+
 # --- secrets ----------------------------------------------------------------------------------------------------
 
 
