@@ -6,8 +6,10 @@ component, all pairs are then counted exactly, block by block.
 
 The first passes follow from the number of vectors, the window and a target recall at the threshold, as if directions
 were spread evenly. How crowded a vector's surroundings are is then measured in every pass, by the signs it shares with
-the rows at its window's ends. Vectors that this leaves below the target recall go on to further passes, as many as there
-were before, until none is left or a round ties no two components that were apart.
+the rows at its window's ends; its distances from the planes of those signs give the chance that a vector at the threshold,
+in any direction from it, shares them too. Vectors that this leaves below the target recall go on to further passes, as many as there
+were before, until none is left or ``QUIET`` rounds on end, each with as many passes as all before it, tie no two
+components that were apart.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ from pyspark.sql.window import Window as W
 from sightline.llm.common import block_pairs, components, grouped_in_arrow, local_roots, saved
 from sightline.scale import SLICE, sliced
 
-THRESHOLD, WINDOW, RECALL = 0.9, 32, 0.98
+THRESHOLD, WINDOW, RECALL = 0.9, 512, 0.999
+QUIET = 2
 BITS = 62
 PASSES_AT_ONCE = 16
-SLICE_ROWS = 4096
+SLICE_ROWS, BLOCK_ROWS = 4096, 512
 CHUNK = 2048
 
 
@@ -64,6 +67,10 @@ def _agreement(threshold: float) -> float:
     return 1 - math.acos(threshold) / math.pi
 
 
+def _planes(dim: int, turn: int) -> np.ndarray:
+    return np.random.default_rng([29, dim, turn]).standard_normal((dim, BITS))
+
+
 def _keys(vectors: DataFrame, start: int, passes: int) -> DataFrame:
     """pass, key, node of ``vectors`` (node, dim, embedding) in the passes from ``start`` on."""
 
@@ -78,7 +85,7 @@ def _keys(vectors: DataFrame, start: int, passes: int) -> DataFrame:
                 for first in range(start, start + passes, PASSES_AT_ONCE):
                     turns = np.arange(first, min(first + PASSES_AT_ONCE, start + passes), dtype=np.int32)
                     if (dim, first) not in planes:
-                        planes[dim, first] = np.hstack([np.random.default_rng([29, dim, t]).standard_normal((dim, BITS)) for t in turns.tolist()])
+                        planes[dim, first] = np.hstack([_planes(dim, t) for t in turns.tolist()])
                     signs = vectors @ planes[dim, first] > 0
                     keys = (signs.reshape(len(rows), len(turns), BITS) @ weights).reshape(-1)
                     node = np.repeat(rows.column(0).to_numpy(), len(turns))
@@ -95,13 +102,22 @@ def _shared_signs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return BITS - np.frexp((a ^ b).astype(np.float64))[1]
 
 
+def _chances(vectors: np.ndarray, planes: np.ndarray, needed: np.ndarray, threshold: float) -> np.ndarray:
+    """For each vector the chance that another at the threshold from it, in a random direction, has the same first
+    ``needed`` signs: given its own projection z on a plane, the other's is normal about threshold * z."""
+    z = np.abs(vectors @ planes) * (threshold / math.sqrt(max(1e-12, 1 - threshold * threshold)))
+    z = np.minimum(z, 8.0)
+    same = -np.log1p(np.exp(-1.5976 * z - 0.07056 * z**3))  # logarithm of the normal distribution function
+    sums = np.hstack([np.zeros((len(vectors), 1)), np.cumsum(same, axis=1)])
+    return np.exp(sums[np.arange(len(vectors)), needed])
+
+
 def _windows(threshold: float, window: int):
     """Judges one slice of the order: links each vector to the least one it reaches inside the slice (a, b), and gives
     for the slice's own rows of each vector (a, dim) the logarithm of the chance that they all miss a pair at the threshold.
 
     A row compares with all rows that share more signs with it than the rows ``window`` places before and after do.
     """
-    agree = _agreement(threshold)
 
     def judge(group: pa.Table) -> pa.RecordBatch | None:
         order = np.lexsort([group.column(c).to_numpy() for c in ("node", "key", "pass", "dim")])
@@ -114,19 +130,26 @@ def _windows(threshold: float, window: int):
         needed[at] = signs
         needed[at + window] = np.maximum(needed[at + window], signs)
         a, b = [], []
+        chance = np.ones(len(node))
         for dim in np.unique(dims).tolist():
             here = np.flatnonzero(dims == dim)
             vectors = unit(matrix(group.column("embedding").take(pa.array(order[here]))))
-            for step in range(1, min(window, len(here) - 1) + 1):
-                near = ((vectors[:-step] * vectors[step:]).sum(axis=1) >= threshold) & (turn[here[:-step]] == turn[here[step:]])
-                found = np.flatnonzero(near)
-                a.append(here[found])
-                b.append(here[found + step])
+            for t in np.unique(turn[here]).tolist():
+                mine = np.flatnonzero(turn[here] == t)
+                chance[here[mine]] = _chances(vectors[mine], _planes(dim, t), needed[here[mine]], threshold)
+            for first in range(0, len(here), BLOCK_ROWS):
+                last = min(first + BLOCK_ROWS, len(here))
+                row, place = np.nonzero(vectors[first:last] @ vectors[first : last + window].T >= threshold)
+                row, place = here[first + row], here[first + place]
+                # the window holds the rows of one pass up to ``window`` places further on
+                near = (place > row) & (place - row <= window) & (turn[row] == turn[place])
+                a.append(row[near])
+                b.append(place[near])
         a, b = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (a, b))
         distinct, number = np.unique(node, return_inverse=True)
         root = distinct[local_roots(len(distinct), number[a], number[b])]
         some = root != distinct
-        missed = np.log1p(-np.minimum(agree ** needed[own], 0.999))
+        missed = np.log1p(-np.minimum(chance[own], 1 - 1e-9))
         pairs, place = np.unique(np.stack([node[own], dims[own].astype(np.int64)]), axis=1, return_inverse=True)
         missed = np.bincount(place.reshape(-1), weights=missed, minlength=pairs.shape[1])
         ties, rows = int(some.sum()), pairs.shape[1]
@@ -159,7 +182,7 @@ def _candidates(classes: DataFrame, threshold: float, window: int, recall: float
     """node, root: the connected sets of the links that the passes over ``classes`` (node, dim, embedding) find."""
     todo, left, start = classes.select("node", "dim", "embedding"), classes.count(), 0
     passes = choose_passes(left, threshold, window, recall)
-    found, missed = None, None
+    found, missed, quiet = None, None, 0
     while True:
         out = _round(todo, left, start, passes, threshold, window)
         ties = out.where("b is not null").select("a", "b")
@@ -174,7 +197,8 @@ def _candidates(classes: DataFrame, threshold: float, window: int, recall: float
         missed = saved(chances.groupBy("node", "dim").agg(F.sum("missed").alias("missed")).where(F.col("missed") > math.log(1 - recall)), "missed")
         left = missed.count()
         start, passes = start + passes, start + passes
-        if left < 2 or before == after:
+        quiet = quiet + 1 if before == after else 0
+        if left < 2 or quiet == QUIET:
             return found
         todo = saved(classes.select("node", "dim", "embedding").join(missed.select("node", "dim"), ["node", "dim"], "left_semi"), "todo")
 
