@@ -2,12 +2,13 @@
 
 The patterns give the base spans. The field tags the tokens of a text as the beginning of a secret, its inside or
 outside, from their shape, the words beside them and features of the file, and is decoded by Viterbi; it is trained on
-the base spans of a bounded sample of documents and adds spans that the patterns miss. Whole texts are scanned.
+the base spans of a bounded sample of excerpts and adds spans that the patterns miss. Whole texts are scanned.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -31,6 +32,7 @@ LIKELY = {
 }
 
 SAMPLE_DOCUMENTS = 400
+EXCERPT, EXCERPTS = 8192, 2  # characters of a part, parts of a text
 SAMPLE_CHUNKS, CHUNK_TOKENS = 1500, 48
 ROUNDS = 60
 MARGIN = 1.0
@@ -257,13 +259,28 @@ class Field:
         return spans
 
 
+def _excerpts(text: str) -> list[str]:
+    """At most ``EXCERPTS`` parts of ``EXCERPT`` characters of a text of any length: first parts around base spans, then
+    others, each drawn by a hash; a text no longer than one part is that part."""
+    if len(text) <= EXCERPT:
+        return [text]
+    digest = lambda place: hashlib.sha256(f"{len(text)}:{place}".encode()).digest()
+    around = sorted({max(0, min(s[0] - EXCERPT // 2, len(text) - EXCERPT)) for s in base_spans(text)}, key=digest)
+    others = sorted(range(0, len(text), EXCERPT), key=digest)
+    kept: list[int] = []
+    for place in itertools.chain(around, others):
+        if len(kept) < EXCERPTS and all(abs(place - k) >= EXCERPT for k in kept):
+            kept.append(place)
+    return [text[k : k + EXCERPT] for k in kept]
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Field | None:
-    """The field, trained on ``sample`` documents likely to hold base spans and as many others, drawn by a hash of their id.
+    """The field, trained on excerpts of ``sample`` documents likely to hold base spans and of as many others, drawn by a
+    hash of their id; of many texts under one id, some are drawn by a hash of the text.
 
     None if no document has a base span: then there is nothing to learn from.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.where(F.length("text") < 100_000)  # a sample of bounded size; scanning takes texts of any length
     lowered, likely = F.lower("text"), F.lit(False)
     for words, pattern in LIKELY.items():
         some = F.lit(False)
@@ -276,7 +293,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Field | None:
         part = drawn(known.where(F.col("likely") == kind), "doc_id", "crf", sample).select(F.col("doc_id").alias("chosen_id"))
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = F.broadcast(chosen.distinct())  # twice the sample at most
-    texts = sorted(r.text for r in rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id"))).limit(3 * sample).select("text").collect())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [part for text in batch.column(0).to_pylist() for part in _excerpts(text)]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string())], names=["text"])
+
+    excerpts = saved(rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id"))).select("text").mapInArrow(cut, "text string").distinct(), "excerpts")
+    texts = sorted(r.text for r in drawn(excerpts, "text", "crf", 2 * EXCERPTS * sample).select("text").collect())
     tokens = Tokens(texts)
     tags = np.zeros(len(tokens.starts), dtype=np.int64)
     for k, text in enumerate(texts):
