@@ -205,8 +205,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
             packed = [r.tobytes() for part in parts for r in part]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), batch.column(6), pa.array(packed, pa.binary())], names=["doc_id", "quality", "aside", "row"])
 
-    found = rows.select("doc_id", "text", "lang", "source", "n_chars", "quality", "aside").mapInArrow(run, "doc_id long, quality int, aside boolean, row binary").toArrow()
-    found = found.sort_by([("doc_id", "ascending"), ("row", "ascending")])
+    found = rows.select("doc_id", "text", "lang", "source", "n_chars", "quality", "aside").mapInArrow(run, "doc_id long, quality int, aside boolean, row binary")
+    # of several rows under one id the one with the least features teaches, so no more rows meet than ids were drawn
+    found = found.groupBy("doc_id").agg(F.min(F.struct("row", "quality", "aside")).alias("least")).select("doc_id", "least.*").toArrow()
+    found = found.sort_by([("doc_id", "ascending")])
     if not found.num_rows:
         return None
     x = np.frombuffer(b"".join(found.column("row").to_pylist()), dtype=np.float16).reshape(found.num_rows, -1).astype(np.float32)
