@@ -251,19 +251,25 @@ def test_links_equal_brute_force(spark, chunk):
     assert projection_dedup.near_duplicates(table.where("false")).count() == 0
 
 
-def test_pairs_inside_a_hot_topic_are_found(spark):
+@pytest.mark.parametrize("alike", [0.7, 0.8, 0.85])
+def test_pairs_inside_a_hot_topic_are_found(spark, alike):
     rng = np.random.default_rng(5)
     units = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
     middle = units(rng.standard_normal(64))
     away = lambda n: units((x := rng.standard_normal((n, 64))) - np.outer(x @ middle, middle))
-    topic = math.sqrt(0.75) * middle + 0.5 * away(3000)  # a third of the rows, mutual cosine 0.75
-    side = rng.standard_normal((100, 64))
-    side = units(side - (side * topic[:100]).sum(axis=1, keepdims=True) * topic[:100])
-    pairs = 0.91 * topic[:100] + math.sqrt(1 - 0.91**2) * side
-    rows = [(k, v.tolist(), 0) for k, v in enumerate(np.vstack([topic, units(rng.standard_normal((6000, 64)))]))]
-    rows += [(10_000 + k, v.tolist(), 0) for k, v in enumerate(pairs)]
-    got = {r.vec_id: r.n_links for r in projection_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
-    assert sum(got[10_000 + k] > 0 for k in range(100)) >= 95
+    topic = math.sqrt(alike) * middle + math.sqrt(1 - alike) * away(3000)  # a third of the rows, by mutual cosine
+    side = rng.standard_normal((400, 64))
+    side = units(side - (side * topic[:400]).sum(axis=1, keepdims=True) * topic[:400])
+    pairs = 0.91 * topic[:400] + math.sqrt(1 - 0.91**2) * side
+    table = np.vstack([topic, units(rng.standard_normal((6000, 64))), pairs])
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(table)]
+    got = {r.vec_id: r.n_links for r in projection_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    cosines = units(table) @ units(table).T
+    np.fill_diagonal(cosines, 0.0)
+    links = (cosines >= 0.9).sum(axis=1)
+    found = np.array([got[k] for k in range(len(table))])
+    assert (found <= links).all() and links.sum() >= 800
+    assert found.sum() >= 0.98 * links.sum()
 
 
 # --- neighbour graph --------------------------------------------------------------------------------------------
@@ -299,6 +305,27 @@ def test_search_finds_the_largest_products(spark):
     assert nn_descent.search(table.where("false")).count() == 0
 
 
+def test_field_learns_from_long_texts(spark):
+    rng = np.random.default_rng(3)
+    key = lambda n: "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyz23456789ABCDEFGHJKLMNPQRSTUVWXYZ"), n))
+    filler = lambda n: "plain words in a sentence of the year 1984 follow here. " * n
+    rows = [(k, filler(2000) + "".join(f'\nthe token = "{key(30)}" here\n' + filler(20) for _ in range(20)) + filler(500)) for k in range(2)]
+    assert min(len(t) for _, t in rows) > 100_000
+    field = crf_secrets.fit(documents(spark, rows))
+    assert field is not None
+    assert crf_secrets.fit(documents(spark, rows * 3)).emit.shape == field.emit.shape
+    parts = crf_secrets._excerpts(rows[0][1])
+    assert 0 < len(parts) <= crf_secrets.EXCERPTS and all(len(p) <= crf_secrets.EXCERPT and p in rows[0][1] for p in parts)
+    assert crf_secrets.base_spans(parts[0]) and crf_secrets._excerpts("") == [""]
+
+
+def test_one_id_of_many_rows_teaches_once(spark):
+    rows = [(k % 8, f"some words {k} of document {k % 8} " * 5) for k in range(400)]
+    labels = spark.createDataFrame([(k, float(k % 2)) for k in range(8)], "doc_id long, quality double")
+    got = cotraining.score(documents(spark, rows), labels).collect()
+    assert len(got) == 400 and all(0 <= r.score <= 1 for r in got)
+
+
 @pytest.mark.parametrize("spread", ["one", "three", "every"])
 def test_search_with_norms_far_apart(spark, spread):
     rng = np.random.default_rng(41)
