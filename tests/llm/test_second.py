@@ -533,5 +533,5 @@ def test_pipeline_stages_follow_each_other(spark):
     assert max(r.offset + r.length for r in out) <= 2048
 
 
-def test_queries_have_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+def test_queries_have_thirteen_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
