@@ -46,20 +46,21 @@ def match_identities(current: DataFrame, previous: DataFrame, keys: Sequence[str
             *keys, name, "t.identity", F.col("t.mine").alias(f"{name}_own")
         )
 
+    # Sizes are estimated before the arrays are exploded, so Spark would broadcast whole sides through the driver.
     now, old = side(current, "current_id"), side(previous, "previous_id")
     on = [*keys, "identity"]
     pair = [*keys, "current_id", "previous_id"]
     # At least one side's own identity takes part in every join, so entries that merely share a third alias never meet.
     edges = (
-        now.join(old.where("previous_id_own"), on).select(*pair, F.col("current_id_own").alias("exact"))
-        .unionByName(now.where("current_id_own").join(old.where("NOT previous_id_own"), on).select(*pair, F.lit(False).alias("exact")))
+        now.join(old.where("previous_id_own").hint("merge"), on).select(*pair, F.col("current_id_own").alias("exact"))
+        .unionByName(now.where("current_id_own").join(old.where("NOT previous_id_own").hint("merge"), on).select(*pair, F.lit(False).alias("exact")))
         .groupBy(*pair).agg(F.bool_or("exact").alias("exact"))
     )
     options = edges.groupBy(*keys, "current_id").agg(
         F.bool_or("exact").alias("has_exact"), F.sum((~F.col("exact")).cast("int")).alias("aliases")
     )
     claims = edges.groupBy(*keys, "previous_id").agg(F.count(F.lit(1)).alias("reached"))
-    judged = edges.join(options, [*keys, "current_id"]).join(claims, [*keys, "previous_id"])
+    judged = edges.join(options.hint("merge"), [*keys, "current_id"]).join(claims.hint("merge"), [*keys, "previous_id"])
     accepted = F.col("exact") | (~F.col("has_exact") & (F.col("aliases") == 1) & (F.col("reached") == 1))
     return judged.where(accepted).select(
         *pair, F.when(F.col("exact"), "identity").otherwise("advisory-alias").alias("basis")

@@ -52,11 +52,11 @@ def by_identity(findings: DataFrame, entries: DataFrame, entry_id: str, keys: tu
     an alias only where it is the single option of both.
     """
     named = findings.select(*keys, F.explode(F.array_union("own", "every")).alias("id")).join(
-        entries.select(F.col(entry_id).alias("id")).distinct(), "id"
+        entries.select(F.col(entry_id).alias("id")).distinct().hint("merge"), "id"
     ).distinct()
     previous = named.withColumn("own", F.array("id")).withColumn("every", F.array("id"))
     pairs = match_identities(findings.select(*keys, "id", "own", "every").distinct(), previous, keys)
-    return pairs.select(*keys, F.col("current_id").alias("id"), F.col("previous_id").alias(entry_id)).join(entries, entry_id)
+    return pairs.select(*keys, F.col("current_id").alias("id"), F.col("previous_id").alias(entry_id)).join(entries.hint("merge"), entry_id)
 
 
 def waiver_state(
@@ -82,7 +82,7 @@ def waiver_state(
         F.min(F.when(recorded, ranks.severity_rank(F.col("severity")))).alias("__rank"),
         F.bool_or(recorded & ~F.coalesce("known_exploited", F.lit(False))).alias("__unexploited"),
     )
-    rows = findings.join(folded, on, "left")
+    rows = findings.join(folded.hint("merge"), on, "left")
     exploited = F.coalesce("known_exploited", F.lit(False)) if "known_exploited" in findings.columns else F.lit(False)
     reopened = F.coalesce(ranks.severity_rank(F.col("severity")) > F.col("__rank"), F.lit(False)) | (
         exploited & F.coalesce("__unexploited", F.lit(False))
@@ -140,13 +140,13 @@ def baseline_state(findings: DataFrame, baseline: DataFrame, keys: tuple[str, ..
         side = lambda frame: frame.select(*scope, F.col(name).alias("id"), "own", "every").distinct()
         pairs = match_identities(side(findings), side(baseline), scope)
         pairs = pairs.select(*scope, F.col("current_id").alias("__current"), F.col("previous_id").alias(name))
-        baseline = baseline.join(pairs, list(keys)).withColumn(name, F.col("__current"))
+        baseline = baseline.join(pairs.hint("merge"), list(keys)).withColumn(name, F.col("__current"))
     prior = baseline.groupBy(*keys).agg(
         F.collect_set(
             F.struct(ranks.severity_rank(F.col("severity")).alias("s"), ranks.status_rank(F.col("status")).alias("t"))
         ).alias("__prior")  # at most severities x statuses values
     )
-    rows = findings.join(prior, list(keys), "left")
+    rows = findings.join(prior.hint("merge"), list(keys), "left")
     covered = F.exists(
         F.col("__prior"),
         lambda p: (p["s"] >= ranks.severity_rank(F.col("severity"))) & (p["t"] >= ranks.status_rank(F.col("status"))),

@@ -396,7 +396,7 @@ def _(t: Tables) -> DataFrame:
     place = F.concat_ws("|", "ecosystem", "name", F.regexp_replace("path", "/pom.xml", ""))
     left = current.select(F.col("id").alias("current_id"), F.col("rule_id").alias("current_rule"), place.alias("location"))
     right = previous.select(F.col("id").alias("previous_id"), F.col("rule_id").alias("previous_rule"))
-    return pairs.join(left, "current_id").join(right, "previous_id").select("current_rule", "previous_rule", "location", "basis")
+    return pairs.join(left.hint("merge"), "current_id").join(right.hint("merge"), "previous_id").select("current_rule", "previous_rule", "location", "basis")
 
 
 @query(
@@ -408,7 +408,7 @@ def _(t: Tables) -> DataFrame:
     pairs = identity.alias_pairs(current, previous)
     left = current.select(F.col("id").alias("current_id"), F.col("rule_id").alias("current_rule"))
     right = previous.select(F.col("id").alias("previous_id"), F.col("rule_id").alias("previous_rule"))
-    return pairs.join(left, "current_id").join(right, "previous_id").groupBy("current_rule", "previous_rule").agg(
+    return pairs.join(left.hint("merge"), "current_id").join(right.hint("merge"), "previous_id").groupBy("current_rule", "previous_rule").agg(
         F.count(F.lit(1)).alias("locations")
     )
 
