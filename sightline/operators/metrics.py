@@ -228,18 +228,22 @@ def inventory_labels(labels: DataFrame, deps: DataFrame) -> DataFrame:
     return labels.join(hits, "label_id", "left").select("label_id", F.coalesce("__hit", F.lit(False)).alias("extracted"))
 
 
+def _with_ends(frame: DataFrame, *keys: str) -> DataFrame:
+    """Distinct keys with ``path`` and every part of it that begins behind a slash."""
+    parts = F.split("path", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+    return frame.where("path IS NOT NULL").select(*keys, F.explode(ends).alias("path")).distinct()
+
+
 def configuration_labels(labels: DataFrame, configs: DataFrame, findings: DataFrame) -> DataFrame:
-    """Per label (label_id, app_id, path, rule_id, expected): covered, matched and correct."""
-    from sightline.functions.paths import base_name
+    """Per label (label_id, app_id, path, rule_id, expected): covered, matched and correct.
 
-    base = labels.withColumn("__b", base_name(F.col("path")))
-    covered = base.join(configs.select("app_id", F.col("path").alias("__p"), base_name(F.col("path")).alias("__b")), ["app_id", "__b"]).where(
-        same_or_suffix(F.col("__p"), F.col("path"))
-    ).select("label_id").distinct().withColumn("covered", F.lit(True))
-    matched = base.join(
-        findings.select("app_id", "rule_id", F.col("path").alias("__p"), base_name(F.col("path")).alias("__b")), ["app_id", "rule_id", "__b"]
-    ).where(same_or_suffix(F.col("__p"), F.col("path"))).select("label_id").distinct().withColumn("matched", F.lit(True))
-    rows = labels.join(covered, "label_id", "left").join(matched, "label_id", "left")
+    A label meets an observed path that equals it or ends with it behind a slash: every observed path is listed with all
+    its ends, so labels are looked up by whole path and files of one name never meet in pairs.
+    """
+    covered = labels.join(_with_ends(configs, "app_id").hint("merge"), ["app_id", "path"]).select("label_id").distinct().withColumn("covered", F.lit(True))
+    matched = labels.join(_with_ends(findings, "app_id", "rule_id").hint("merge"), ["app_id", "rule_id", "path"]).select("label_id").distinct().withColumn("matched", F.lit(True))
+    rows = labels.join(covered.hint("merge"), "label_id", "left").join(matched.hint("merge"), "label_id", "left")
     c, m = F.coalesce("covered", F.lit(False)), F.coalesce("matched", F.lit(False))
     return rows.select("label_id", c.alias("covered"), m.alias("matched"), (c & (m == F.col("expected"))).alias("correct"))
 
