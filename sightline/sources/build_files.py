@@ -6,7 +6,7 @@ import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.paths import base_name
@@ -98,16 +98,24 @@ def catalog_entries(files: DataFrame) -> DataFrame:
 
 
 def catalog_rows(files: DataFrame) -> DataFrame:
-    """Catalogue libraries with their version (references looked up by join) and bundles; usage is not resolved yet."""
-    entries = catalog_entries(files)
-    versions = entries.where("kind = 'version'").select("app_id", "path", F.col("alias").alias("ref"), F.col("version").alias("__looked_up"))
-    bundles = entries.where("kind = 'bundle'").groupBy("app_id", "path", F.col("member").alias("alias")).agg(
-        F.array_sort(F.collect_set("alias")).alias("x_bundles")  # bundles of one file that list one alias
-    )
-    rows = entries.where("kind = 'library'").drop("member").join(versions, ["app_id", "path", "ref"], "left")
-    rows = rows.withColumn("resolved", F.coalesce("__looked_up", "version")).where(F.coalesce("resolved", F.lit("")) != "")
-    rows = rows.join(bundles, ["app_id", "path", "alias"], "left").withColumn("x_alias", F.col("alias"))
-    rows = rows.withColumn("x_bundles", F.coalesce("x_bundles", F.array().cast("array<string>")))
+    """Catalogue libraries with their version (references looked up in their file) and bundles; usage is not resolved yet."""
+    fields = {"version": ("alias", "version"), "library": ("alias", "module", "version", "ref"), "bundle": ("alias", "member")}
+    lists = [F.collect_list(F.when(F.col("kind") == kind, F.struct(*names))).alias(kind) for kind, names in fields.items()]
+    # the entries of one file, so that every file is parsed and shuffled once; files without an app or a path look up nothing
+    entries = catalog_entries(files).groupBy("app_id", "path").agg(*lists)
+    named = F.col("app_id").isNotNull() & F.col("path").isNotNull()
+
+    def resolved(item: Column) -> Column:
+        versions = F.filter("version", lambda v: named & (v["alias"] == item["ref"]))
+        bundles = F.filter("bundle", lambda b: named & (b["member"] == item["alias"]))
+        return F.struct(
+            item["alias"].alias("x_alias"), item["module"].alias("module"), item["version"].alias("version"),
+            F.transform(versions, lambda v: v["version"]).alias("looked_up"), F.array_sort(F.array_distinct(F.transform(bundles, lambda b: b["alias"]))).alias("x_bundles"),
+        )
+
+    rows = entries.select("app_id", "path", F.explode(F.transform("library", resolved)).alias("l"))
+    rows = rows.select("app_id", "path", "l.module", "l.version", F.explode_outer("l.looked_up").alias("looked_up"), "l.x_bundles", "l.x_alias")
+    rows = rows.withColumn("resolved", F.coalesce("looked_up", "version")).where(F.coalesce("resolved", F.lit("")) != "")
     return _rows(rows, "Maven", F.col("module"), F.col("resolved"), "unknown", "catalog-declared-unresolved-usage")
 
 
