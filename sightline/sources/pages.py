@@ -14,6 +14,7 @@ from sightline.operators.filters import vendor_scope
 
 CVE = r"CVE-\d{4}-\d{4,}"
 NODE_SCHEMA = "page_id string, url string, pos int, tag string, text string, href string, block int, row int, cell int"
+NODES_A_BATCH = 20_000  # rows handed on at once: the pages of an Arrow batch may hold millions
 _BLOCKS = {"h1", "h2", "h3", "p", "li", "td", "th", "title"}
 _VOID = {"br", "img", "meta", "link", "hr", "input", "wbr", "source", "area", "base", "col", "embed", "track", "param"}
 
@@ -78,6 +79,9 @@ def _node_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parser.feed(html or "")
             parser.close()
             rows += [(page, url, pos, tag, text, href, block, row, cell) for pos, tag, text, href, block, row, cell in parser.nodes]
+            if len(rows) >= NODES_A_BATCH:
+                yield pd.DataFrame(rows, columns=columns)
+                rows = []
         yield pd.DataFrame(rows, columns=columns)
 
 
