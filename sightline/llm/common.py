@@ -25,10 +25,10 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return f"{checkpoint_root(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, kind: str = "table") -> DataFrame:
+def saved(df: DataFrame, kind: str = "table", compression: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: the lineage ends there."""
     folder = shared_folder(df.sparkSession, kind)
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -44,6 +44,6 @@ def test_contexts_beyond_any_bound_are_kept(spark):
     grams = np.unique(np.concatenate([ctw._windows(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), ctw.DEPTH)[0] for t in learned]))
     assert len(grams) > 1 << 18
     trees = ctw.subtrees(ctw.cut(spark.createDataFrame([(k, False, t) for k, t in enumerate(learned)], "doc_id long, held_out boolean, text string")).where("kind = 1"), 1)
-    kept = np.concatenate([ctw._unpacked(r.block)[0] for r in trees.select("block").collect()])
+    kept = np.concatenate([ctw._unpacked_grams(r.block) for r in trees.select("block").collect()])
     assert np.array_equal(np.sort(kept), grams)
     assert got.where("score >= 0 or score is null or isnan(score)").count() == 0
