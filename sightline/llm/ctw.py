@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,36 +64,60 @@ def _windows(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndar
 
 
 def _merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams, sorted, and the sums of their counts."""
+    """Distinct n-grams, sorted, and the sums of their counts; the list of runs is emptied."""
     grams = np.concatenate([np.zeros(0, np.uint64), *[g for g, _ in runs]])
     counts = np.concatenate([np.zeros(0, np.int64), *[c for _, c in runs]])
+    runs.clear()
     order = np.argsort(grams, kind="stable")
-    grams = grams[order]
+    grams, counts = grams[order], counts[order]
+    del order
     starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, np.int64)
-    return grams[starts], np.add.reduceat(counts[order], starts) if len(grams) else counts
+    return grams[starts], np.add.reduceat(counts, starts) if len(grams) else counts
+
+
+def _distinct(ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.r_[True, ordered[1:] != ordered[:-1]]] if len(ordered) else ordered
 
 
 class _GramCounts:
-    """Counts of n-grams that are added in runs and merged when they have doubled."""
+    """Counts of n-grams that are added in runs; the runs are merged into one when there are half as many as in it."""
 
     def __init__(self) -> None:
         self.runs: list[tuple[np.ndarray, np.ndarray]] = []
-        self.merged = self.waiting = 0
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.waiting = 0
+
+    @property
+    def merged(self) -> int:
+        return len(self.keys)
 
     def add(self, grams: np.ndarray, learned: bool = True) -> None:
-        keys, counts = np.unique(grams, return_counts=True)
-        self.put(keys, counts if learned else np.zeros(len(keys), np.int64))
+        if learned:
+            self.put(*np.unique(grams, return_counts=True))
+        else:
+            keys = _distinct(np.sort(grams))
+            self.put(keys, np.zeros(len(keys), np.int64))
 
     def put(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.runs.append((keys, counts))
         self.waiting += len(keys)
-        if self.waiting > max(1 << 19, self.merged):
+        if self.waiting > max(1 << 19, self.merged // 2):
             self.read()
 
     def read(self) -> tuple[np.ndarray, np.ndarray]:
-        self.runs = [_merged(self.runs)]
-        self.merged, self.waiting = len(self.runs[0][0]), 0
-        return self.runs[0]
+        """Distinct n-grams, sorted, and the sums of their counts. Only new ones move those already merged."""
+        keys, counts = _merged(self.runs)
+        self.waiting = 0
+        if not self.merged:
+            self.keys, self.counts = keys, counts
+            return keys, counts
+        at = np.searchsorted(self.keys, keys)
+        known = self.keys[np.minimum(at, self.merged - 1)] == keys
+        self.counts[at[known]] += counts[known]
+        at, keys, counts = at[~known], keys[~known], counts[~known]
+        self.keys = np.insert(self.keys, at, keys)
+        self.counts = np.insert(self.counts, at, counts)
+        return self.keys, self.counts
 
 
 def _packed(words: np.ndarray) -> bytes:
@@ -181,15 +205,61 @@ def _bytes_mask(count: int) -> np.uint64:
     return np.uint64((1 << (8 * count)) - 1)
 
 
-def _bit_nodes(grams: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The nodes with ``k`` bits seen of sorted n-grams: keys (context bytes, then the bits behind a leading one), zeros
-    and ones; then the node and the next bit of every n-gram."""
-    byte = (grams & np.uint64(255)).astype(np.int64)
-    key = (grams & ~np.uint64(255)) | ((1 << k) | (byte >> (8 - k))).astype(np.uint64)
+def _bit_nodes(grams: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes with ``k`` bits seen of sorted n-grams: keys (context bytes, then the bits behind a leading one), zeros,
+    ones and the place of their first n-gram."""
+    byte = grams & np.uint64(255)
+    key = (grams & ~np.uint64(255)) | np.uint64(1 << k) | (byte >> np.uint64(8 - k))
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    bit = (byte >> (7 - k)) & 1
+    bit = _next_bits(grams, k)
     zeros, ones = [np.add.reduceat(c, starts) if len(key) else c for c in (counts * (1 - bit), counts * bit)]
-    return key[starts], zeros, ones, np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(key)])), bit
+    return key[starts], zeros, ones, starts
+
+
+def _next_bits(grams: np.ndarray, k: int) -> np.ndarray:
+    return ((grams >> np.uint64(7 - k)) & np.uint64(1)).astype(np.int64)
+
+
+class _Weighed:
+    """The nodes with ``k`` bits seen of all depths, weighed from the deepest up: for each depth ``keys``, ``zeros``,
+    ``ones``, first n-grams, parents and, but at the deepest, the node's own weight and the probability of a one in
+    contexts that are not kept; ``root`` holds keys, zeros, ones and weighted logarithms of the first depth."""
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], root: int, k: int):
+        last = len(levels) - 1
+        self.keys, zeros, ones, starts = zip(*[_bit_nodes(grams, counts, k) for grams, counts in levels])
+        self.starts = [s.astype(np.int32) for s in starts]
+        del starts
+        self.zeros, self.ones = zeros, ones
+        self.parent = [None] + [np.searchsorted(self.keys[d - 1], self.keys[d] & _bytes_mask(root + d)).astype(np.int32) for d in range(1, last + 1)]
+        self.rest, self.weight = [None] * (last + 1), [None] * (last + 1)
+        total = _log_estimate(zeros[last].astype(float), ones[last].astype(float))
+        for d in range(last - 1, -1, -1):
+            size, parent = len(self.keys[d]), self.parent[d + 1]
+            own = _log_estimate(zeros[d].astype(float), ones[d].astype(float))
+            left = [c[d] - np.bincount(parent, weights=c[d + 1], minlength=size) for c in (zeros, ones)]
+            below = np.bincount(parent, weights=total, minlength=size) + _log_estimate(*left)
+            self.rest[d] = (left[1] + 0.5) / (left[0] + left[1] + 1)
+            self.weight[d] = 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
+            total = np.logaddexp(own, below) - math.log(2)
+        self.root = (self.keys[0], zeros[0], ones[0], total)
+
+    def probabilities(self, entry: tuple | None) -> Iterator[np.ndarray]:
+        """For each depth the probability of a one in each node if it is the deepest on the path. ``entry``: sorted keys
+        at the first depth, the probability that the nodes above them give, and the weight left (:func:`top`)."""
+        last = len(self.keys) - 1
+        mixed, remaining = np.zeros(len(self.keys[0])), np.ones(len(self.keys[0]))
+        if entry:
+            at = np.searchsorted(entry[0], self.keys[0])
+            mixed, remaining = entry[1][at], entry[2][at]
+        for d in range(last + 1):
+            here = (self.ones[d] + 0.5) / (self.zeros[d] + self.ones[d] + 1)
+            if d == last:
+                yield mixed + remaining * here
+                return
+            after, still = mixed + remaining * self.weight[d] * here, remaining * (1 - self.weight[d])
+            yield after + still * self.rest[d]
+            mixed, remaining = after[self.parent[d + 1]], still[self.parent[d + 1]]
 
 
 def _levels(grams: np.ndarray, counts: np.ndarray, depth: int, root: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -206,85 +276,96 @@ class Model:
     ``levels[d]`` = (n-grams, counts) kept at depth root + d, sorted. For each depth and each number of bits seen,
     ``nodes`` holds the sorted node keys and the probability of a one if that node is the deepest on the path;
     ``scores_of`` holds the log10 probability of each kept n-gram's last byte if no longer context is kept, so most bytes
-    need one look-up and only bytes new to their context need the walk. ``roots`` has the keys, zeros, ones and weighted
-    logarithms of the nodes at depth ``root``. Subtrees take from ``above`` (:func:`top`) what the nodes above them give.
+    need one look-up and only bytes new to their context need the walk. Subtrees take from ``above`` (:func:`top`) what
+    the nodes above them give.
+
+    Where all that will be asked is known, ``asked`` gives it, one array of n-grams after another: their walks are taken
+    while the nodes of one number of bits are at hand, and ``nodes`` keeps none.
     """
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], root: int = 0, above: tuple | None = None):
-        last = len(levels) - 1
-        self.root, self.depth = root, root + last
-        self.nodes: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in levels]
-        self.roots: list[tuple[np.ndarray, ...]] = []
-        whole = [np.zeros(len(grams)) for grams, _ in levels]
+    def __init__(
+        self, levels: list[tuple[np.ndarray, np.ndarray]], root: int = 0, above: tuple | None = None,
+        asked: Iterable[np.ndarray] | None = None,
+    ):
+        self.root, self.depth = root, root + len(levels) - 1
+        self.nodes: list[list[tuple[np.ndarray, np.ndarray]]] | None = None if asked is not None else [[] for _ in range(self.depth + 1)]
+        self.grams = [grams for grams, _ in levels]
+        self.contexts = [_distinct(grams >> np.uint64(8)) for grams in self.grams]
+        if asked is not None:
+            walks = _GramCounts()
+            for grams in asked:
+                walks.add(grams[self._found(grams)[1]])
+            self.asked = walks.read()[0]
+            self.walked = np.zeros(len(self.asked))
+            del walks
+        whole = [np.zeros(len(grams)) for grams in self.grams]
         for k in range(8):
-            keys, zeros, ones, node, bit = zip(*[_bit_nodes(grams, counts, k) for grams, counts in levels])
-            parent = [None] + [np.searchsorted(keys[d - 1], keys[d] & _bytes_mask(root + d)) for d in range(1, last + 1)]
-            own = [_log_estimate(z.astype(float), o.astype(float)) for z, o in zip(zeros, ones)]
-            rest = [None] * (last + 1)
-            weight = [None] * (last + 1)
-            total = own[last]
-            for d in range(last - 1, -1, -1):
-                left = [c[d] - np.bincount(parent[d + 1], weights=c[d + 1], minlength=len(keys[d])) for c in (zeros, ones)]
-                below = np.bincount(parent[d + 1], weights=total, minlength=len(keys[d])) + _log_estimate(*left)
-                rest[d] = (left[1] + 0.5) / (left[0] + left[1] + 1)
-                weight[d] = 1 / (1 + np.exp(np.clip(below - own[d], -700, 700)))
-                total = np.logaddexp(own[d], below) - math.log(2)
-            self.roots.append((keys[0], zeros[0], ones[0], total))
-            mixed, remaining = np.zeros(len(keys[0])), np.ones(len(keys[0]))
-            if above:
-                at = np.searchsorted(above[1][k][0], keys[0])
-                mixed, remaining = above[1][k][1][at], above[1][k][2][at]
-            for d in range(last + 1):
-                here = (ones[d] + 0.5) / (zeros[d] + ones[d] + 1)
-                if d < last:
-                    after, still = mixed + remaining * weight[d] * here, remaining * (1 - weight[d])
-                    one = after + still * rest[d]
-                    mixed, remaining = after[parent[d + 1]], still[parent[d + 1]]
-                else:
-                    one = mixed + remaining * here
-                self.nodes[d].append((keys[d], one))
-                if len(node[d]):
-                    whole[d] += np.log10(np.where(bit[d] == 1, one[node[d]], 1 - one[node[d]]))
-        if above:
-            self.nodes = above[0] + self.nodes
-        self.grams, self.scores_of = [grams for grams, _ in levels], whole
-        self.contexts = [np.unique(grams >> np.uint64(8)) for grams in self.grams]
-
-    def scores(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each n-gram given those before it."""
-        out = np.zeros(len(grams))
-        left, slow = np.arange(len(grams)), []
+            weighed = _Weighed(levels, root, k)
+            nodes = [above[0][d][k] for d in range(root)] if above else [(np.zeros(0, np.uint64), np.zeros(0))] * root
+            for d, one in enumerate(weighed.probabilities(above and above[1][k])):
+                nodes.append((weighed.keys[d], one))
+                if len(one):
+                    here = np.repeat(one, np.diff(np.r_[weighed.starts[d], len(self.grams[d])]))
+                    whole[d] += np.log10(np.where(_next_bits(self.grams[d], k) == 1, here, 1 - here))
+            if self.nodes is None:
+                self.walked += _walk_step(nodes, self.asked, k)
+            else:
+                for kept, node in zip(self.nodes, nodes):
+                    kept.append(node)
+        self.scores_of = whole
+
+    def _found(self, grams: np.ndarray) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], np.ndarray]:
+        """The n-grams that are kept whole, as (depth, which of ``grams``, place there), and those that need the walk."""
+        left, hits, slow = np.arange(len(grams)), [], []
         for d in range(self.depth, self.root - 1, -1):
             here = grams[left] & _bytes_mask(d + 1)
             place = _place(self.grams[d - self.root], here)
             hit = place >= 0
-            out[left[hit]] = self.scores_of[d - self.root][place[hit]]
+            hits.append((d - self.root, left[hit], place[hit]))
             left, here = left[~hit], here[~hit]
             known = _place(self.contexts[d - self.root], here >> np.uint64(8)) >= 0 if d else np.ones(len(left), dtype=bool)
             slow.append(left[known])
             left = left[~known]
-        slow = np.concatenate([*slow, left])
+        return hits, np.concatenate([*slow, left])
+
+    def scores(self, grams: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of each n-gram given those before it."""
+        out = np.zeros(len(grams))
+        hits, slow = self._found(grams)
+        for d, which, place in hits:
+            out[which] = self.scores_of[d][place]
         if len(slow):
-            unique, number = np.unique(grams[slow], return_inverse=True)
-            out[slow] = self._walk(unique)[number]
+            out[slow] = self._walk(grams[slow])
         return out
 
     def _walk(self, grams: np.ndarray) -> np.ndarray:
         """As :meth:`scores`, from the deepest node that each path has."""
-        score = np.zeros(len(grams))
-        byte = (grams & np.uint64(255)).astype(np.int64)
+        if self.nodes is None:
+            place = _place(self.asked, grams)
+            if (place < 0).any():
+                raise ValueError("the model was not asked for these n-grams")
+            return self.walked[place]
+        unique, number = np.unique(grams, return_inverse=True)
+        score = np.zeros(len(unique))
         for k in range(8):
-            prefix = ((1 << k) | (byte >> (8 - k))).astype(np.uint64)
-            one = np.full(len(grams), 0.5)
-            left = np.arange(len(grams))
-            for d in range(self.depth, -1, -1):
-                keys, ones = self.nodes[d][k]
-                place = _place(keys, (grams[left] & _bytes_mask(d + 1) & ~np.uint64(255)) | prefix[left])
-                hit = place >= 0
-                one[left[hit]] = ones[place[hit]]
-                left = left[~hit]
-            score += np.log10(np.where((byte >> (7 - k)) & 1 == 1, one, 1 - one))
-        return score
+            score += _walk_step([node[k] for node in self.nodes], unique, k)
+        return score[number]
+
+
+def _walk_step(nodes: list[tuple[np.ndarray, np.ndarray]], grams: np.ndarray, k: int) -> np.ndarray:
+    """log10 probability of the bit behind ``k`` bits of each n-gram's last byte, from the deepest of ``nodes`` (keys and
+    probabilities of a one, by depth) on its path."""
+    byte = grams & np.uint64(255)
+    prefix = np.uint64(1 << k) | (byte >> np.uint64(8 - k))
+    one = np.full(len(grams), 0.5)
+    left = np.arange(len(grams))
+    for d in range(len(nodes) - 1, -1, -1):
+        keys, ones = nodes[d]
+        place = _place(keys, (grams[left] & _bytes_mask(d + 1) & ~np.uint64(255)) | prefix[left])
+        hit = place >= 0
+        one[left[hit]] = ones[place[hit]]
+        left = left[~hit]
+    return np.log10(np.where(_next_bits(grams, k) == 1, one, 1 - one))
 
 
 def top(roots: list[tuple[np.ndarray, ...]], root: int) -> tuple[list, list]:
@@ -456,7 +537,8 @@ def subtrees(blocks: DataFrame, chunks: int, depth: int = DEPTH) -> DataFrame:
 
     def weigh(table: pa.Table) -> pa.RecordBatch:
         grams, counts = _of_training(table)
-        roots = Model(_levels(grams, counts, depth, root), root).roots
+        levels = _levels(grams, counts, depth, root)
+        roots = [_Weighed(levels, root, k).root for k in range(8)]
         packed = [a.astype(kind).tobytes() for node in roots for a, kind in zip(node, ("<u8", "<i8", "<i8", "<f8"))]
         return _bucket_rows(table, out, block=[_packed_grams(grams)], counts=[_packed(counts)], roots=[packed])
 
@@ -483,7 +565,9 @@ def chunk_scores(blocks: DataFrame, trees: DataFrame, chunks: int, depth: int =
         if len(chunk) == 1:
             return None
         counts = _unpacked(table.column("counts")[0].as_py()).astype(np.int64)
-        model = Model(_levels(_unpacked_grams(block[0].as_py()), counts, depth, root), root, above.value)
+        levels = _levels(_unpacked_grams(block[0].as_py()), counts, depth, root)
+        model = Model(levels, root, above.value, asked=(_unpacked_grams(b.as_py()) for b in block.slice(1)))
+        del levels, counts
         scores = [model.scores(_unpacked_grams(b.as_py())).astype("<f4").tobytes() for b in block.slice(1)]
         return pa.RecordBatch.from_arrays([pa.array(chunk[1:], pa.int64()), table.column("bucket").slice(1).combine_chunks(), pa.array(scores, pa.binary())], schema=schema)
 
@@ -546,10 +630,16 @@ def score(docs: DataFrame, depth: int = DEPTH, hot_words: int = HOT_WORDS) -> Da
                 tokens = lowered[a:b].split()
                 times = Counter(tokens)
                 times[END_WORD] += 1
-                rare = [w for w in times if w not in weights]
-                rare_times = [times.pop(w) for w in rare]
-                total = sum(weights[w] * n for w, n in times.items())
-                out.append((len(tokens) + 1, sum(times.values()), total, rare, rare_times))
+                rare, rare_times, hot, total = [], [], 0, 0.0
+                for word, n in times.items():
+                    weight = weights.get(word)
+                    if weight is None:
+                        rare.append(word)
+                        rare_times.append(n)
+                    else:
+                        hot += n
+                        total += weight * n
+                out.append((len(tokens) + 1, hot, total, rare, rare_times))
         ids = [uid for row in docs for uid in range(row["uid"], row["uid"] + len(row["lengths"]))]
         given = [[x for row in docs for x in row[name]] for name in ("doc_ids", "held", "lengths")]
         columns = [ids, *given, *list(zip(*out))[:3], np.concatenate(scores), *list(zip(*out))[3:]]

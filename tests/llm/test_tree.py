@@ -1,5 +1,6 @@
 """The context tree spread over tasks against the whole tree in memory."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -47,3 +48,24 @@ def test_contexts_beyond_any_bound_are_kept(spark):
     kept = np.concatenate([ctw._unpacked_grams(r.block) for r in trees.select("block").collect()])
     assert np.array_equal(np.sort(kept), grams)
     assert got.where("score >= 0 or score is null or isnan(score)").count() == 0
+
+
+def test_a_group_of_subtrees_is_asked_without_keeping_its_nodes():
+    rng = np.random.default_rng(5)
+    kept, counts = np.unique(rng.integers(97, 104, (200_000, 7)) @ (1 << (8 * np.arange(7))), return_counts=True)
+    levels = ctw._levels(kept.astype(np.uint64), counts, 6, 2)
+    new = (rng.integers(97, 105, (50_000, 7)) @ (1 << (8 * np.arange(7)))).astype(np.uint64)
+    roots = [ctw._Weighed(levels, 2, k).root for k in range(8)]
+    above = ctw.top(roots, 2)
+
+    def peak(asked):
+        tracemalloc.start()
+        model = ctw.Model(levels, 2, above, asked)
+        scores = model.scores(new)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return scores, most
+
+    (whole, before), (scores, most) = peak(None), peak([new[:20_000], new[20_000:]])
+    assert np.array_equal(whole, scores)
+    assert most < 0.8 * before
