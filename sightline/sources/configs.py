@@ -44,7 +44,9 @@ def parsed_manifests(files: DataFrame) -> DataFrame:
 
 def _well_formed(files: DataFrame, schema: str, name: str) -> DataFrame:
     """Parsed XML as one struct column; null where the text is malformed."""
-    parsed = files.select("app_id", "path", F.from_xml(F.trim("text"), f"{schema}, _malformed string", OPTIONS).alias(name))
+    # generated, so that no filter on what was parsed is moved below it, where every mention would parse the text again
+    whole = F.from_xml(F.trim("text"), f"{schema}, _malformed string", OPTIONS)
+    parsed = files.select("app_id", "path", F.explode(F.array(whole)).alias(name))
     return parsed.withColumn(name, F.when(F.col(name)["_malformed"].isNull(), F.col(name)))
 
 
