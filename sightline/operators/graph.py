@@ -30,10 +30,11 @@ def reachable(edges: DataFrame, roots: DataFrame, keys: Sequence[str] = ()) -> D
     frontier = cut_lineage(roots.select(*keys, F.col("module").alias("root"), "module").distinct())
     seen = frontier  # grows by one written part per round; earlier parts are not written again
     while True:
-        found = frontier.join(steps.withColumnRenamed("src", "module"), [*keys, "module"]).select(
+        # rows of a round are about as many as the roots and the last rounds are small: as broadcasts they would all pass the driver
+        found = frontier.join(steps.withColumnRenamed("src", "module").hint("merge"), [*keys, "module"]).select(
             *keys, "root", F.col("dst").alias("module")
         ).distinct()
-        frontier = cut_lineage(found.join(seen, [*keys, "root", "module"], "left_anti"))
+        frontier = cut_lineage(found.join(seen.hint("merge"), [*keys, "root", "module"], "left_anti"))
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
