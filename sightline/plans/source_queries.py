@@ -5,7 +5,7 @@ The SQL states the expected rows straight from the tables, so each format is wri
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.operators import coverage, detect
@@ -374,20 +374,22 @@ def _(t: Tables) -> DataFrame:
 
 def sarif_documents(t: Tables) -> DataFrame:
     """One document per order: a result per line, its rule given by id or by position."""
-    number, part = F.col("l_linenumber"), F.col("l_partkey")
-    uri = F.when(part % 10 == 0, "/abs/x.kt").when(part % 10 == 1, "../up.kt").otherwise(joined("app/src/F", text(part), ".kt"))
-    by_index = number % 2 == 0
-    result = F.struct(
-        F.when(~by_index, joined("R", text(part % 3))).alias("ruleId"), F.when(by_index, (part % 3).cast("int")).alias("ruleIndex"), F.when(number % 3 == 0, "error").alias("level"),
-        F.struct(joined("found password=hunter", text(part), " here").alias("text")).alias("message"),
-        F.array(
-            F.struct(F.struct(F.struct(uri.alias("uri")).alias("artifactLocation"), F.struct((number * 10).alias("startLine")).alias("region")).alias("physicalLocation"))
-        ).alias("locations"),
-    )
-    order = F.struct("l_linenumber", "l_partkey", "l_quantity", "l_suppkey")
-    grouped = t.lineitem.select("l_orderkey", order.alias("o"), result.alias("r")).groupBy("l_orderkey").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("o", "r"))), lambda x: x["r"]).alias("results")
-    )
+
+    def result(line: Column) -> Column:
+        number, part = line["l_linenumber"], line["l_partkey"]
+        uri = F.when(part % 10 == 0, "/abs/x.kt").when(part % 10 == 1, "../up.kt").otherwise(joined("app/src/F", text(part), ".kt"))
+        by_index = number % 2 == 0
+        return F.struct(
+            F.when(~by_index, joined("R", text(part % 3))).alias("ruleId"), F.when(by_index, (part % 3).cast("int")).alias("ruleIndex"), F.when(number % 3 == 0, "error").alias("level"),
+            F.struct(joined("found password=hunter", text(part), " here").alias("text")).alias("message"),
+            F.array(
+                F.struct(F.struct(F.struct(uri.alias("uri")).alias("artifactLocation"), F.struct((number * 10).alias("startLine")).alias("region")).alias("physicalLocation"))
+            ).alias("locations"),
+        )
+
+    # the lines of an order meet as four numbers; their results are built where they meet
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_suppkey")))
+    grouped = t.lineitem.groupBy("l_orderkey").agg(lines.alias("lines")).select("l_orderkey", F.transform("lines", result).alias("results"))
     rules = F.array(
         *[
             F.struct(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.canonical import digest, finding_identity
@@ -43,15 +43,10 @@ def parsed_results(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     valid = F.coalesce(F.col("d.version") == "2.1.0", F.lit(False))
     key = ["report_id", "tool", "run"]
     runs = parsed.where(valid).select("report_id", "tool", F.posexplode("d.runs").alias("run", "r"))
-    driver = F.coalesce("r.tool.driver.name", F.lit("")).alias("driver")
-    results = runs.select(*key, driver, F.posexplode("r.results").alias("position", "res"))
-    # Rules are rows of their own: a document's rule list is never repeated per result.
-    rules = runs.select(*key, F.posexplode("r.tool.driver.rules").alias("index", "rule"))
-    by_index = rules.select(*key, F.col("index").alias("__index"), F.col("rule").alias("__at"))
-    by_id = rules.groupBy(*key, F.col("rule.id").alias("__id")).agg(F.min_by("rule", "index").alias("__named"))
+    named = documents.where("report_id IS NOT NULL AND tool IS NOT NULL").groupBy("report_id", "tool")
+    repeated = not named.agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    rows = _joined_rules(runs, key) if repeated else _own_rules(runs, key)
     wanted = F.coalesce("res.ruleId", F.lit(""))
-    rows = results.withColumn("__index", F.col("res.ruleIndex")).withColumn("__id", F.nullif(wanted, F.lit("")))
-    rows = rows.join(by_index, [*key, "__index"], "left").join(by_id, [*key, "__id"], "left")
     clash = (wanted != "") & F.col("__at").isNotNull() & ~F.coalesce(F.col("__at.id") == wanted, F.lit(False))
     rows = rows.withColumn("clash", clash).withColumn("rule", F.when(wanted != "", F.col("__named")).otherwise(F.col("__at"))).withColumn(
         "rule_name", F.when(wanted != "", wanted).otherwise(F.coalesce("rule.id", F.lit("unknown")))
@@ -61,6 +56,30 @@ def parsed_results(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("NOT clash").select(*key, "driver", "position", "res", "rule", "rule_name"), bad_documents.unionByName(bad_results)
 
 
+def _own_rules(runs: DataFrame, key: list[str]) -> DataFrame:
+    """Results with the rule at their index and the first rule of their id, looked up inside the run: no row moves."""
+    rules = F.when(F.col("report_id").isNotNull() & F.col("tool").isNotNull(), F.col("r.tool.driver.rules"))
+
+    def looked_up(res: Column) -> Column:
+        place = F.array_position(rules["id"], F.nullif(res["ruleId"], F.lit(""))) - 1
+        return F.struct(res.alias("res"), F.get(rules, res["ruleIndex"]).alias("__at"), F.get(rules, place.cast("int")).alias("__named"))
+
+    driver = F.coalesce("r.tool.driver.name", F.lit("")).alias("driver")
+    return runs.select(*key, driver, F.posexplode(F.transform("r.results", looked_up)).alias("position", "x")).select(*key, "driver", "position", "x.*")
+
+
+def _joined_rules(runs: DataFrame, key: list[str]) -> DataFrame:
+    """As :func:`_own_rules` where documents share a key: a result then meets the rules of all documents of its key."""
+    driver = F.coalesce("r.tool.driver.name", F.lit("")).alias("driver")
+    results = runs.select(*key, driver, F.posexplode("r.results").alias("position", "res"))
+    # Rules are rows of their own: a document's rule list is never repeated per result.
+    rules = runs.select(*key, F.posexplode("r.tool.driver.rules").alias("index", "rule"))
+    by_index = rules.select(*key, F.col("index").alias("__index"), F.col("rule").alias("__at"))
+    by_id = rules.groupBy(*key, F.col("rule.id").alias("__id")).agg(F.min_by("rule", "index").alias("__named"))
+    rows = results.withColumn("__index", F.col("res.ruleIndex")).withColumn("__id", F.nullif(F.col("res.ruleId"), F.lit("")))
+    return rows.join(by_index, [*key, "__index"], "left").join(by_id, [*key, "__id"], "left")
+
+
 def external_findings(results: DataFrame, root: str = "") -> DataFrame:
     """Candidate findings of located results; results without a usable location are left out."""
     places = F.transform(

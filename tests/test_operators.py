@@ -246,3 +246,60 @@ def test_policy_tables_are_strict(spark):
     for bad in ([("only_new", "maybe")], [("x", "1")], [("only_new", "true"), ("only_new", "true")], [("thresholds.high", "-2")], [("allowed_statuses", "proven")]):
         with pytest.raises(ValueError):
             make(bad)
+
+
+def _sarif_document(report, results, rules):
+    import json
+
+    run = {"tool": {"driver": {"name": "Scanner", "rules": rules}}, "results": results}
+    return (report, "scan", json.dumps({"version": "2.1.0", "runs": [run]}))
+
+
+def test_sarif_rules_are_found_inside_the_run(spark):
+    from sightline.sources import sarif
+
+    rules = [{"id": "A", "helpUri": "a0"}, {"id": "B"}, {"id": "A", "helpUri": "a2"}, None, {"helpUri": "nameless"}]
+    asked = [{"ruleId": "A"}, {"ruleIndex": 2}, {"ruleId": "A", "ruleIndex": 1}, {"ruleId": "B", "ruleIndex": 1}, {"ruleId": "Z"}, {"ruleIndex": 9}, {"ruleIndex": -1}, {"ruleId": "", "ruleIndex": 4}, {"ruleIndex": 3}, {}]
+    rows = [_sarif_document("r1", asked, rules), _sarif_document("r2", asked[:2], []), _sarif_document(None, asked[:4], rules), ("r3", "scan", "{}")]
+    schema = "report_id string, tool string, body string"
+
+    def shown(documents):
+        found, rejects = sarif.parsed_results(documents)
+        key = lambda r: tuple(str(v) for v in r)
+        return found, sorted(map(key, found.collect())), sorted(map(key, rejects.collect()))
+
+    found, own, rejects = shown(spark.createDataFrame(rows, schema))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    # a document that shares the key of another one meets the rules of both, by joins
+    twin = ("r4", "scan", rows[0][2])
+    _, joined, more = shown(spark.createDataFrame([*rows, twin, twin], schema))
+    assert own == [r for r in joined if r[0] != "r4"] and rejects == [r for r in more if r[0] != "r4"]
+    assert len([r for r in joined if r[0] == "r4"]) > 2 * len([r for r in joined if r[0] == "r1"])
+
+
+def test_a_manifest_is_parsed_once(spark):
+    from sightline.sources import configs
+
+    text = '<manifest package="p"><uses-permission android:name="x"/><permission android:name="own"/><application/></manifest>'
+    files = spark.createDataFrame([("a", "m", text), ("b", "m", "<manifest"), ("c", "m", None)], "app_id string, path string, text string")
+    parsed = configs.parsed_manifests(files)
+    for rows in (*configs.manifest_permissions(parsed), configs.manifest_components(parsed)):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
+    assert [tuple(r) for r in configs.manifest_permissions(parsed)[0].collect()] == [("a", "x")]
+    assert sorted(r.app_id for r in configs.malformed(parsed).collect()) == ["b", "c"]
+
+
+def test_reachability_broadcasts_no_round(spark, monkeypatch):
+    from sightline.operators import graph
+
+    plans, cut = [], graph.cut_lineage
+
+    def recorded(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(graph, "cut_lineage", recorded)
+    edges = spark.createDataFrame([(k, k // 2) for k in range(1, 40)], "src long, dst long")
+    out = graph.reachable(edges, edges.selectExpr("src AS module"))
+    assert out.where("root = 39").count() == 7
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
