@@ -295,8 +295,9 @@ def test_reachability_broadcasts_no_round(spark, monkeypatch):
     plans, cut = [], graph.cut_lineage
 
     def recorded(df):
-        plans.append(df._jdf.queryExecution().executedPlan().toString())
-        return cut(df)
+        written = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())  # the plan as it ran
+        return written
 
     monkeypatch.setattr(graph, "cut_lineage", recorded)
     edges = spark.createDataFrame([(k, k // 2) for k in range(1, 40)], "src long, dst long")
