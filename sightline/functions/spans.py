@@ -42,7 +42,11 @@ def matched_lines(marked_text: Column, original: Column, cap: int | None = None)
             x["o"].alias("content"),
         ),
     )
-    hits = F.filter(rows, lambda r: r["matches"] > 0)
+    return first_matches(F.filter(rows, lambda r: r["matches"] > 0), cap)
+
+
+def first_matches(hits: Column, cap: int | None) -> Column:
+    """The lines of the first ``cap`` matches of ``array<struct<line, matches, content>>`` in order; all without a cap."""
     if cap is None:
         return hits
     start = F.struct(F.lit(0).alias("seen"), F.array().cast("array<struct<line:int,matches:int,content:string>>").alias("rows"))

@@ -267,6 +267,11 @@ def finding_rows(found: DataFrame, match_cap: int | None) -> DataFrame:
         "app_id", "path", "hit.rule_id", "hit.severity", "hit.masvs", "hit.file_matches",
         F.explode(matched_lines(F.col("hit.marked"), F.col("text"), match_cap)).alias("m"),
     )
+    return line_findings(rows, match_cap)
+
+
+def line_findings(rows: DataFrame, match_cap: int | None) -> DataFrame:
+    """Findings of (app_id, path, rule_id, severity, masvs, file_matches, m) rows, ``m`` a line, its matches and content."""
     line = F.col("m.line")
     evidence = F.array(F.struct(line.alias("line"), F.col("path").alias("path")))
     return rows.select(

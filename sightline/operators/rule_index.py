@@ -3,7 +3,8 @@
 A literal scan names every rule in the plan, which suits a catalogue. A table of thousands of rules is joined instead:
 each rule gives the literals one of which its matches must hold, each literal its stretch of characters (six, or three of
 short literals) that is rarest in the corpus, and a file meets only the rules whose stretches it holds. Candidates are
-then judged by literal and pattern inside the JVM.
+then judged by literal and pattern inside the JVM; a pattern whose matches surely lie in one line reads only the lines that
+hold its literals, so a long file is not read whole for each of its rules.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions.literals import required_literals
-from sightline.functions.spans import MARK, clean_mark, marked_first
+from sightline.functions.binding import let
+from sightline.functions.literals import required_literals, within_line
+from sightline.functions.spans import MARK, clean_mark, first_matches, marked_first, matched_lines
 from sightline.functions.text import C_FAMILY, has_comments, without_comments
-from sightline.operators.detect import APPLE_SYMBOL_RULES, _with_apple, admitted, finding_rows
+from sightline.operators.detect import APPLE_SYMBOL_RULES, _with_apple, admitted, line_findings
 from sightline.session import cut_lineage
 
 RULES_A_ROW = 500  # candidates of one file that share a row; further ones take further rows
@@ -26,7 +28,7 @@ DEFAULTS = {
     "severity": "'medium'", "suffixes": "array()", "platform": "null", "requires": "null", "case_sensitive": "false",
     "once_per_file": "false", "masvs": "''",
 }
-FIELDS = "rule_id string, pattern string, severity string, suffixes array<string>, platform string, requires string, once_per_file boolean, masvs string, literal string, earlier array<string>"
+FIELDS = "rule_id string, pattern string, severity string, suffixes array<string>, platform string, requires string, once_per_file boolean, masvs string, literal string, earlier array<string>, in_line array<string>"
 
 
 def grams(lowered: Column, width: int) -> Column:
@@ -40,16 +42,19 @@ def _literal_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = [required_literals(p) for p in batch["pattern"]]
         needed = [required_literals(p) for p in batch["requires"]]
         best = [max(pair, key=lambda s: min(map(len, s), default=0)) for pair in zip(found, needed)]
+        batch["in_line"] = [f if within_line(p) else [] for f, p in zip(found, batch["pattern"])]
         batch["literal"] = [[(x, b[:k]) for k, x in enumerate(b)] or [(None, [])] for b in best]
         rows = batch.explode("literal", ignore_index=True)
         rows["earlier"] = [pair[1] for pair in rows["literal"]]
         rows["literal"] = [pair[0] for pair in rows["literal"]]
+        rows["in_line"] = rows["in_line"].where(rows["in_line"].map(bool), None)
         yield rows[columns]
 
 
 def literal_rules(rules: DataFrame) -> DataFrame:
     """Rules with defaults filled in, one row for each literal that can announce them, with the literals ``earlier`` in
-    their order; a null literal where none is required.
+    their order; a null literal where none is required. ``in_line``: literals one of which every line with a match holds,
+    where matches lie in one line; else null.
 
     Rules without an id or a pattern are left out; of repeated rows one counts.
     """
@@ -57,10 +62,11 @@ def literal_rules(rules: DataFrame) -> DataFrame:
     for name, default in DEFAULTS.items():
         filled = filled.withColumn(name, F.coalesce(F.col(name), F.expr(default)) if name in rules.columns else F.expr(default))
     pattern = F.when(F.col("case_sensitive"), F.col("pattern")).otherwise(F.concat(F.lit("(?i)"), "pattern"))
-    columns = [p.rsplit(" ", 1) for p in FIELDS.split(", ")[:-2]]
+    columns = [p.rsplit(" ", 1) for p in FIELDS.split(", ")[:-3]]
     typed = filled.where("rule_id IS NOT NULL AND pattern IS NOT NULL").withColumn("pattern", pattern)
     typed = typed.select(*[F.col(n).cast(t).alias(n) for n, t in columns]).distinct()
-    return cut_lineage(typed.mapInPandas(_literal_rows, FIELDS))
+    tasks = int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much Python work
+    return cut_lineage(typed.repartition(tasks, "rule_id", "pattern").mapInPandas(_literal_rows, FIELDS))
 
 
 def candidates(sources: DataFrame, rules: DataFrame) -> DataFrame:
@@ -131,22 +137,38 @@ def scan_table(sources: DataFrame, rules: DataFrame, match_cap: int | None = Non
         return ok
 
     def holds(r: Column) -> Column:
-        announced = r["literal"].isNull() | F.contains(F.col("__lower"), r["literal"])
+        # the lines tell whether the only literal of a rule is there; nothing else has to search the text for it
+        announced = r["literal"].isNull() | F.coalesce(F.size(r["in_line"]) == 1, F.lit(False)) | F.contains(F.col("__lower"), r["literal"])
         needed = r["requires"].isNull() | F.rlike(F.col("cleaned"), r["requires"])
-        return F.coalesce(announced & applies(r) & needed & F.rlike(F.col("cleaned"), r["pattern"]), F.lit(False))
+        met = r["in_line"].isNotNull() | F.rlike(F.col("cleaned"), r["pattern"])  # those in a line are judged by their lines
+        return F.coalesce(announced & applies(r) & needed & met, F.lit(False))
 
-    def hit(r: Column) -> Column:
+    def whole_rows(r: Column) -> Column:
         every = F.regexp_replace(F.col("cleaned"), r["pattern"], F.lit(MARK + "$0"))
-        return F.struct(
+        return matched_lines(F.when(r["once_per_file"], marked_first(F.col("cleaned"), r["pattern"])).otherwise(every), F.col("text"))
+
+    def line_rows(r: Column, lines: Column) -> Column:
+        held = F.filter(lines, lambda x: F.exists(r["in_line"], lambda e: F.contains(x["lower"], e)))
+        counted = F.transform(held, lambda x: F.struct(x["line"].alias("line"), F.regexp_count(x["cleaned"], r["pattern"]).alias("matches"), x["content"].alias("content")))
+        found = F.filter(counted, lambda x: x["matches"] > 0)
+        once = F.transform(F.slice(found, 1, 1), lambda x: F.struct(x["line"].alias("line"), F.lit(1).alias("matches"), x["content"].alias("content")))
+        return F.when(r["once_per_file"], once).otherwise(found)
+
+    def hit(r: Column, lines: Column) -> Column:
+        rows = F.when(r["in_line"].isNotNull(), line_rows(r, lines)).otherwise(whole_rows(r))
+        return let(rows, lambda rows: F.struct(
             r["rule_id"].alias("rule_id"), r["severity"].alias("severity"), r["masvs"].alias("masvs"),
-            F.when(r["once_per_file"], marked_first(F.col("cleaned"), r["pattern"])).otherwise(every).alias("marked"),
-            F.when(r["once_per_file"], 1).otherwise(F.regexp_count(F.col("cleaned"), r["pattern"])).alias("file_matches"),
-        )
+            F.aggregate(rows, F.lit(0), lambda n, x: n + x["matches"]).alias("file_matches"), first_matches(rows, match_cap).alias("rows"),
+        ))
 
     # a rule with several literals in a file is judged by the first of them that the file holds
     def first(r: Column) -> Column:
         return ~F.exists(r["earlier"], lambda e: F.contains(F.col("__lower"), e))
 
+    both = F.arrays_zip(F.split("cleaned", "\n").alias("c"), F.split("text", "\n").alias("o"))
+    lines = F.transform(both, lambda x, i: F.struct((i + 1).alias("line"), x["c"].alias("cleaned"), F.lower(x["c"]).alias("lower"), x["o"].alias("content")))
     judged = F.filter("rules", lambda r: holds(r) & first(r))
-    found = read.select("app_id", "path", "text", F.explode(F.transform(judged, hit)).alias("hit"))
-    return finding_rows(found, match_cap)
+    hits = let(lines, lambda lines: F.transform(judged, lambda r: hit(r, lines)))
+    found = read.select("app_id", "path", F.explode(hits).alias("hit"))
+    rows = found.select("app_id", "path", "hit.rule_id", "hit.severity", "hit.masvs", "hit.file_matches", F.explode("hit.rows").alias("m"))
+    return line_findings(rows, match_cap)

@@ -83,6 +83,26 @@ def test_rule_table_equals_literal_scan(spark):
     assert {r.severity for r in scan_table(table, bare).collect()} == {"medium"}
 
 
+def test_rules_within_a_line_read_only_their_lines(spark):
+    from sightline.functions.literals import within_line
+    from sightline.operators.rule_index import literal_rules
+
+    plain = [r"(?<![a-z])word7(?![a-z])", "(?i)licen[sc]e", r"foo\(bar.{1,3}", r"\bthe\b", "(?:abc|def)+"]
+    broad = ["a\nb", r"a\sbcd", "^abc", "abc$", "abc[^x]", "(?s)abc.", "(?m:abc)", "(?<n>abc)", r"abc\Z", "[\n-a]bcd", "abc\\R", None]
+    assert all(map(within_line, plain)) and not any(map(within_line, broad))
+    text = "\n".join(f"word{k % 40} word{k} WORD{k % 7}\r" for k in range(400)) + "\nhead of\ntail word1"
+    table = sources(spark, [("a", "long.txt", text, None), ("a", "none.txt", "word", None), ("b", "x.txt", "word3word3 alpha\n", None)])
+    rules = [Rule(f"W{k}", f"(?<![a-z])word{k}(?![0-9])", case_sensitive=k % 2 == 0, once_per_file=k % 5 == 0, requires="tail" if k % 3 == 0 else None) for k in range(40)]
+    rules += [Rule("TWO", "word17|alpha|word3"), Rule("SPAN", r"head of\stail"), Rule("END", r"word39\r"), Rule("LATE", "alpha$")]
+    as_table = detect.rule_table(spark, rules)
+    own = {r.rule_id: r.in_line for r in literal_rules(as_table).collect()}
+    assert own["W3"] == ["word3"] and own["SPAN"] is None and own["LATE"] is None and len(own["TWO"]) == 3
+    for cap in (None, 3):
+        want = sorted(map(repr, detect.scan(table, rules, cap).select("app_id", "path", "rule_id", "line", "matches", "file_matches", "truncated", "excerpt", "id").collect()))
+        got = scan_table(table, as_table, cap)
+        assert want == sorted(map(repr, got.select("app_id", "path", "rule_id", "line", "matches", "file_matches", "truncated", "excerpt", "id").collect()))
+
+
 def test_generator_far_behind_its_assignment(spark):
     from sightline.operators import code_checks
 
