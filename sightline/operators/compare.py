@@ -12,6 +12,7 @@ from sightline.functions.paths import base_name, path_agrees
 from sightline.operators.coverage import aggregate_state, rule_states, state_mask
 from sightline.operators.identity import match_identities
 from sightline.operators.ranges import nearby_counts
+from sightline.session import cut_lineage
 from sightline.scale import with_next_value
 
 PAIR = ("before_id", "after_id")
@@ -284,15 +285,16 @@ def corroboration_counts(external: DataFrame, native: DataFrame, line_window: in
     lines of a file, and findings without a line meet one total a file.
     """
     keys = ["report_id", "weakness_id"]
-    parts = []
-    for side, mine, other in (("external", external, native), ("native", native, external)):
-        queries = mine.select(F.struct("report_id", "id", "weakness_id").alias("query"), *keys, "path", "line").distinct()
-        points = other.select(*keys, "id", "path", "line").distinct().withColumn("tag", F.lit("any"))
-        counts = nearby_counts(queries, points, keys, ["any"], line_window)
-        one = lambda c: F.get(c, F.lit(0))
-        partners = one("bare") + F.when(F.col("line").isNotNull(), one("near")).otherwise(one("lined"))
-        parts.append(counts.where("path IS NOT NULL").select(F.lit(side).alias("side"), "query.*", "path", "line", partners.alias("partners")))
-    return parts[0].unionByName(parts[1])
+    tags = ["external", "native"]
+    tagged = [frame.withColumn("side", F.lit(side)) for side, frame in zip(tags, (external, native))]
+    rows = tagged[0].select("side", *keys, "id", "path", "line").unionByName(tagged[1].select("side", *keys, "id", "path", "line")).distinct()
+    rows = cut_lineage(rows)  # read from several ends, each of which would build the findings anew
+    queries = rows.select(F.struct("side", "report_id", "id", "weakness_id").alias("query"), *keys, "path", "line")
+    # both sides are points of one run, in which each looks at the other's counts
+    counts = nearby_counts(queries, rows.withColumnRenamed("side", "tag"), keys, tags, line_window)
+    other = F.when(F.col("query.side") == "external", 1).otherwise(0)
+    partners = F.get("bare", other) + F.when(F.col("line").isNotNull(), F.get("near", other)).otherwise(F.get("lined", other))
+    return counts.where("path IS NOT NULL").select("query.*", "path", "line", partners.alias("partners"))
 
 
 def group_imported(results: DataFrame, keys: Sequence[str] = ("id",), keep: int = 20) -> DataFrame:

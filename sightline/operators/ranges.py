@@ -43,8 +43,8 @@ def nearby_counts(queries: DataFrame, points: DataFrame, keys: Sequence[str], ta
     ``queries``: query, keys, path, line; ``points``: keys, path, line, tag. Paths agree where one is the other or ends with
     it at a directory boundary. Result: query, path, line and arrays over ``tags``: ``near`` (lines at most ``window``
     away), ``lined`` and ``bare`` (points with and without a line). A query without a path looks at all points of its
-    keys, in ``lined`` and ``bare`` alone; a null line has no ``near``. Points meet queries on every end of their path, so
-    the cost is linear in rows and path depth.
+    keys, in ``lined`` and ``bare`` alone; a null line has no ``near``. Points meet queries on every end of their path at
+    which the other side has a path as deep with their base name, so the cost is linear in rows and path depth.
     """
     keys = list(keys)
     place = [*keys, "__kind", "__key"]
@@ -52,17 +52,29 @@ def nearby_counts(queries: DataFrame, points: DataFrame, keys: Sequence[str], ta
     names = [f"__t{k}" for k in range(len(tags))]
     zeros = F.array(*[F.lit(0).cast("bigint")] * len(tags))
 
-    def spots(rows: DataFrame, first: str, rest: str) -> DataFrame:
-        """One row for each end of a path: ``first`` names the kind of the whole path, ``rest`` that of its ends."""
-        ends = rows.where("path IS NOT NULL").select("*", F.posexplode(path_suffixes(F.col("path"))).alias("__at", "__key"))
-        return ends.withColumn("__kind", F.when(F.col("__at") == 0, first).otherwise(rest)).drop("__at")
+    base = F.element_at(F.split("path", "/"), -1)
+    bit = lambda path: F.expr(f"shiftleft(1L, least(size(split({path}, '/')), 62))")  # noqa: E731  (deeper paths share a bit)
+
+    def depths(rows: DataFrame) -> DataFrame:
+        return rows.where("path IS NOT NULL").groupBy(*keys, base.alias("__base")).agg(F.bit_or(bit("path")).alias("__depths"))
+
+    def ends(rows: DataFrame, depth: str) -> DataFrame:
+        """One row for each end of a path whose depth is in the mask ``depth``; ``__at`` is 0 for the whole path."""
+        out = rows.select("*", F.posexplode(path_suffixes(F.col("path"))).alias("__at", "__key"))
+        return out.where(F.col(depth).bitwiseAND(bit("__key")) != 0)
 
     grouped = points.groupBy(*keys, "path", "line").agg(*tag_sums)
     # a point answers at every end of its path for queries that name that end, and as a whole for longer query paths
-    held = spots(grouped, "end", "end").unionByName(grouped.where("path IS NOT NULL").withColumn("__key", F.col("path")).withColumn("__kind", F.lit("whole")))
+    met = grouped.where("path IS NOT NULL").withColumn("__base", base).join(depths(queries), [*keys, "__base"]).select(*grouped.columns, "__depths")
+    longer = F.expr("__depths >= shiftleft(1L, least(size(split(path, '/')) + 1, 62))")
+    held = ends(met, "__depths").drop("__at", "__depths").withColumn("__kind", F.lit("end")).unionByName(
+        met.where(longer).drop("__depths").withColumn("__key", F.col("path")).withColumn("__kind", F.lit("whole"))
+    )
     anywhere = grouped.withColumn("__key", F.lit("")).withColumn("__kind", F.lit("all"))
-    asked = spots(queries, "end", "whole").unionByName(
-        queries.where("path IS NULL").withColumn("__key", F.lit("")).withColumn("__kind", F.lit("all"))
+    named = queries.where("path IS NOT NULL").withColumn("__base", base)
+    shorter = ends(named.join(depths(points), [*keys, "__base"]), "__depths").where("__at > 0")
+    asked = queries.withColumn("__key", F.coalesce("path", F.lit(""))).withColumn("__kind", F.when(F.col("path").isNull(), "all").otherwise("end")).unionByName(
+        shorter.select(*queries.columns, "__key", F.lit("whole").alias("__kind"))
     )
     totals = held.unionByName(anywhere).groupBy(*place).agg(
         F.array(*[F.coalesce(F.sum(F.when(F.col("line").isNotNull(), F.col(n))), F.lit(0)) for n in names]).alias("__lined"),
