@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -141,9 +142,9 @@ JOB_OUTPUT = "id string, revision string, state string, attempts int, next_attem
 JOB_STATE = "state string, attempts int, next_attempt timestamp"
 
 
-def _job_step(timers: bool, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _job_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Folds the outcomes of one job; a failure schedules the next attempt, a success ends the job."""
-    if timers and state.hasTimedOut:
+    if state.hasTimedOut:
         status, attempts, upcoming = state.get
         state.remove()
         yield pd.DataFrame({"id": [key[0]], "revision": [key[1]], "state": ["due"], "attempts": [attempts], "next_attempt": [upcoming]})
@@ -159,7 +160,7 @@ def _job_step(timers: bool, key: tuple, batches: Iterator[pd.DataFrame], state:
         wait = min(86_400, max(60 * 2 ** min(attempts - 1, 11), 0 if pd.isna(retry_after) else int(retry_after)))
         status, upcoming = "pending", at + pd.Timedelta(seconds=wait)
     state.update((status, attempts, None if upcoming is None else upcoming.to_pydatetime()))
-    if timers and upcoming is not None:
+    if upcoming is not None:
         delay = (upcoming - events[-1][0]).total_seconds() if events else 60
         state.setTimeoutDuration(max(1, int(delay * 1000)))
     yield pd.DataFrame({"id": [key[0]], "revision": [key[1]], "state": [status], "attempts": [attempts], "next_attempt": [upcoming]})
@@ -168,15 +169,27 @@ def _job_step(timers: bool, key: tuple, batches: Iterator[pd.DataFrame], state:
 def job_states(outcomes: DataFrame, timers: bool = True) -> DataFrame:
     """Stateful stream of job outcomes (id, revision, at, ok, retry_after) to job states with backoff.
 
-    A key is one job revision, which has a handful of outcomes. With timers a continuous query also emits a job when its
-    next attempt is due; a run over what is available needs none.
+    With timers a continuous query also emits a job when its next attempt is due, which calls Python for every job revision.
+    A run over what is available needs none: the fold depends on the number of outcomes and the last one alone (by batch,
+    then by time), so it is a streaming aggregate, for the update mode as well.
     """
+    if not timers:
+        return _folded_states(outcomes)
+    return outcomes.groupBy("id", "revision").applyInPandasWithState(_job_step, JOB_OUTPUT, JOB_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        yield from _job_step(timers, key, batches, state)
 
-    limit = GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout
-    return outcomes.groupBy("id", "revision").applyInPandasWithState(step, JOB_OUTPUT, JOB_STATE, "update", limit)
+def _folded_states(outcomes: DataFrame) -> DataFrame:
+    """The states of :func:`_job_step` without timers. A batch has one timestamp, which only orders it among the batches."""
+    folded = outcomes.withColumn("__batch", F.current_timestamp()).groupBy("id", "revision").agg(
+        F.count(F.lit(1)).alias("attempts"),
+        F.max_by(F.struct("at", F.coalesce("ok", F.lit(False)).alias("ok"), "retry_after"), F.struct("__batch", "at")).alias("last"),
+    )
+    backoff = F.lit(60) * F.pow(F.lit(2), F.least(F.col("attempts") - 1, F.lit(11))).cast("bigint")
+    wait = F.least(F.lit(86_400), F.greatest(backoff, F.coalesce(F.col("last.retry_after").cast("bigint"), F.lit(0))))
+    return folded.select(
+        "id", "revision", F.when(F.col("last.ok"), "done").otherwise("pending").alias("state"), F.col("attempts").cast("int").alias("attempts"),
+        F.when(~F.col("last.ok"), F.timestamp_add("SECOND", wait, F.col("last.at"))).alias("next_attempt"),
+    )
 
 
 FEED_SCHEMA = "source string, attempted timestamp, succeeded timestamp, status string, count bigint, error string, content_hash string"
@@ -221,13 +234,16 @@ def reassess(
 
     ``inventory(batch)`` gives the dependency rows (target, ...) of the latest reports touched by the batch;
     ``correlate(rows)`` their findings (target, id, severity, status). A target is saved when the digest of its findings
-    differs from its last saved one.
+    differs from its last saved one. An inventory that serves many batches is best persisted by its owner, partitioned as
+    ``correlate`` joins it.
     """
     from sightline.sinks.store import content_digests
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = inventory(batch).persist()
-        found = correlate(rows).select("target", "id", "severity", "status").distinct()
+        rows = inventory(batch)
+        own = rows.storageLevel == StorageLevel.NONE  # an inventory that its owner keeps for all batches stays
+        rows = rows.persist() if own else rows
+        found = correlate(rows).select("target", "id", "severity", "status").distinct().persist()
         content = content_digests(found, ["target"], ["id", "severity", "status"], ["id", "severity", "status"])
         counts = found.groupBy("target").agg(F.count(F.lit(1)).alias("findings"))
         now = rows.select("target").distinct().join(content, "target", "left").join(counts, "target", "left").fillna("", ["content_hash"]).fillna(0, ["findings"])
@@ -235,7 +251,9 @@ def reassess(
         changed = now.join(before, "target", "left").where(~F.col("__saved").eqNullSafe(F.col("content_hash")))
         report = F.concat("target", F.lit(f"#{batch_id}"))
         assessments.write(changed.select("target", report.alias("report_id"), "content_hash", "findings"), batch_id)
-        rows.unpersist()
+        found.unpersist()
+        if own:
+            rows.unpersist()
 
     return handle
 
