@@ -116,10 +116,13 @@ def _(t: Tables) -> DataFrame:
 
 
 def bom_document(t: Tables) -> DataFrame:
-    matches = adv.correlate(t.deps, rated_advisories(t))
-    components = deps.bom_components(t.deps)
+    rated = rated_advisories(t)
+    # Only packages that an advisory names meet advisories; Spark leaves the others out before it gathers equal rows.
+    coordinate = ["name", "ecosystem", "version"]
+    named = t.deps.join(rated.select(*coordinate).distinct(), coordinate, "left_semi").select(*t.deps.columns)
+    matches = adv.correlate(named, rated)
     merged = adv.merge_dependency_findings(matches).withColumn("first_observed", F.lit("2024-01-01"))
-    return documents.bom_lines(components, deps.bom_vulnerabilities(matches, components), merged)
+    return documents.bom_lines(deps.bom_components(t.deps), deps.bom_vulnerabilities(matches, deps.bom_components(named)), merged)
 
 
 @query(

@@ -19,6 +19,8 @@ from sightline.scale import running_total
 LINE_COLUMNS = ("document", "section", "position", "line")
 # Fixed value: the published schema of the export format.
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
+# A JSON text without escapes, which stands for the characters between its quotes.
+BARE_TEXT = r'\A"[^"\\\x00-\x1f]*"\z'
 
 
 def lines(df: DataFrame, document: Column, section: int, position: Column, line: Column) -> DataFrame:
@@ -29,7 +31,7 @@ def comma_separated(rows: DataFrame) -> DataFrame:
     """Lines of a JSON list: every line but the first of its section starts with a comma."""
     keys = ["document", "section"]
     first = rows.groupBy(*keys).agg(F.min("position").alias("__first"))
-    joined = rows.join(first, keys)
+    joined = first.join(rows, keys)  # the few first lines are there before the rows would be dealt out by document
     return joined.withColumn(
         "line", F.when(F.col("position") == F.col("__first"), F.col("line")).otherwise(F.concat(F.lit(","), "line"))
     ).select(*LINE_COLUMNS)
@@ -64,38 +66,48 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _parsed(written: DataFrame, kinds: dict[str, tuple[str, str, list[str]]], plain: str | None = None) -> DataFrame:
-    """document, kind, key of the items that lines hold: ``kinds`` maps a kind to the text its objects begin with, their
-    schema and the columns of their key. Lines that are a JSON text alone are of kind ``plain``. Frame lines hold no item."""
-    body = F.regexp_replace("line", "^,", "")
-    parts = []
-    for kind, (begin, schema, columns) in kinds.items():
-        rows = written.where(body.startswith(begin)).select("document", F.from_json(body, schema).alias("o"))
-        key = F.concat_ws("|", *[F.coalesce(F.expr(c).cast("string"), F.lit("")) for c in columns])
-        parts.append(rows.select("document", F.lit(kind).alias("kind"), key.alias("key")))
+    """document, kind, key of the items that lines hold: ``kinds`` maps a kind to the text its objects begin with (none of
+    them the beginning of another), their schema and the columns of their key, in which the object goes by its kind. Lines
+    that are a JSON text alone are of kind ``plain``. Frame lines hold no item.
+
+    Every line is read once and parsed by the schema of its own kind only.
+    """
+    body, kind, key = F.col("body"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    objects = []
+    for name, (begin, schema, columns) in kinds.items():
+        kind = F.when(body.startswith(begin), name).otherwise(kind)
+        objects.append(F.when(F.col("kind") == name, F.from_json(body, schema)).alias(name))
+        own = F.concat_ws("|", *[F.coalesce(F.expr(c).cast("string"), F.lit("")) for c in columns])
+        key = F.when(F.col("kind") == name, own).otherwise(key)
     if plain:
-        texts = written.where(body.startswith('"')).select("document", F.from_json(F.concat(F.lit('{"v":'), body, F.lit("}")), "v string").alias("o"))
-        parts.append(texts.select("document", F.lit(plain).alias("kind"), F.col("o.v").alias("key")))
-    return union(*parts)
+        kind = F.when(body.startswith('"'), plain).otherwise(kind)
+        parsed = F.from_json(F.concat(F.lit('{"v":'), body, F.lit("}")), "v string")["v"]
+        text = F.when(body.rlike(BARE_TEXT), F.substr(body, F.lit(2), F.length(body) - 2)).otherwise(parsed)
+        objects.append(F.when(F.col("kind") == plain, text).alias(plain))
+        key = F.when(F.col("kind") == plain, F.col(plain)).otherwise(key)
+    whole = F.when(F.startswith("line", F.lit(",")), F.substr("line", F.lit(2))).otherwise(F.col("line"))
+    items = written.select("document", whole.alias("body")).withColumn("kind", kind).where("kind IS NOT NULL")
+    return items.select("document", "kind", *objects).select("document", "kind", key.alias("key"))
 
 
 def parse_sarif(written: DataFrame) -> DataFrame:
     """Items of SARIF documents from their lines: rules, results and notifications."""
     place = "locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>"
     return _parsed(written, {
-        "rule": ('{"id":', "id string, defaultConfiguration struct<level:string>", ["o.id", "o.defaultConfiguration.level"]),
+        "rule": ('{"id":', "id string, defaultConfiguration struct<level:string>", ["rule.id", "rule.defaultConfiguration.level"]),
         "result": (
             '{"ruleId":', f"struct<ruleId:string,level:string,message:struct<text:string>,{place},properties:struct<status:string,severity:string,findingId:string>>",
-            ["o.ruleId", "o.level", "o.message.text", "o.locations[0].physicalLocation.artifactLocation.uri", "o.locations[0].physicalLocation.region.startLine", "o.properties.status", "o.properties.severity", "o.properties.findingId"],
+            ["result.ruleId", "result.level", "result.message.text", "result.locations[0].physicalLocation.artifactLocation.uri", "result.locations[0].physicalLocation.region.startLine", "result.properties.status", "result.properties.severity", "result.properties.findingId"],
         ),
-        "notification": ('{"level":', "level string, message struct<text:string>, associatedRule struct<id:string>", ["o.associatedRule.id", "o.message.text"]),
+        "notification": ('{"level":', "level string, message struct<text:string>, associatedRule struct<id:string>", ["notification.associatedRule.id", "notification.message.text"]),
     })
 
 
 def parse_bom(written: DataFrame) -> DataFrame:
     """Items of CycloneDX documents from their lines: components, dependencies and vulnerabilities."""
     return _parsed(written, {
-        "component": ('{"type":', "struct<`bom-ref`:string,name:string,version:string,purl:string,properties:array<struct<name:string,value:string>>>", ["o.`bom-ref`", "o.name", "o.version", "o.properties[1].value"]),
-        "vulnerability": ('{"bom-ref":', "id string, ratings array<struct<severity:string>>, affects array<struct<ref:string>>", ["o.id", "o.ratings[0].severity", "size(o.affects)"]),
+        "component": ('{"type":', "struct<`bom-ref`:string,name:string,version:string,purl:string,properties:array<struct<name:string,value:string>>>", ["component.`bom-ref`", "component.name", "component.version", "component.properties[1].value"]),
+        "vulnerability": ('{"bom-ref":', "id string, ratings array<struct<severity:string>>, affects array<struct<ref:string>>", ["vulnerability.id", "vulnerability.ratings[0].severity", "size(vulnerability.affects)"]),
     }, plain="dependency")
 
 
@@ -265,11 +277,16 @@ def bom_lines(components: DataFrame, vulnerabilities: DataFrame, findings: DataF
         )
     )
     zero = F.lit("0")
+    # The component list and the dependency list hold the same components in the same order, so one pass gives both.
+    placed = components.withColumns({"document": doc, "position": F.concat_ws("|", "ecosystem", "name", "version")})
+    first = placed.groupBy("document").agg(F.min("position").alias("__first"))
+    comma = F.when(F.col("position") == F.col("__first"), "").otherwise(",")
+    both = [F.struct(F.lit(n).alias("section"), F.concat(comma, x).alias("line")) for n, x in ((1, component), (3, _json_text(F.col("ref"))))]
+    listed = first.join(placed, "document").select("document", "position", F.explode(F.array(*both)).alias("l"))
     return union(
         lines(apps, doc, 0, zero, head),
-        comma_separated(lines(components, doc, 1, F.concat_ws("|", "ecosystem", "name", "version"), component)),
+        listed.select("document", "l.section", "position", "l.line"),
         lines(apps, doc, 2, zero, F.lit('],"dependencies":[{"ref":"app","dependsOn":[')),
-        comma_separated(lines(components, doc, 3, F.concat_ws("|", "ecosystem", "name", "version"), _json_text(F.col("ref")))),
         lines(apps, doc, 4, zero, F.lit(']}],"vulnerabilities":[')),
         comma_separated(lines(rows, doc, 5, F.col("vulnerability"), vulnerability)),
         lines(apps, doc, 6, zero, F.lit("]}")),
