@@ -9,13 +9,16 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from importlib.resources import files
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions.binding import let
 from sightline.functions.canonical import finding_identity
+from sightline.functions.literals import required_literals
 from sightline.functions.spans import MARK, clean_mark, marked, marked_first, matched_lines
 from sightline.functions.text import C_FAMILY, code_excerpt, has_comments, without_comments
 from sightline.scale import bounded_rows
@@ -181,6 +184,13 @@ def _applies(rule: Rule, suffix: Column, platforms: Column | None) -> Column:
     return ok
 
 
+def _may_match(rule: Rule, lowered: Column) -> Column:
+    """Whether the lower-cased text holds literals that a match of the rule needs; texts without them need no pattern."""
+    needed = [literals for literals in map(required_literals, (rule.pattern, rule.requires)) if literals]
+    held = [reduce(or_, [F.contains(lowered, F.lit(x)) for x in literals]) for literals in needed]
+    return reduce(and_, held, F.lit(True))
+
+
 def _with_apple(sources: DataFrame, rules: Sequence[Rule] | Sequence[str]) -> DataFrame:
     """Adds ``__apple``, whether the app has an Apple source, where a rule (or rule id) asks for it: headers beside such a
     source count."""
@@ -232,11 +242,13 @@ def scan(sources: DataFrame, rules: Sequence[Rule], match_cap: int | None = None
         place = lambda b: F.when(ascii_only, b).otherwise(_character(F.col("text"), b))
         spans = F.transform("__spans", lambda s: F.struct(s["rule_id"].alias("rule_id"), place(s["start"]).alias("start"), place(s["end"]).alias("end")))
         corpus = joined.withColumn("__spans", F.when(F.col("__spans").isNotNull(), spans))
+    corpus = corpus.withColumn("__lower", F.lower("cleaned"))
     hits = []
     for rule in rules:
-        here = _applies(rule, suffix, platforms) & F.col("cleaned").rlike(rule.java_pattern)
+        here = _applies(rule, suffix, platforms) & _may_match(rule, F.col("__lower"))
         if rule.requires:
             here = here & F.col("cleaned").rlike(rule.requires)
+        here = here & F.col("cleaned").rlike(rule.java_pattern)
         mark = marked_first if rule.once_per_file else marked
         text_marked = mark(F.col("cleaned"), rule.java_pattern)
         if exclusions is not None:
