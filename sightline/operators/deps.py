@@ -226,14 +226,25 @@ def query_order(deps: DataFrame, fresh: DataFrame, cap: int) -> DataFrame:
     return first.join(F.broadcast(remaining)).select("ecosystem", "name", "version", "fresh", "direct", "confidence", "remaining")  # one row
 
 
-def bom_components(deps: DataFrame, keys: Sequence[str] = ("app_id",)) -> DataFrame:
-    """One component per (keys, ecosystem, name, version) with its package URL."""
-    unique = deps.groupBy(*keys, "ecosystem", "name", "version").agg(
+def bom_components(deps: DataFrame, keys: Sequence[str] = ("app_id",), ordered: bool = False) -> DataFrame:
+    """One component per (keys, ecosystem, name, version) with its package URL.
+
+    ``ordered`` deals the rows out by keys and ``position``, the place in a document, before equal ones are gathered, so
+    that one shuffle serves both; partitions then follow one another in that order.
+    """
+    names = ["ecosystem", "name", "version"]
+    if ordered:
+        position = F.concat_ws("|", *names)  # made again on the other side, so it is not shuffled beside its parts
+        # few bytes become long lines, so the tasks are not to be merged by size
+        tasks = int(deps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        deps = deps.repartitionByRange(tasks, *keys, position).withColumn("position", position)
+        names = ["position", *names]
+    unique = deps.groupBy(*keys, *names).agg(
         F.max(ranks.confidence_rank(F.col("confidence"))).alias("c"), F.min("path").alias("path"), F.count(F.lit(1)).alias("evidence")
     )
     purl = package_url(F.col("ecosystem"), F.col("name"), F.col("version"))
     return unique.select(
-        *keys, "ecosystem", "name", "version", ranks.name_of(F.col("c"), ranks.CONFIDENCES).alias("confidence"), "path", "evidence",
+        *keys, *names, ranks.name_of(F.col("c"), ranks.CONFIDENCES).alias("confidence"), "path", "evidence",
         F.coalesce(purl, F.concat_ws(":", F.lit("dep"), "ecosystem", "name", "version")).alias("ref"), F.coalesce(purl, F.lit("")).alias("purl"),
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions.canonical import digest
@@ -59,10 +59,14 @@ def _(t: Tables) -> DataFrame:
     return documents.line_counts(sarif_rows(t))
 
 
+def document_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/documents-{uuid.uuid4().hex}"
+
+
 def written_and_read(rows: DataFrame) -> DataFrame:
     """Whole documents written as part files to the shared folder and read back from there."""
     spark = rows.sparkSession
-    path = f"{checkpoint_root(spark)}/documents-{uuid.uuid4().hex}"
+    path = document_folder(spark)
     documents.write_documents(rows, path)
     return documents.read_documents(spark, path)
 
@@ -115,14 +119,18 @@ def _(t: Tables) -> DataFrame:
     return bom_document(t).where("section = 1").select("document", "position", "line")
 
 
-def bom_document(t: Tables) -> DataFrame:
+def bom_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     rated = rated_advisories(t)
     # Only packages that an advisory names meet advisories; Spark leaves the others out before it gathers equal rows.
     coordinate = ["name", "ecosystem", "version"]
     named = t.deps.join(rated.select(*coordinate).distinct(), coordinate, "left_semi").select(*t.deps.columns)
     matches = adv.correlate(named, rated)
     merged = adv.merge_dependency_findings(matches).withColumn("first_observed", F.lit("2024-01-01"))
-    return documents.bom_lines(deps.bom_components(t.deps), deps.bom_vulnerabilities(matches, deps.bom_components(named)), merged)
+    return deps.bom_components(t.deps), deps.bom_vulnerabilities(matches, deps.bom_components(named)), merged
+
+
+def bom_document(t: Tables) -> DataFrame:
+    return documents.bom_lines(*bom_tables(t))
 
 
 @query(
@@ -146,7 +154,9 @@ def _(t: Tables) -> DataFrame:
     ("deps", "advisories"),
 )
 def _(t: Tables) -> DataFrame:
-    return documents.parse_bom(written_and_read(bom_document(t)))
+    path = document_folder(t.spark)
+    documents.write_bom(documents.bom_parts(*bom_tables(t), ordered=deps.bom_components(t.deps_rows, ordered=True)), path)
+    return documents.parse_bom(documents.read_documents(t.spark, path))
 
 
 @query(

@@ -245,6 +245,11 @@ class Tables:
 
     @cached_property
     def deps(self) -> DataFrame:
+        return self.deps_rows.distinct()
+
+    @cached_property
+    def deps_rows(self) -> DataFrame:
+        """The rows of :attr:`deps` with repeats, for readers that gather equal rows themselves."""
         part = F.col("l_partkey")
         flag = F.col("l_returnflag")
         return self.read("lineitem").select(
@@ -255,7 +260,7 @@ class Tables:
             joined("mod", text(F.col("l_orderkey") % 5), "/build.gradle").alias("path"),
             F.when(flag == "A", "exact").when(flag == "N", "declared").otherwise("unknown").alias("confidence"),
             part.alias("partkey"),
-        ).distinct()
+        )
 
     @cached_property
     def advisories(self) -> DataFrame:

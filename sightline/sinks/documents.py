@@ -51,6 +51,29 @@ def write_documents(rows: DataFrame, path: str, mode: str = "errorifexists") ->
     ranged.select("document", F.col("line").alias("value")).write.mode(mode).partitionBy("document").text(path)
 
 
+def _write_sections(rows: DataFrame, path: str, mode: str) -> None:
+    """Compressed text files by document and section of rows that are in order by document, section and position."""
+    ordered = rows.select("document", "section", F.col("line").alias("value"))
+    ordered.write.mode(mode).partitionBy("document", "section").option("compression", "gzip").text(path)
+
+
+def write_bom(parts: tuple[DataFrame, DataFrame, DataFrame], path: str, mode: str = "errorifexists") -> None:
+    """The documents of :func:`bom_parts`, as compressed part files by document and section that form a document when
+    unpacked and joined in name order.
+
+    The components are written where they lie: both lists of a partition are numbered, put in order as plain columns and
+    only then turned into text, so no line of them is shuffled.
+    """
+    components, first, rest = parts
+    order = ["document", "section", "position"]
+    # one row for each document, as there are folders
+    lists = components.join(F.broadcast(first), "document").withColumn("section", F.explode(F.array(F.lit(1), F.lit(3))))
+    in_order = lists.sortWithinPartitions(*order)
+    line = F.when(F.col("section") == 1, _component_json()).otherwise(_json_text(F.col("ref")))
+    _write_sections(in_order.select("document", "section", F.concat(_comma(), line).alias("line")), path, mode)
+    _write_sections(rest.repartitionByRange(*order).sortWithinPartitions(*order), path, "append")
+
+
 def placed(rows: DataFrame) -> DataFrame:
     """Lines with their place in the whole document: ordinal (from 1), offset (bytes before the line) and bytes (with its
     line end), by running sums over ordered slices, so no document is ordered in one task."""
@@ -61,7 +84,8 @@ def placed(rows: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(document, line) of every part file below ``path``, read in parallel; the counterpart of :func:`write_documents`."""
+    """(document, line) of every part file below ``path``, read in parallel; the counterpart of :func:`write_documents` and
+    :func:`write_bom`."""
     return spark.read.schema("value string, document string").text(path).select("document", F.col("value").alias("line"))
 
 
@@ -235,25 +259,50 @@ def checklist_lines(view: DataFrame) -> DataFrame:
     )
 
 
+def _property(name: str, value: Column) -> Column:
+    return F.struct(F.lit(name).alias("name"), value.alias("value"))
+
+
+def _component_json() -> Column:
+    return F.to_json(
+        F.struct(
+            F.lit("library").alias("type"), F.col("ref").alias("bom-ref"), "name", "version", F.nullif("purl", F.lit("")).alias("purl"),
+            F.array(_property("ecosystem", F.col("ecosystem")), _property("confidence", F.col("confidence")), _property("evidence-path", F.col("path"))).alias("properties"),
+        )
+    )
+
+
+def _comma() -> Column:
+    return F.when(F.col("position") == F.col("__first"), "").otherwise(",")
+
+
 def bom_lines(components: DataFrame, vulnerabilities: DataFrame, findings: DataFrame, key: str = "app_id") -> DataFrame:
     """CycloneDX 1.6 per application: components, the dependency list, and vulnerabilities with affected references.
 
     ``components``: deps.bom_components; ``vulnerabilities``: deps.bom_vulnerabilities; ``findings``: merged dependency
     findings with an optional first_observed. References of one vulnerability are the versions of its packages there.
     """
+    placed, first, rest = bom_parts(components, vulnerabilities, findings, key)
+    # The component list and the dependency list hold the same components in the same order, so one pass gives both.
+    both = [F.struct(F.lit(n).alias("section"), F.concat(_comma(), x).alias("line")) for n, x in ((1, _component_json()), (3, _json_text(F.col("ref"))))]
+    listed = first.join(placed, "document").select("document", "position", F.explode(F.array(*both)).alias("l"))
+    return union(listed.select("document", "l.section", "position", "l.line"), rest)
+
+
+def bom_parts(
+    components: DataFrame, vulnerabilities: DataFrame, findings: DataFrame, key: str = "app_id", ordered: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the documents of :func:`bom_lines` are made of: components with document and position, the first position of
+    every document, and the lines of all other sections.
+
+    ``ordered``: the same components from deps.bom_components as ``ordered``, which are then the ones returned.
+    """
     doc = F.col(key)
     apps = components.select(key).distinct()
     head = F.concat(
         F.lit('{"bomFormat":"CycloneDX","specVersion":"1.6","version":1,"metadata":{"component":{"type":"application","bom-ref":"app","name":'),
         _json_text(doc), F.lit('}},"components":['),
     )
-    prop = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
-    component = F.to_json(
-        F.struct(
-            F.lit("library").alias("type"), F.col("ref").alias("bom-ref"), "name", "version", F.nullif("purl", F.lit("")).alias("purl"),
-            F.array(prop("ecosystem", F.col("ecosystem")), prop("confidence", F.col("confidence")), prop("evidence-path", F.col("path"))).alias("properties"),
-        )
-    )
     refs = vulnerabilities.groupBy(key, "vulnerability").agg(
         F.transform(F.array_sort(F.collect_set("ref")), lambda r: F.struct(r.alias("ref"))).alias("affects")
     )
@@ -265,8 +314,8 @@ def bom_lines(components: DataFrame, vulnerabilities: DataFrame, findings: DataF
     rows = refs.join(rated, [key, "vulnerability"])
     properties = F.array_compact(
         F.array(
-            prop("known-exploited", F.when(F.col("known_exploited"), "true").otherwise("false")),
-            F.when(F.col("first_observed").isNotNull(), prop("first-observed", F.col("first_observed"))),
+            _property("known-exploited", F.when(F.col("known_exploited"), "true").otherwise("false")),
+            F.when(F.col("first_observed").isNotNull(), _property("first-observed", F.col("first_observed"))),
         )
     )
     vulnerability = F.to_json(
@@ -277,20 +326,17 @@ def bom_lines(components: DataFrame, vulnerabilities: DataFrame, findings: DataF
         )
     )
     zero = F.lit("0")
-    # The component list and the dependency list hold the same components in the same order, so one pass gives both.
-    placed = components.withColumns({"document": doc, "position": F.concat_ws("|", "ecosystem", "name", "version")})
-    first = placed.groupBy("document").agg(F.min("position").alias("__first"))
-    comma = F.when(F.col("position") == F.col("__first"), "").otherwise(",")
-    both = [F.struct(F.lit(n).alias("section"), F.concat(comma, x).alias("line")) for n, x in ((1, component), (3, _json_text(F.col("ref"))))]
-    listed = first.join(placed, "document").select("document", "position", F.explode(F.array(*both)).alias("l"))
-    return union(
+    position = F.concat_ws("|", "ecosystem", "name", "version")
+    first = components.select(doc.alias("document"), position.alias("position")).groupBy("document").agg(F.min("position").alias("__first"))
+    placed = components.withColumns({"document": doc, "position": position}) if ordered is None else ordered.withColumn("document", doc)
+    rest = union(
         lines(apps, doc, 0, zero, head),
-        listed.select("document", "l.section", "position", "l.line"),
         lines(apps, doc, 2, zero, F.lit('],"dependencies":[{"ref":"app","dependsOn":[')),
         lines(apps, doc, 4, zero, F.lit(']}],"vulnerabilities":[')),
         comma_separated(lines(rows, doc, 5, F.col("vulnerability"), vulnerability)),
         lines(apps, doc, 6, zero, F.lit("]}")),
     )
+    return placed, first, rest
 
 
 def _json_text(value: Column) -> Column:
